@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import huffman, line_dedup, mixing, packing, toxicity
+from . import huffman, line_dedup, matroska, mixing, near_vectors, ngram_join, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_token_output": huffman.op1_token_output,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_vectors": near_vectors.op3_near_vectors,
     "op4_packing": packing.op4_packing,
+    "op5_media": matroska.op5_media,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
