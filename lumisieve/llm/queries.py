@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import huffman, line_dedup, matroska, mixing, near_vectors, ngram_join, packing, token_counts, toxicity
+from . import huffman, line_dedup, matroska, mixing, near_vectors, ngram_join, packing, token_counts, toxicity, transcripts
 
 QUERIES = {
     "op1_token_output": huffman.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_media": matroska.op5_media,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_transcripts": transcripts.op7_transcripts,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
