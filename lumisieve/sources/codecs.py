@@ -1,4 +1,4 @@
-"""Bytes of one image to pixels: BMP and PNG. Other formats are recognised and reported as not supported.
+"""Bytes of one image to pixels: BMP, PNG, GIF (first frame) and baseline TIFF. Other formats are recognised and reported as not supported.
 
 Each decoder gives an array height x width x channels or raises ``Fault`` with the kind of error that its row gets.
 """
@@ -10,6 +10,9 @@ import zlib
 
 import numpy as np
 
+#: More than this many pixels are never decoded.
+MAX_PIXELS = 268_435_456
+
 
 class Fault(Exception):
     def __init__(self, kind: str, detail: str):
@@ -20,6 +23,9 @@ class Fault(Exception):
 def decode(data: bytes, kind: str) -> tuple[dict | None, dict | None]:
     """(raster, None) or (None, error)."""
     try:
+        size = stated_size(bytes(data), kind)
+        if size and size[0] * size[1] > MAX_PIXELS:
+            raise Fault("imageTooLarge", "more pixels than the limit")
         if kind not in DECODERS:
             raise Fault("unsupportedFeature", f"no decoder for {kind}")
         p = np.ascontiguousarray(DECODERS[kind](bytes(data)))
@@ -211,4 +217,158 @@ def _unfiltered(raw: bytes, at: int, stride: int, rows: int, step: int) -> np.nd
     return out
 
 
-DECODERS = {"bmp": bmp, "png": png}
+def gif(data: bytes) -> np.ndarray:
+    width, height, flags, ground = struct.unpack_from("<HHBB", data, 6)
+    table = lambda at, f: (np.frombuffer(data, np.uint8, 3 * (2 << (f & 7)), at).reshape(-1, 3), at + 3 * (2 << (f & 7)))
+    colours, at = table(13, flags) if flags & 128 else (None, 13)
+    canvas = np.zeros((height, width, 3), np.uint8)
+    if colours is not None and ground < len(colours):
+        canvas[:] = colours[ground]
+    clear = None
+    while True:
+        kind = data[at]
+        if kind == 0x21:
+            if data[at + 1] == 0xF9 and data[at + 3] & 1:
+                clear = data[at + 6]
+            _, at = _blocks(data, at + 2)
+        elif kind == 0x2C:
+            break
+        else:
+            raise Fault("corruptInput", "no frame")
+    x, y, w, h, own = struct.unpack_from("<HHHHB", data, at + 1)
+    colours, at = table(at + 10, own) if own & 128 else (colours, at + 10)
+    if colours is None or x + w > width or y + h > height or not w or not h:
+        raise Fault("corruptInput", "no palette, or a frame beyond the canvas")
+    packed, _ = _blocks(data, at + 1)
+    index = _lzw(packed, data[at], w * h).reshape(h, w)
+    if own & 64:  # rows come in four passes (fixed values: first row, step)
+        order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
+        index = index[np.argsort(order)]
+    if index.max() >= len(colours):
+        raise Fault("corruptInput", "an index beyond the palette")
+    canvas[y : y + h, x : x + w] = colours[index]
+    if clear is None:
+        return canvas
+    alpha = np.full((height, width), 255, np.uint8)
+    alpha[y : y + h, x : x + w][index == clear] = 0
+    return np.dstack([canvas, alpha])
+
+
+def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
+    out = []
+    while n := data[at]:
+        out.append(data[at + 1 : at + 1 + n])
+        at += n + 1
+    return b"".join(out), at + 1
+
+
+def _lzw(data: bytes, root: int, wanted: int, high_first: bool = False, early: int = 0) -> np.ndarray:
+    """LZW codes to bytes: GIF's order of bits, or TIFF's with its code lengths that grow one code early."""
+    clear, bits, held, at, out = 1 << root, 0, 0, 0, bytearray()
+    size, words, last = root + 1, [], None
+    while len(out) < wanted:
+        while bits < size:
+            if at >= len(data):
+                raise Fault("truncated", "codes end early")
+            held = held << 8 | data[at] if high_first else held | data[at] << bits
+            bits, at = bits + 8, at + 1
+        if high_first:
+            code, held = held >> (bits - size), held & ((1 << (bits - size)) - 1)
+        else:
+            code, held = held & ((1 << size) - 1), held >> size
+        bits -= size
+        if code == clear:
+            words, size, last = [bytes([k]) for k in range(clear)] + [b"", b""], root + 1, None
+            continue
+        if code == clear + 1 or not words and last is None and code > clear:
+            break
+        if not words:
+            words = [bytes([k]) for k in range(clear)] + [b"", b""]
+        if last is None:
+            word = words[code]
+        elif code < len(words):
+            word = words[code]
+            words.append(last + word[:1])
+        elif code == len(words):
+            word = last + last[:1]
+            words.append(word)
+        else:
+            raise Fault("corruptInput", "a code before its word")
+        if len(words) > 4096:
+            words.pop()
+        if len(words) + early >= 1 << size and size < 12:
+            size += 1
+        out += word
+        last = word
+    if len(out) < wanted:
+        raise Fault("truncated", "fewer pixels than the header says")
+    return np.frombuffer(bytes(out[:wanted]), np.uint8)
+
+
+def tiff(data: bytes) -> np.ndarray:
+    tags = tiff_tags(data)
+    one = lambda tag, other=None: tags.get(tag, [other])[0]
+    width, height, method, samples = one(256), one(257), one(259, 1), one(277, 1)
+    if not width or not height or 273 not in tags:
+        raise Fault("corruptInput", "no size or no strips")
+    if set(tags.get(258, [1])) != {8} or one(262) not in (0, 1, 2) or samples != (3 if one(262) == 2 else 1) or one(284, 1) != 1 or method not in (1, 5, 8, 32946):
+        raise Fault("unsupportedFeature", "more than 8-bit gray or RGB strips, plain, LZW or deflated")
+    rows, parts = one(278, height), []
+    for k, (at, n) in enumerate(zip(tags[273], tags.get(279, [len(data)] * len(tags[273])))):
+        wanted, strip = min(rows, height - k * rows) * width * samples, data[at : at + n]
+        if method == 5:
+            part = _lzw(strip, 8, wanted, high_first=True, early=1)
+        else:
+            part = np.frombuffer(strip if method == 1 else zlib.decompress(strip), np.uint8)[:wanted]
+        if len(part) < wanted:
+            raise Fault("truncated", "a strip ends early")
+        parts.append(part)
+    pixels = np.concatenate(parts)[: width * height * samples].reshape(height, width, samples)
+    if one(317, 1) == 2:
+        pixels = np.cumsum(pixels, 1, dtype=np.uint8)
+    if one(262) == 0:
+        pixels = 255 - pixels
+    return pixels if samples == 3 else np.repeat(pixels, 3, 2)
+
+
+def tiff_tags(data: bytes) -> dict[int, list[int]]:
+    """Whole-number entries of the first directory."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    out = {}
+    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        if kind in (1, 3, 4) and n:
+            code = {1: "B", 3: "H", 4: "I"}[kind]
+            place = at + 10 + 12 * k
+            if n * struct.calcsize("=" + code) > 4:
+                place = struct.unpack_from(order + "I", data, place)[0]
+            out[tag] = list(struct.unpack_from(f"{order}{n}{code}", data, place))
+    return out
+
+
+def jpeg_size(data: bytes) -> tuple[int, int]:
+    """Width and height by the first frame header."""
+    at = 2
+    while True:
+        while data[at] == 0xFF and data[at + 1] == 0xFF:
+            at += 1
+        marker, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", data, at + 5)
+            return width, height
+        at += 2 + n
+
+
+def stated_size(data: bytes, kind: str) -> tuple[int, int] | None:
+    """Width and height of formats whose size stands behind a pointer or after other parts."""
+    try:
+        if kind == "tiff":
+            tags = tiff_tags(data)
+            return tags[256][0], tags[257][0]
+        return jpeg_size(data) if kind == "jpeg" else None
+    except (struct.error, IndexError, KeyError):
+        return None
+
+
+DECODERS = {"bmp": bmp, "png": png, "gif": gif, "tiff": tiff}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import codecs
 
-MAX_BYTES = MAX_PIXELS = 268_435_456
+MAX_BYTES = MAX_PIXELS = codecs.MAX_PIXELS
 RASTER = "struct<width:int,height:int,channels:tinyint,data:binary>"
 #: First bytes in hexadecimal (fixed values), in the order in which they are tried.
 MAGIC = (("bmp", "^424D"), ("png", "^89504E470D0A1A0A"), ("gif", "^474946383[79]61"), ("jpeg", "^FFD8"), ("webp", "^52494646.{8}57454250"), ("tiff", "^(49492A00|4D4D002A)"), ("heic", "^.{8}66747970(68656963|68656978|68657663|68657678|6D696631|6D736631)"))
