@@ -6,8 +6,8 @@ with the pair term found in linear time as ``(|sum v_i|^2 - sum |v_i|^2) / 2``.
 
 Fitting takes a bounded sample of labelled rows (``TRAIN_ROWS``, by a hash of the id, all labelled rows if fewer), of
 which the words that at least ``MIN_ROWS`` rows hold and that separate the labels (``MIN_Z`` by the two-proportion
-test, ``MAX_TERMS`` at most) are the machine's features; all other words score nothing. The driver holds that sample's
-features only. Scoring runs over every document, in one pass without a shuffle.
+test, ``MAX_TERMS`` at most) are the machine's features; all other words score nothing. Spark counts the terms; the
+driver holds the sample's features only. Scoring runs over every document, in one pass without a shuffle.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Labels, language, source and id are never inputs.
 
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 TRAIN_ROWS, MIN_ROWS, MIN_Z, MAX_TERMS, HASH_BITS = 30_000, 3, 4.0, 4_096, 22
 RANK, EPOCHS, BATCH, RATE, DECAY, SEED, THRESHOLD = 8, 30, 256, 0.05, 1e-4, 7, 0.3
 #: Letters of a word that are a term of their own.
@@ -96,41 +98,46 @@ class Machine:
                 self.v[used] -= RATE * dv / np.sqrt(gv[used])
 
 
-def chosen_terms(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms whose shares of the two labels' rows differ by at least MIN_Z standard errors; the strongest first kept."""
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    toxic = np.repeat(labels, [len(d) for d in docs])
-    found, at = np.unique(flat, return_inverse=True)
-    in_all, in_toxic = np.bincount(at, minlength=len(found)), np.bincount(at, toxic, len(found))
-    n, n_toxic = len(docs), labels.sum()
-    p = in_all / max(n, 1)
-    gap = in_toxic / max(n_toxic, 1) - (in_all - in_toxic) / max(n - n_toxic, 1)
-    z = gap / np.sqrt(np.maximum(p * (1 - p) * (1 / max(n_toxic, 1) + 1 / max(n - n_toxic, 1)), 1e-12))
-    keep = np.flatnonzero((in_all >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
-    keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:MAX_TERMS]]
-    return np.sort(found[keep])
-
-
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def chosen_terms(labelled: DataFrame) -> np.ndarray:
+    """Of all labelled rows' terms (toxic, terms), those whose shares of the two labels' rows differ by at least MIN_Z
+    standard errors: counted in Spark, the strongest MAX_TERMS at most."""
+    n, n_toxic = labelled.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n or not n_toxic or n == n_toxic:
+        return np.zeros(0, np.int64)
+    counts = labelled.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    p, gap = F.col("n") / n, F.col("bad") / n_toxic - (F.col("n") - F.col("bad")) / (n - n_toxic)
+    z = gap / F.sqrt(F.greatest(p * (1 - p) * (1 / n_toxic + 1 / (n - n_toxic)), F.lit(1e-12)))
+    strong = counts.where(F.col("n") >= MIN_ROWS).select("term", F.abs(z).alias("z")).where(F.col("z") >= MIN_Z)
+    return np.array(sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
     """A machine fitted on labelled documents that are not held out: at most ``rows`` of them, by a hash of the id."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     @F.pandas_udf("array<int>")
     def features(text: pd.Series) -> pd.Series:
         return text.map(terms)
 
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "toxic", features("text").alias("terms"))
-    got = sample.orderBy("doc_id", "terms").toPandas()  # at most ``rows`` documents' hashes
-    if not len(got):
+    # ``known`` is bounded by ``rows``, so every task can hold it and no text is shuffled.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", features("text").alias("terms"))
+    labelled = scratch.written(labelled, "op8-terms")
+    machine = Machine(chosen_terms(labelled))
+    chosen = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.pandas_udf("array<int>")
+    def places(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: chosen.value.places(np.asarray(t, np.int64)))
+
+    got = labelled.select("doc_id", "toxic", places("terms").alias("at")).orderBy("doc_id", "at").collect()  # at most ``rows`` short lists
+    if not got:
         return None
-    found, y = [np.asarray(t, np.int64) for t in got["terms"]], got["toxic"].to_numpy(np.float64)
-    machine = Machine(chosen_terms(found, y))
-    machine.fit([machine.places(t) for t in found], y)
+    machine.fit([np.array(r["at"], np.int64) for r in got], np.array([r["toxic"] for r in got], np.float64))
     return machine
 
 
