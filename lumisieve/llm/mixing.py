@@ -102,7 +102,7 @@ def with_taken(docs: DataFrame, found: DataFrame, n_sources: int) -> DataFrame:
     if n_sources <= FEW_SOURCES:
         both = docs.join(F.broadcast(found), _KEY)
     else:
-        salted = found.withColumn("__ls_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = found.withColumn("__ls_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         both = docs.withColumn("__ls_salt", F.col(_HASH) % SALTS).join(salted, [_KEY, "__ls_salt"]).drop("__ls_salt")
     whole, size = F.col("whole") * F.col(_SIZE), F.col(_SIZE)
     sure = both.where(F.col(_HASH) != F.col("end_hash")).withColumn("__ls_part", F.when(F.col(_HASH) < F.col("end_hash"), size).otherwise(0).cast("long"))
