@@ -12,19 +12,25 @@ set's size.
   document with too few non-empty blocks also gives its empty ones. In bands from ``EXACT`` shingles on, a sketch takes
   the shingles of one of ``2 ** r`` hash classes; the difference within it is bounded by its mean plus seven standard
   deviations and 8 (a miss is less likely than one in ten thousand million). So keys per document are bounded.
-* Keys with one distinct set are dropped; documents with equal sets are one class throughout.
-* Links within a key's group are not listed pair by pair. First every member is verified against one hub, the member
+* Shingles that many documents have (a passage that is quoted everywhere) would make keys that say little. A sample
+  names them, and keys are made without them first: leaving the same shingles out of both sets adds no difference. A
+  document that has too few blocks then gives those that it has, and keys of its whole set besides.
+* Keys with one distinct set are dropped; documents with equal sets are one class throughout (by a 64-bit hash).
+* Links within a key's group are not listed pair by pair. First every member is compared with one hub, the member
   whose keys are shared most. Only where that leaves several components in a group, members of different components
-  are compared: in chunks, by the Hamming distance of 1024-bit parity sketches within the join's own condition, then
-  verified. Verification intersects the whole sets.
+  are compared, in chunks. To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound,
+  as the joins' own condition, and then to intersect the whole sets.
 
 Defined cases: documents without words, or with a null or empty text, have no set, link with nothing and keep their
 own id as component. With fewer than five words the whole sequence is the one shingle. Rows with equal ids are one
-node. Null ids take part and never name a component unless all ids in it are null. An empty table gives no rows.
+node. Null ids name no component: a set that only rows without an id have links with nothing. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +41,8 @@ from . import scratch
 from .components import components
 
 WORDS, EXACT, SINGLE, SIGMAS, SKETCH_WORDS, CHUNK, FEW = 5, 512, 64, 7.0, 16, 512, 500_000
+#: Documents sampled for common shingles, how many of them must have one, and how many shingles are kept.
+SAMPLE, COMMON_FROM, COMMON = 20_000, 4, 100_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,9 +85,8 @@ def in_band(s: np.ndarray, band: int) -> tuple[np.ndarray, int, int]:
     return s, 0 if top <= SINGLE else int(np.ceil(top * 0.4)) + 8, most
 
 
-def sketch(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """A band's join keys, its parity sketch in 64-bit words, and the most differences."""
-    taken, blocks, most = in_band(s, band)
+def first_keys(taken: np.ndarray, band: int, blocks: int, most: int, salt: int, empty_too: bool) -> tuple[np.ndarray, bool]:
+    """Keys of the first ``most + 1`` non-empty blocks, and whether there are so many; if not, of all of them."""
     with np.errstate(over="ignore"):
         h, content = mixed(taken, 2 * band + 1), mixed(taken, 2 * band + 2)
         place = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32) if blocks else h
@@ -87,47 +94,91 @@ def sketch(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
         place, content = place[order], content[order]
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
         held, folded = place[first], np.bitwise_xor.reduceat(content, first) if len(first) else content
-        if len(held) > most:
+        enough = len(held) > most
+        if enough:
             held, folded = held[: most + 1], folded[: most + 1]
-        else:
+        elif empty_too:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), held)
             held, folded = np.r_[held, empty], np.r_[folded, np.zeros(len(empty), np.uint64)]
-        keys = mixed(held * _M1 + folded, 1000 + band)
-        bits = np.bincount((h & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
+        keys = mixed(held * _M1 + folded, salt + band)
+    return (keys & ~np.uint64(31)) | np.uint64(band & 31), enough
+
+
+def sketch(s: np.ndarray, band: int, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, int]:
+    """A band's join keys (their last five bits name the band), its parity sketch in 64-bit words, the most differences."""
+    taken, blocks, most = in_band(s, band)
+    rare = taken
+    if len(common) and len(taken):
+        at = np.searchsorted(common, taken)
+        at[at == len(common)] = 0
+        rare = taken[common[at] != taken]
+    keys, enough = first_keys(rare, band, blocks, most, 1000, False)
+    if not enough:
+        keys = np.r_[keys, first_keys(taken, band, blocks, most, 2000, True)[0]]
+    bits = np.bincount((mixed(taken, 2 * band + 1) & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
     return keys.view(np.int64), np.packbits(bits).view(np.int64), most
 
 
+def class_of(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    with np.errstate(over="ignore"):
+        return int(mixed(mixed(s, 7).sum() + np.uint64(len(s))).view(np.int64))
+
+
 SIGNED = "doc_id bigint, n int, class bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
 
 
-def _signed(batches):
+def _texts(batch, k: int, lo: int, n: int):
+    return ((t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(k).slice(lo, n))
+
+
+def _signer(common):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                rows = []
+                for doc, text in zip(batch.column(0).slice(lo, 500).to_pylist(), _texts(batch, 1, lo, 500)):
+                    s = shingles(text)
+                    n = len(s)
+                    if not n:
+                        rows.append((doc, 0, None, True, None, None, [], None))
+                        continue
+                    kind, band = class_of(s), band_of(n)
+                    for b in (band, band - 1) if 3 * n < 4 << band and band else (band,):
+                        keys, bits, most = sketch(s, b, common.value)
+                        rows.append((doc, n, kind, b == band, b, most, keys, bits))
+                cols = list(zip(*rows))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[f.split()[0] for f in SIGNED.split(", ")])
+
+    return run
+
+
+def _listed(batches):
     for batch in batches:
-        ids = batch.column(0)
         for lo in range(0, batch.num_rows, 500):
-            rows = []
-            for doc, text in zip(ids.slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500)):
-                s = shingles(text.as_buffer() and text.as_buffer().to_pybytes() if text.is_valid else None)
-                n = len(s)
-                if not n:
-                    rows.append((doc, 0, None, True, None, None, [], None))
-                    continue
-                with np.errstate(over="ignore"):
-                    kind = int(mixed(mixed(s, 7).sum() + np.uint64(n)).view(np.int64))
-                band = band_of(n)
-                for b in (band, band - 1) if 3 * n < 4 << band and band else (band,):
-                    keys, bits, most = sketch(s, b)
-                    rows.append((doc, n, kind, b == band, b, most, keys, bits))
-            cols = list(zip(*rows))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[f.split()[0] for f in SIGNED.split(", ")])
+            found = [shingles(t) for t in _texts(batch, 0, lo, 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles that many documents have, sorted: at most COMMON, by a sample of about SAMPLE documents. Which these are
+    decides only how many candidates there are, never which links are found."""
+    share = int(min(1.0, SAMPLE / max(1, texts.count())) * (1 << 20))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
+    counts = some.mapInArrow(_listed, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON_FROM)
+    top = counts.orderBy(F.desc("c"), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
 def _sets(batches):
-    """class -> its packed shingles."""
+    """class -> its packed shingles; rows whose text is of another class (of a repeated id) are left out."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
-            sets = [shingles(t.as_buffer().to_pybytes()).tobytes() for t in batch.column(1).slice(lo, 200)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), pa.array(sets, pa.binary())], names=["class", "shingles"])
+            sets = [shingles(t) for t in _texts(batch, 1, lo, 200)]
+            right = [class_of(s) == c for s, c in zip(sets, batch.column(0).slice(lo, 200).to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+            yield out.filter(pa.array(right, pa.bool_()))
 
 
 def _verified(batches):
@@ -155,55 +206,65 @@ def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+_WORDS = [f"w{k}" for k in range(SKETCH_WORDS)]
+
+
+def _close(l: str, r: str):
+    """Whether two rows with sizes and sketches may be linked: a condition of a join, so other pairs are never rows."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(c(l, w).bitwiseXOR(c(r, w))) for w in _WORDS])
+    return (4 * F.least(c(l, "n"), c(r, "n")) >= 3 * F.greatest(c(l, "n"), c(r, "n"))) & (apart <= F.least(c(l, "most"), c(r, "most")))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of ``docs`` (doc_id, text), a row for each of its rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = scratch.written(texts.mapInArrow(_signed, SIGNED), "op6-sketches")
-    members = signed.where("own").select("doc_id", "n", "class")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    signed = scratch.written(texts.mapInArrow(_signer(common), SIGNED), "op6-sketches")
+    members = scratch.written(signed.where("own").select("doc_id", "n", "class"), "op6-members")
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    band = F.col("key").bitwiseAND(31).cast("int").alias("band")
 
-    # Keys that at least two different sets have, and who has them.
-    keyed = signed.where("n > 0").select("class", "n", "band", F.explode("keys").alias("key"))
+    # Keys that at least two different sets have, and who has them. The rows are dealt by key once, for the count and
+    # for the join: both sides name the same columns, so Spark plans one exchange and uses it twice.
+    once = signed.where("n > 0").groupBy("class", "band").agg(F.first("keys").alias("keys"))
+    keyed = once.select("class", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    held = scratch.written(keyed.join(shared, "key").distinct(), "op6-held")
-
-    # The sets of those classes, from the text of each class's first document.
-    named = held.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    named = scratch.written(named, "op6-named")
-    text_of = texts.where("doc_id is not null").join(F.broadcast(named) if named.count() <= FEW else named, "doc_id").select("class", "text")
-    sets = scratch.written(text_of.mapInArrow(_sets, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles")), "op6-sets")
+    held = scratch.written(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "op6-held")
+    sketches = signed.where("n > 0").join(held.select("class").distinct(), "class", "left_semi").dropDuplicates(["class", "band"])
+    sketches = scratch.written(sketches.select("class", "band", "n", "most", *[F.element_at("bits", k + 1).alias(w) for k, w in enumerate(_WORDS)]), "op6-held-sketches")
 
     # Every member against its group's hub.
     counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     score = held.join(counts, "key").groupBy("class").agg(F.sum("c").alias("score"))
     hubs = held.join(score, "class").groupBy("key").agg(F.max(F.struct("score", "class")).alias("top")).select("key", F.col("top.class").alias("hub"))
-    pairs = held.join(hubs, "key").where("class <> hub").select(*_ordered("class", "hub")).distinct()
-    pairs = scratch.written(pairs, "op6-hub-pairs")
+    pairs = held.join(hubs, "key").where("class <> hub").select(*_ordered("class", "hub"), band).distinct()
+    one, two = sketches.alias("l"), sketches.alias("r")
+    pairs = pairs.join(one, (F.col("a") == F.col("l.class")) & (pairs["band"] == F.col("l.band"))).join(two, (F.col("b") == F.col("r.class")) & (F.col("l.band") == F.col("r.band")) & _close("l", "r"))
+    pairs = scratch.written(pairs.select("a", "b").distinct(), "op6-hub-pairs")
+    sets = _sets_of(pairs, classes, texts)
     links = scratch.written(verified(pairs, sets), "op6-hub-links")
+    scratch.dropped(signed, sets)
     parts = scratch.written(components(links), "op6-parts")
 
-    # Groups that still hold several components: members of different ones, by sketch and size, in chunks.
+    # Groups that still hold several components: members of different ones, in chunks.
     placed = held.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = scratch.written(placed, "op6-placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     open_keys = open_keys.select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    words = [F.element_at("bits", i + 1).alias(f"w{i}") for i in range(SKETCH_WORDS)]
-    bits = signed.where("n > 0").dropDuplicates(["class", "band"]).select("class", "band", "most", *words)
-    rows = placed.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int")).join(bits, ["class", "band"])
-    rows = scratch.written(rows, "op6-open")
+    rows = placed.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int")).withColumn("band", band)
+    rows = scratch.written(rows.join(sketches, ["class", "band"]), "op6-open")
     left = rows.withColumn("other", F.explode(F.sequence("chunk", F.col("chunks") - 1))).alias("l")
     right = rows.withColumn("other", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), "chunk"))).alias("r")
-    c = lambda side, name: F.col(f"{side}.{name}")
-    apart = sum((F.bit_count(c("l", f"w{i}").bitwiseXOR(c("r", f"w{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(c("l", "w0").bitwiseXOR(c("r", "w0"))))
-    near = left.join(
-        right,
-        (c("l", "key") == c("r", "key")) & (c("l", "chunk") == c("r", "chunk")) & (c("l", "other") == c("r", "other"))
-        & (c("l", "component") != c("r", "component")) & ((c("l", "chunk") != c("l", "other")) | (c("l", "class") < c("r", "class")))
-        & (4 * F.least(c("l", "n"), c("r", "n")) >= 3 * F.greatest(c("l", "n"), c("r", "n")))
-        & (apart <= F.least(c("l", "most"), c("r", "most"))),
-    )
-    rest = near.select(*_ordered(c("l", "class"), c("r", "class"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(scratch.written(rest, "op6-pairs"), sets)
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "chunk", "other")])
+    once_each = (F.col("l.chunk") != F.col("l.other")) | (F.col("l.class") < F.col("r.class"))
+    near = left.join(right, same & (F.col("l.component") != F.col("r.component")) & once_each & _close("l", "r"))
+    rest = near.select(*_ordered("l.class", "r.class")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = scratch.written(rest, "op6-pairs")
+    scratch.dropped(held, sketches, placed, rows)
+    sets = _sets_of(rest, classes, texts)
+    more = scratch.written(verified(rest, sets), "op6-links")
+    scratch.dropped(sets)
     ends = components(links.union(more)).select(F.col("node").alias("class"), "component")
 
     # The smallest document of each component, back to the documents.
@@ -214,5 +275,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The sets of the classes in ``pairs``, from the text of each class's first document: a list of ids that tasks can
+    hold is sent to them, a longer one is joined."""
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
+    named = scratch.written(named, "op6-named")
+    found = texts.join(F.broadcast(named) if named.count() <= FEW else named, "doc_id").select("class", "text")
+    return scratch.written(found.mapInArrow(_sets, "class bigint, shingles binary"), "op6-sets")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
