@@ -1,31 +1,5 @@
-"""Connected components of a table of links, by alternating star contraction ("Connected Components in MapReduce and
-Beyond", 2014): each round hangs every node's neighbours on the smallest one, and ends when nothing moves.
+"""The library's connected components, under the name that this subpackage's modules use."""
 
-A round is two aggregations of minima and two plain joins, so a node with very many links is a partial minimum and a
-partition that adaptive execution may split. Links are never gathered; the driver sees two numbers a round.
-"""
+from ..operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import scratch
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, component`` (the smallest node reachable) for every node that a link between two nodes names."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, seen = scratch.written(edges, "links"), None
-    while True:
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = scratch.written(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()).distinct()
+__all__ = ["components"]

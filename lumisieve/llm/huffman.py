@@ -187,6 +187,7 @@ def encode_table(docs: DataFrame, end_id: int, vocab: str | None = None, shards:
     n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = packed.select("doc_id", "ids").repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = scratch.written(ordered.mapInArrow(run, BLOCKS), "op1-blocks", "none")
+    scratch.dropped(packed)
     sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row per shard
     first, manifest = 0, []
     for row in sums:

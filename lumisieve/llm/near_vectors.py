@@ -165,6 +165,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(all_nodes[use]), pa.array(all_nodes[least[use]]), pa.array(links[use].astype(np.int64))], names=["node", "other", "links"])
 
     found = scratch.written(met.mapInArrow(compared, FOUND), "op3-found")
+    scratch.dropped(placed, tiles)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     ends = classes.join(sums, "node", "left").join(parts, "node", "left")

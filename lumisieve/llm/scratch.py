@@ -1,42 +1,5 @@
-"""Tables written in the cluster's shared folder, to cut lineage and to hand results from one job to the next.
+"""The library's scratch tables, under the name that this subpackage's modules use."""
 
-The folder is ``spark.checkpoint.dir`` as the session has it; only where that is unset (tests, a notebook) a local
-folder is taken. Everything goes through Spark's own readers and writers, so any Hadoop file system will do, and a
-lost executor costs the tasks that it ran, never a table.
-"""
+from ..scratch import clear, dropped, new_path, shared_folder, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not named:
-        named = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumisieve-"))
-    return f"{named.rstrip('/')}/lumisieve-{app}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove what this application has written. Results that still read it must have been saved before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clear", "dropped", "new_path", "shared_folder", "written"]

@@ -64,6 +64,7 @@ def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, Dat
             yield _rows(name, [block], [None], [None], [held])
 
     both = scratch.written(ordered.mapInArrow(run, "file string, block bigint, ordinal bigint, doc_id bigint, ids binary"), "op9-flat")
+    scratch.dropped(packed)
     return both.where("block is not null").select("file", "block", "ids"), both.where("ordinal is not null").select("file", "ordinal", "doc_id"), dtype
 
 

@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         return found.map(lambda t: chosen.value.places(np.asarray(t, np.int64)))
 
     got = labelled.select("doc_id", "toxic", places("terms").alias("at")).orderBy("doc_id", "at").collect()  # at most ``rows`` short lists
+    scratch.dropped(labelled)
     if not got:
         return None
     machine.fit([np.array(r["at"], np.int64) for r in got], np.array([r["toxic"] for r in got], np.float64))
