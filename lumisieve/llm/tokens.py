@@ -19,8 +19,8 @@ import numpy as np
 
 VOCAB_FILE = "byte_bpe_50k.json"
 #: Distinct words that a worker keeps, in each of two generations; words longer than this are not kept.
-CACHE_WORDS, LONGEST_WORD = 400_000, 48
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)\Z")
+CACHE_WORDS, LONGEST_WORD = 600_000, 48
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)\Z")
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -58,7 +58,13 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.owner.word(self.prefix + word)
+            if word.isascii() and word.isalpha():
+                ids = self.owner.letters_only(self.prefix + word)
+            elif cut := _WORD.match(word):
+                stem, marks = cut.groups()
+                ids = self[stem] + self.owner.first[marks] if marks else self.owner.letters_only(self.prefix + word)
+            else:
+                ids = self.owner.whole(self.prefix + word)
         if len(word) <= LONGEST_WORD:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
@@ -73,32 +79,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.split = self.library.model.tokenize
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.first, self.later, self.stems = _Words(self, ""), _Words(self, " "), {}
+        self.blank = chr(self.letters[32])
+        self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """A word, perhaps with a blank before it: letters go to the BPE as they are, all else through the library's pre-tokeniser."""
-        cut = _WORD.match(word)
-        if not cut:
-            return self.whole(word)
-        stem, marks = cut.groups()
-        ids = self.stems.get(stem)
-        if ids is None:
-            ids = array(self.code, [t.id for t in self.model.tokenize(stem.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.stems) >= CACHE_WORDS:
-                self.stems.clear()
-            if len(stem) <= LONGEST_WORD:
-                self.stems[stem] = ids
-        return ids + (self.first[marks] if marks else b"")
+    def letters_only(self, word: str) -> bytes:
+        """A word of letters, perhaps with a blank before it, goes to the library's BPE as it is."""
+        if word.isascii():
+            word = word.replace(" ", self.blank)
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.split(word)]).tobytes()
 
     def encode_one(self, text: str | None) -> bytes:
         """A text's ids, packed as little-endian integers of ``dtype``; a null or empty text has none."""
