@@ -7,7 +7,8 @@ segments. So one file of any size is dealt over tasks, and no task sees more tha
 
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
-Rows with equal ids are documents of their own.
+Rows with equal ids are documents of their own. A text that holds the string of the end-of-document token is encoded as
+plain text, so its ids never have the separator and its count is that of the plain encoding.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, Dat
     n-th of a stream (``file, ordinal, doc_id``), for naming results only; the ids' numpy type."""
     spark, e = docs.sparkSession, tokens.encoder(vocab)
     dtype, size = e.dtype.str, BLOCK_IDS * e.dtype.itemsize
-    packed = scratch.written(token_table(docs, END_ID, vocab), "op9-ids")
+    packed = scratch.written(token_table(docs, END_ID, vocab, plain=True), "op9-ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = packed.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from . import tokens
 
 
-def token_table(docs: DataFrame, end_id: int, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text", extra: str = "", describe=None) -> DataFrame:
+def token_table(docs: DataFrame, end_id: int, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text", extra: str = "", describe=None, plain: bool = False) -> DataFrame:
     """``id_col, n_tokens, ids`` for each row: the ids of the whole text (null: empty), then ``end_id``, packed.
 
     ``describe(ids: numpy array) -> value`` fills one more column, declared by ``extra`` (a DDL field).
+    ``plain``: the strings of added tokens are text like any other.
     Rows are independent; nothing is shuffled and one document is in memory at a time beside its Arrow batch.
     """
     schema = f"{id_col} bigint, n_tokens bigint, ids binary" + (f", {extra}" if extra else "")
@@ -23,7 +24,7 @@ def token_table(docs: DataFrame, end_id: int, vocab: str | None = None, id_col:
     def run(batches):
         import numpy as np
 
-        e = tokens.encoder(vocab)
+        e = tokens.encoder(vocab, plain)
         end = np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

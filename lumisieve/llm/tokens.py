@@ -22,7 +22,7 @@ VOCAB_FILE = "byte_bpe_50k.json"
 CACHE_WORDS, LONGEST_WORD = 600_000, 48
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)\Z")
 
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -33,12 +33,13 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path(VOCAB_FILE)
 
 
-def encoder(path: str | None = None) -> "Encoder":
-    """This process's encoder for a vocabulary file; each executor's Python loads its own copy of the file."""
-    path = vocabulary(path)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, plain: bool = False) -> "Encoder":
+    """This process's encoder for a vocabulary file; each executor's Python loads its own copy of the file. A ``plain``
+    one takes the strings of added tokens as any other text, so that no text has an added token's id."""
+    key = vocabulary(path), plain
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def _byte_letters() -> dict[int, int]:
@@ -74,16 +75,17 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         self.split = self.library.model.tokenize
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.letters = _byte_letters()
         self.blank = chr(self.letters[32])
         self.first, self.later = _Words(self, ""), _Words(self, " ")

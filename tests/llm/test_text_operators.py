@@ -114,6 +114,19 @@ def test_token_counts(spark, docs, monkeypatch):
         assert {r["doc_id"]: r["n_tokens"] for r in got} == want and len(got) == len(want)
 
 
+def test_token_counts_of_texts_that_name_the_separator(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", 64)
+    rows = [(k, t) for k, t in enumerate(["a b", "<|endoftext|>", "x <|endoftext|> y", "ab<|endoftext|>c  d", None, "<|endoftext|><|endoftext|>\n", "last one"])]
+    rows += [(100 + r[0], r[1]) for r in corpus()]
+    library = tokens.Encoder(tokens.vocabulary(), plain=True).library
+    blocks, names, dtype = token_counts.flattened(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = token_counts.counted(blocks, dtype)
+    got = found.join(names, ["file", "ordinal"]).collect()
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == want and len(got) == len(rows) == found.count() and all(r["ended"] for r in got)
+    assert tokens.encoder().encode_one("<|endoftext|>") != tokens.encoder(plain=True).encode_one("<|endoftext|>")
+
+
 def test_flat_files(spark, tmp_path):
     ids = np.array([5, 6, token_counts.END_ID, token_counts.END_ID, 7], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
