@@ -7,8 +7,10 @@ a turn, later line). ``fit`` counts starts, transitions and emissions over label
 which one row per state pair or state and symbol reaches the driver; ``parsed`` finds the best states by Viterbi and
 renders turns as ``<|role|>``, the lines without their marker, ``<|end|>``.
 
-``rendered_from`` makes transcripts out of a table of turns, in parts of ``PART`` turns, so that a conversation of any
-length is dealt out in bounded groups; equal rows count as turns of their own.
+``rendered_from`` makes transcripts out of a table of turns, in parts of ``PART`` turn numbers. A part that has more
+than ``PART`` rows (null or repeated turn numbers, rows without a conversation) is cut into pieces by the rows' places
+in the order of turn, role and text, so every transcript has at most ``PART`` rows, whatever the keys; equal rows count
+as turns of their own.
 
 Defined cases: a null or empty transcript has no turns; null texts are empty turns; a turn whose role is null or
 unknown is shown without a marker and teaches nothing; a null turn number comes first. Without any labelled line all
@@ -19,12 +21,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 ROLES, PART, DROPPED = ("system", "user", "assistant"), 512, 12
 #: What speakers are called.
 NAMES = {
@@ -105,19 +110,50 @@ def canonical(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{content}\n<|end|>\n" for role, content in turns)
 
 
-RENDERED = "conv_id bigint, part bigint, text string, states array<int>"
+RENDERED = "conv_id bigint, part bigint, piece bigint, text string, states array<int>"
+
+
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``few``, of which every task gets a copy; null keys are equal."""
+    named = few.withColumnsRenamed({k: f"__ls_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__ls_{k}")) for k in keys])
+    return rows.join(F.broadcast(named), on, "left").drop(*[f"__ls_{k}" for k in keys])
+
+
+def _in_pieces(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text, part) with ``piece``: the place in the part's order, over PART. Rows are
+    sorted in ranges, and a part's rows in earlier ranges come from a prefix sum; equal rows may be in several ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["conv_id", "part", "turn", "role", "text", "__ls_row"]
+    ordered = rows.withColumn("__ls_row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Within a range, the id grows by one a row.
+    ordered = scratch.written(ordered.drop("__ls_row").withColumn("at", F.monotonically_increasing_id()), "op7-ordered")
+    ordered = ordered.withColumn("range", F.shiftright("at", 33))
+    runs = ordered.groupBy("conv_id", "part", "range").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
+    earlier = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).drop("c")
+    place = F.col("before") + F.col("at") - F.col("first")
+    return _joined(ordered, runs, ["conv_id", "part", "range"]).withColumn("piece", F.floor(place / PART)).select(*rows.columns, "piece")
 
 
 def rendered_from(turns: DataFrame) -> DataFrame:
-    """``conv_id, part, text, states``: raw transcripts of a table (conv_id, turn, role, text), in a style that the
+    """``conv_id, part, piece, text, states``: raw transcripts of a table (conv_id, turn, role, text), in a style that the
     conversation's id gives and with every ``DROPPED``-th marker or so left out, and each line's true state (-1: none)."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text")
-    parts = rows.groupBy("conv_id", F.floor(F.col("turn") / PART).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = rows.withColumn("part", F.floor(F.col("turn") / PART))
+    # Parts with too many rows, at most one for each PART rows of the table.
+    full = scratch.written(rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PART), "op7-full")
+    if full.isEmpty():
+        rows = rows.withColumn("piece", F.lit(0).cast("long"))
+    else:
+        marked = _joined(rows, full, ["conv_id", "part"])
+        rows = marked.where("c is null").drop("c").withColumn("piece", F.lit(0).cast("long")).unionByName(_in_pieces(marked.where("c is not null").drop("c")))
+    parts = rows.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for conv, part, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for conv, part, piece, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 style, names = STYLES[zlib.crc32(str(conv).encode()) % len(STYLES)]
                 lines, states = [], []
                 for k, t in enumerate(own):
@@ -127,9 +163,9 @@ def rendered_from(turns: DataFrame) -> DataFrame:
                     own_states = [-1] * len(body) if role is None else [2 * role, *[2 * role + 1] * (len(body) - 1)]
                     lines += [("" if hidden else style.format(names[role])) + body[0], *body[1:], ""]
                     states += [*own_states, -1 if role is None else 2 * role + 1]
-                out.append((conv, part, "\n".join(lines[:-1]), states[:-1]))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["conv_id", "part", "text", "states"])
+                out.append((conv, part, piece, "\n".join(lines[:-1]), states[:-1]))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["conv_id", "part", "piece", "text", "states"])
 
     return parts.mapInArrow(run, RENDERED)
 
@@ -161,23 +197,23 @@ def fit(labelled: DataFrame) -> Model:
     return Model(flat[:a], flat[a:b].reshape(N_STATES, N_STATES), flat[b:].reshape(N_STATES, N_SYMBOLS))
 
 
-PARSED = "conv_id bigint, part bigint, n_lines bigint, n_turns bigint, roles string, rendered string"
+PARSED = "conv_id bigint, part bigint, piece bigint, n_lines bigint, n_turns bigint, roles string, rendered string"
 
 
 def parsed(transcripts: DataFrame, model: Model) -> DataFrame:
-    """Transcripts (conv_id, part, text) as canonical turns; ``roles`` has each turn's first letter."""
+    """Transcripts (conv_id, part, piece, text) as canonical turns; ``roles`` has each turn's first letter."""
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             out = []
-            for conv, part, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for conv, part, piece, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 turns = turns_of(text, shared.value)
-                out.append((conv, part, text.count("\n") + 1 if text else 0, len(turns), "".join(r[0] for r, _ in turns), canonical(turns)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((conv, part, piece, text.count("\n") + 1 if text else 0, len(turns), "".join(r[0] for r, _ in turns), canonical(turns)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in PARSED.split(", ")])
 
-    return transcripts.select("conv_id", "part", "text").mapInArrow(run, PARSED)
+    return transcripts.select("conv_id", "part", "piece", "text").mapInArrow(run, PARSED)
 
 
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,27 @@ def test_odd_transcripts(spark):
     assert transcripts.turns_of(None, model) == transcripts.turns_of("", model) == []
 
 
+def test_parts_are_bounded_whatever_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "PART", 8)
+    rows = [(None, None, "user", f"n{k % 30:02}") for k in range(100)] + [(None, k, "user", f"m{k}") for k in range(3)]
+    rows += [(1, 5, "user", "same")] * 50 + [(1, 6, "assistant", f"t{k:02}") for k in range(21)] + [(1, 9, "user", "next")]
+    rows += [(2, None, "user", f"o{k}") for k in range(8)] + [(3, k, "user", f"p{k:02}") for k in range(20)]
+    random.Random(6).shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    raw = transcripts.rendered_from(df).collect()
+    found, want = {}, {}
+    for r in sorted(raw, key=lambda r: (r["conv_id"] or 0, r["part"], r["piece"])):
+        own = [line.split()[-1].split("]")[-1].split(">")[-1] for line in r["text"].split("\n") if line]
+        assert len(own) == sum(s % 2 == 0 for s in r["states"]) <= 8
+        found.setdefault((r["conv_id"], r["part"]), []).append(own)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2], r[3])):
+        want.setdefault((c, (-1 if t is None else t) // 8), []).append(text)
+    assert {k: sum(v, []) for k, v in found.items()} == want
+    assert all(len(x) == 8 for v in found.values() for x in v[:-1])
+    got = transcripts.parsed(transcripts.rendered_from(df), transcripts.fit(transcripts.rendered_from(df)))
+    assert got.agg(F.max("n_turns")).first()[0] <= 8 and got.count() == len(raw)
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(5)
