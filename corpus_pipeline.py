@@ -31,12 +31,15 @@ def common_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; all without words stay. Of rows that
-    repeat an id one stays; rows without an id can't be named as copies and stay."""
-    found = ngram_join.near_copies(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__ls_rank", rank).where("__ls_rank = 1").drop("__ls_rank")
+    """One row of each group of linked texts, of those with its smallest id; all ids without words stay. Rows that
+    repeat an id stay or go by their own texts: of equal texts, of near copies and of texts without words one stays.
+    Rows without an id can't be named as copies and stay."""
+    found = ngram_join.grouped(docs.select("doc_id", "text"))
+    kept = found.where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("text_hash").alias("__ls_text"))
+    kept = kept.select("doc_id", "__ls_text").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__ls_text").orderBy(F.lit(1)))
+    named = docs.withColumn("__ls_text", ngram_join.text_hash()).join(kept, ["doc_id", "__ls_text"], "left_semi")
+    named = named.withColumn("__ls_rank", rank).where("__ls_rank = 1").drop("__ls_rank")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -22,9 +22,10 @@ set's size.
   as the joins' own condition, and then to intersect the whole sets.
 
 Defined cases: documents without words, or with a null or empty text, have no set, link with nothing and keep their
-own id as component. With fewer than five words the whole sequence is the one shingle. Rows with equal ids are one
-node. Null ids name no component: a set that only rows without an id have links with nothing. An empty table gives no
-rows.
+own id as component. With fewer than five words the whole sequence is the one shingle. Nodes are sets, not ids: rows
+that repeat an id with different sets are in the components of their own sets, and one row's links say nothing of
+another's. Components that have the same smallest id have the same ``component_id``; ``grouped`` tells them apart. Null
+ids name no component: a set that only rows without an id have links with nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def class_of(s: np.ndarray) -> int:
         return int(mixed(mixed(s, 7).sum() + np.uint64(len(s))).view(np.int64))
 
 
-SIGNED = "doc_id bigint, n int, class bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, n int, class bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
 
 
 def _texts(batch, k: int, lo: int, n: int):
@@ -137,18 +138,18 @@ def _signer(common):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = []
-                for doc, text in zip(batch.column(0).slice(lo, 500).to_pylist(), _texts(batch, 1, lo, 500)):
+                for doc, mark, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(2).slice(lo, 500).to_pylist(), _texts(batch, 1, lo, 500)):
                     s = shingles(text)
                     n = len(s)
                     if not n:
-                        rows.append((doc, 0, None, True, None, None, [], None))
+                        rows.append((doc, mark, 0, None, True, None, None, [], None))
                         continue
                     kind, band = class_of(s), band_of(n)
                     for b in (band, band - 1) if 3 * n < 4 << band and band else (band,):
                         keys, bits, most = sketch(s, b, common.value)
-                        rows.append((doc, n, kind, b == band, b, most, keys, bits))
+                        rows.append((doc, mark, n, kind, b == band, b, most, keys, bits))
                 cols = list(zip(*rows))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[f.split()[0] for f in SIGNED.split(", ")])
 
     return run
@@ -216,12 +217,23 @@ def _close(l: str, r: str):
     return (4 * F.least(c(l, "n"), c(r, "n")) >= 3 * F.greatest(c(l, "n"), c(r, "n"))) & (apart <= F.least(c(l, "most"), c(r, "most")))
 
 
+def text_hash(text="text"):
+    """Tells a repeated id's texts apart."""
+    return F.xxhash64(F.col(text).cast("string").cast("binary"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of ``docs`` (doc_id, text), a row for each of its rows."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``near_copies`` with each row's ``text_hash``, and ``component``, the least class of its set's component (null:
+    no words)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    signed = scratch.written(texts.mapInArrow(_signer(common), SIGNED), "op6-sketches")
-    members = scratch.written(signed.where("own").select("doc_id", "n", "class"), "op6-members")
+    signed = scratch.written(texts.withColumn("text_hash", text_hash()).mapInArrow(_signer(common), SIGNED), "op6-sketches")
+    members = scratch.written(signed.where("own").select("doc_id", "text_hash", "n", "class"), "op6-members")
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     band = F.col("key").bitwiseAND(31).cast("int").alias("band")
 
@@ -270,9 +282,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # The smallest document of each component, back to the documents.
     whole = classes.join(ends, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = scratch.written(whole.join(least, "component").select("class", "component_id"), "op6-components")
+    of_class = scratch.written(whole.join(least, "component").select("class", "component", "component_id"), "op6-components")
     out = members.join(of_class, "class", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "component", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -117,6 +117,24 @@ def test_parts_are_bounded_whatever_the_keys(spark, monkeypatch):
     assert got.agg(F.max("n_turns")).first()[0] <= 8 and got.count() == len(raw)
 
 
+def test_repeated_ids_stay_by_their_own_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(60))
+    x, y, a, z = text(), text(), text(), text()
+    rows = [(3, x), (7, x + " more"), (7, y), (7, y), (8, a), (8, a + " more"), (9, z), (9, None), (9, ""), (9, z.upper()), (10, y + " more"), (None, x), (None, x)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    kept = lambda i: sorted(t or "" for d, t in got if d == i)
+    assert kept(3) == [x] and kept(7) == [y] and kept(10) == [] and kept(None) == [x, x]
+    assert len(kept(8)) == 1 and kept(8)[0] in (a, a + " more")
+    assert len(kept(9)) == 2 and kept(9)[0] == "" and kept(9)[1].lower() == z
+    assert len(got) == 7
+    found = corpus_pipeline.ngram_join.near_copies(docs)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"] and found.count() == len(rows)
+    assert sorted(r["component_id"] for r in found.where("doc_id = 7").collect()) == [3, 7, 7]
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(5)
