@@ -1,10 +1,16 @@
 """Token counts of documents in flat token files, by their separators (operator 9).
 
 A flat file is packed ids and nothing else; only the end-of-document id says where documents end. Files are read as
-blocks of a fixed size. One vectorised comparison finds a block's separators; what a document has in earlier blocks
+blocks of a bounded size. One vectorised comparison finds a block's separators; what a document has in earlier blocks
 comes from a prefix scan in two levels: sums and last separators within segments of ``SEGMENT`` blocks, then over the
 segments. So one file of any size is dealt over tasks, and no task sees more than one segment's summaries at once.
 
+``flat_files`` reads files of up to ``WHOLE`` bytes whole. A longer one is listed by its length alone and read as
+ranges of fixed-length records, by Hadoop's file systems: no task holds more than a block of it. Records must fill a
+file exactly, so a record is the largest number of ids, up to a block, that divides the file's; where that is small (a
+prime number of ids: one) more records are read for a block, which costs time only. The registered query has no flat
+files: it writes the streams as rows of a Parquet table, in numbered blocks, and scans those.
+
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
 Rows with equal ids are documents of their own. A text that holds the string of the end-of-document token is encoded as
@@ -13,8 +19,12 @@ plain text, so its ids never have the separator and its count is that of the pla
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +32,12 @@ from . import scratch, tokens
 from .token_table import token_table
 
 END_ID, BLOCK_IDS, SEGMENT = 50256, 1 << 16, 1024
+#: Bytes of a file that is read whole, and about as many in a range of a longer one.
+WHOLE, RANGE = 1 << 24, 1 << 26
 
 
 def flat_files(spark: SparkSession, path: str, item_bytes: int = 2) -> DataFrame:
-    """``file, block, ids`` of the flat files at ``path``, each read whole by one task and cut into blocks."""
+    """``file, block, ids`` of the flat files at ``path``, in blocks of up to BLOCK_IDS ids."""
 
     def run(batches):
         size = BLOCK_IDS * item_bytes
@@ -35,7 +47,36 @@ def flat_files(spark: SparkSession, path: str, item_bytes: int = 2) -> DataFrame
                 for k in range(0, len(view), size):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([view[k : k + size].tobytes()], pa.binary())], names=["file", "block", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block bigint, ids binary")
+    files, schema = spark.read.format("binaryFile").load(path), "file string, block bigint, ids binary"
+    small = files.where(F.col("length") <= WHOLE).select("path", "content").mapInArrow(run, schema)
+    long = files.where(F.col("length") > WHOLE).select("path", "length").collect()  # a row for each long file, without content
+    if not long:
+        return small
+    ranges = spark.sparkContext.union([_ranges(spark, r["path"], r["length"], item_bytes) for r in long])
+    return small.union(spark.createDataFrame(ranges, schema))
+
+
+def _ranges(spark: SparkSession, path: str, length: int, item_bytes: int) -> RDD:
+    """A long file's rows (file, block, ids); ranges start at multiples of a block."""
+    if length % item_bytes:
+        raise ValueError(f"{path}: {length} bytes are not a whole number of ids")
+    unit = next(k for k in range(BLOCK_IDS, 0, -1) if length // item_bytes % k == 0)
+    record, per = unit * item_bytes, BLOCK_IDS // unit
+    split = str(record * per * max(1, RANGE // (record * per)))
+    name = re.sub(r"([\\{}\[\]*?])", r"\\\1", path)  # no pattern
+    conf = {
+        "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", name),  # no list
+        "mapreduce.input.fileinputformat.split.minsize": split,
+        "mapreduce.input.fileinputformat.split.maxsize": split,
+        "org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record),
+    }
+    records = spark.sparkContext.newAPIHadoopRDD("org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+
+    def run(part):
+        for block, own in groupby(part, lambda r: r[0] // per):
+            yield path, block, bytearray(b"".join(r[1] for r in own))
+
+    return records.mapPartitions(run)
 
 
 def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, DataFrame, str]:

@@ -135,6 +135,32 @@ def test_flat_files(spark, tmp_path):
     assert [(r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in got] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
 
 
+def test_long_flat_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    for name, value in (("WHOLE", 1000), ("RANGE", 4096), ("BLOCK_IDS", 64), ("SEGMENT", 4)):
+        monkeypatch.setattr(token_counts, name, value)
+    rng, want = np.random.default_rng(7), {}
+    for name, n in (("a,b.bin", 6400), ("c[1]{2}.bin", 5003), ("d.bin", 2 * 4003), ("e.bin", 77), ("c1.bin", 40), ("f.bin", 6000)):
+        ids = rng.integers(0, 50000, n).astype("<u2")
+        ids[rng.integers(0, n, n // 300 + 1)] = token_counts.END_ID
+        (tmp_path / name).write_bytes(ids.tobytes())
+        ends = [-1, *np.flatnonzero(ids == token_counts.END_ID).tolist(), n]
+        want[name] = [(a + 1, b - a - 1) for a, b in zip(ends, ends[1:]) if b < n or b - a > 1]
+    # Spark's own limit for a file in one row, lowered.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        blocks = token_counts.flat_files(spark, str(tmp_path))
+        sizes = {(r["file"].split("/")[-1], r["block"]): len(r["ids"]) for r in blocks.collect()}
+        got = {}
+        for r in token_counts.counted(blocks).orderBy("file", "ordinal").collect():
+            got.setdefault(r["file"].split("/")[-1], []).append((r["start"], r["n_tokens"]))
+        assert got == want and max(sizes.values()) <= 128 and blocks.rdd.getNumPartitions() > len(want)
+        (tmp_path / "odd.bin").write_bytes(b"x" * 2001)
+        with pytest.raises(ValueError, match="whole number"):
+            token_counts.flat_files(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_line_dedup(spark, docs):
     rows = corpus()
     strip = " \t\n\x0b\x0c\r"
