@@ -9,7 +9,8 @@ segments. So one file of any size is dealt over tasks, and no task sees more tha
 ranges of fixed-length records, by Hadoop's file systems: no task holds more than a block of it. Records must fill a
 file exactly, so a record is the largest number of ids, up to a block, that divides the file's; where that is small (a
 prime number of ids: one) more records are read for a block, which costs time only. The registered query has no flat
-files: it writes the streams as rows of a Parquet table, in numbered blocks, and scans those.
+files: each task that reads documents writes them as one stream, in rows of numbered blocks of a Parquet table, and
+those are scanned.
 
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch, tokens
-from .token_table import token_table
+from .token_table import encoded, texts_of
 
 END_ID, BLOCK_IDS, SEGMENT = 50256, 1 << 16, 1024
 #: Bytes of a file that is read whole, and about as many in a range of a longer one.
@@ -80,33 +81,31 @@ def _ranges(spark: SparkSession, path: str, length: int, item_bytes: int) -> RDD
 
 
 def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """``docs`` as flat streams in blocks (``file, block, ids``), in ascending order of ids; which document is the
-    n-th of a stream (``file, ordinal, doc_id``), for naming results only; the ids' numpy type."""
-    spark, e = docs.sparkSession, tokens.encoder(vocab)
+    """``docs`` as flat streams in blocks (``file, block, ids``), one stream of each task that reads them, in their own
+    order; which document is the n-th of a stream (``file, ordinal, doc_id``), for naming results only; the ids' numpy
+    type. Nothing is shuffled, and a task holds less than a block besides what it encodes at a time."""
+    e = tokens.encoder(vocab, plain=True)
     dtype, size = e.dtype.str, BLOCK_IDS * e.dtype.itemsize
-    packed = scratch.written(token_table(docs, END_ID, vocab, plain=True), "op9-ids")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = packed.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         from pyspark import TaskContext
 
+        e = tokens.encoder(vocab, plain=True)
         name, block, held, ordinal = f"stream-{TaskContext.get().partitionId():06d}", 0, b"", 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                keys = batch.column(0).slice(lo, 64)
-                held += b"".join(x.as_py() for x in batch.column(1).slice(lo, 64))
-                full = [held[k : k + size] for k in range(0, len(held) // size * size, size)]
-                held = held[len(full) * size :]
-                yield _rows(name, [None] * len(keys), range(ordinal, ordinal + len(keys)), keys.to_pylist(), [None] * len(keys))
+            for lo, hi, ids in encoded(batch.column(1), e, END_ID):
+                keys = batch.column(0).slice(lo, hi - lo)
+                yield _rows(name, pa.nulls(len(keys), pa.int64()), np.arange(ordinal, ordinal + len(keys)), keys, pa.nulls(len(keys), pa.binary()))
                 ordinal += len(keys)
-                yield _rows(name, range(block, block + len(full)), [None] * len(full), [None] * len(full), full)
-                block += len(full)
+                held += ids.buffers()[2].to_pybytes()
+                for at in range(0, len(held) // size * size, size):
+                    yield _rows(name, [block], [None], [None], [held[at : at + size]])
+                    block += 1
+                held = held[len(held) // size * size :]
         if held:
             yield _rows(name, [block], [None], [None], [held])
 
-    both = scratch.written(ordered.mapInArrow(run, "file string, block bigint, ordinal bigint, doc_id bigint, ids binary"), "op9-flat")
-    scratch.dropped(packed)
+    both = scratch.written(docs.select(*texts_of(docs)).mapInArrow(run, "file string, block bigint, ordinal bigint, doc_id bigint, ids binary"), "op9-flat")
     return both.where("block is not null").select("file", "block", "ids"), both.where("ordinal is not null").select("file", "ordinal", "doc_id"), dtype
 
 

@@ -1,11 +1,12 @@
-"""Token ids of whole texts, by the ``tokenizers`` library, with a cache of words in each Python worker.
+"""Token ids of whole texts, by the ``tokenizers`` library, with a store of stems in each Python worker.
 
 A byte-level BPE never joins what its pre-tokeniser has split. That one always splits before a single blank that a
-non-blank follows, around a single line feed between non-blanks, and between a Latin letter and signs other than the apostrophe. So a text
-whose white space is single blanks and line feeds between words is cut there, each distinct word is encoded once per
-worker by the library's BPE, and the document's ids are those of its words one after the other. Any other text, or
-one that holds the string of an added token, is encoded whole. ``tests/llm`` holds both against the library's own
-encoding of whole texts.
+non-blank follows, around each of one or two line feeds before a non-blank, and between a letter or digit and the marks
+after it. So a text whose white space is such blanks and line feeds is cut there into pieces (a word with its blank, or
+a line feed with the word behind it), and pieces into stems and trailing marks. Arrow cuts the texts and tells a batch's
+distinct stems; those that the worker has not met are encoded by the library, and the document's ids are those of its
+stems and marks one after the other, gathered by Arrow. Any other text, or one that holds the string of an added token,
+is encoded whole. ``tests/llm`` holds both against the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCAB_FILE = "byte_bpe_50k.json"
-#: Distinct words that a worker keeps, in each of two generations; words longer than this are not kept.
-CACHE_WORDS, LONGEST_WORD = 600_000, 48
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)\Z")
+#: Distinct stems that a worker keeps before it starts anew; longer ones are not kept.
+STORED, LONGEST = 700_000, 48
+#: Marks that are taken off a word's end, and what a word must end with to stand without them.
+MARKS, _STEM = ".,;:!?", "[A-Za-z0-9À-ÖØ-öø-ÿ]$"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -49,31 +53,6 @@ def _byte_letters() -> dict[int, int]:
     return dict(zip(printable, printable)) | {b: 256 + i for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Ids of a word behind ``prefix``, packed; the last generation's words are taken over when they come again."""
-
-    def __init__(self, owner: "Encoder", prefix: str):
-        super().__init__()
-        self.owner, self.prefix, self.old = owner, prefix, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if word.isascii() and word.isalpha():
-                ids = self.owner.letters_only(self.prefix + word)
-            elif cut := _WORD.match(word):
-                stem, marks = cut.groups()
-                ids = self[stem] + self.owner.first[marks] if marks else self.owner.letters_only(self.prefix + word)
-            else:
-                ids = self.owner.whole(self.prefix + word)
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,43 +60,112 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain
-        self.split = self.library.model.tokenize
+        self.split, self.letters = self.library.model.tokenize, _byte_letters()
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if not (plain and t.special)]
-        self.letters = _byte_letters()
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed, self.feed_bytes = feed[0] if len(feed) == 1 else None, array(self.code, feed).tobytes()
         self.blank = chr(self.letters[32])
-        self.first, self.later = _Words(self, ""), _Words(self, " ")
-        self.line_feed = self.whole("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        #: A stem's place in the store; marks, and stems at a text's start, have a zero character in front.
+        self.places: dict[str, int] = {}
+        self.packed, self.ends = bytearray(), array("i", [0])
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters_only(self, word: str) -> bytes:
-        """A word of letters, perhaps with a blank before it, goes to the library's BPE as it is."""
-        if word.isascii():
-            word = word.replace(" ", self.blank)
-        else:
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.split(word)]).tobytes()
+    def regular(self, text: str) -> bool:
+        """Whether a text may be cut before its blanks and line feeds."""
+        if self.feed is None or not text.replace("\n", "").isprintable() or any(a in text for a in self.added):
+            return False
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith((" ", "\n\n")))
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of stems without line feeds. Words of letters go to the library's BPE as they are; all others go through
+        the library in one call, with line feeds between them, whose id no stem has."""
+        out, rest = [b""] * len(stems), []
+        for k, s in enumerate(stems):
+            if not _LETTERS.fullmatch(s, s[:1] == " "):
+                if s:
+                    rest.append(k)
+            elif s.isascii():
+                out[k] = array(self.code, [t.id for t in self.split(s.replace(" ", self.blank))]).tobytes()
+            else:
+                out[k] = array(self.code, [t.id for t in self.split(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if rest:
+            ids = np.array(self.library.encode("\n".join(stems[k] for k in rest), add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.feed).tolist()
+            for k, a, b in zip(rest, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
+                out[k] = ids[a:b].tobytes()
+        return out
+
+    def _placed(self, stems: list[str]) -> tuple[np.ndarray, list[bytes]]:
+        """Places of ``stems``; those from the store's end on are in the list, for this batch only."""
+        got = list(map(self.places.get, stems))
+        new = [k for k, p in enumerate(got) if p is None]
+        found = self._encode_stems([s[1:] if s[:1] in "\n\0" else " " + s for s in map(stems.__getitem__, new)])
+        late = []
+        for k, ids in zip(new, found):
+            s = stems[k]
+            if s[:1] == "\n":
+                ids = self.feed_bytes + ids
+            if len(s) <= LONGEST:
+                got[k] = self.places[s] = len(self.ends) - 1
+                self.packed += ids
+                self.ends.append(len(self.packed))
+            else:
+                late.append((k, ids))
+        for i, (k, _) in enumerate(late):
+            got[k] = len(self.ends) - 1 + i
+        return np.array(got, np.int64), [ids for _, ids in late]
+
+    def encode_many(self, texts: list[str | None], end: bytes = b"") -> pa.Array:
+        """The texts' ids, each with ``end`` behind, packed as little-endian integers of ``dtype``; a null or empty text
+        has none. An Arrow array of binaries."""
+        texts = [t or "" for t in texts]
+        odd = [k for k, t in enumerate(texts) if not self.regular(t)]
+        cut = [t.replace("\n", " \n") for t in texts]
+        for k in odd:
+            cut[k] = ""
+        pieces = pc.split_pattern(pa.array(cut, pa.string()), " ")
+        offsets, flat = pieces.offsets.to_numpy().astype(np.int64), pieces.values.dictionary_encode()
+        codes = flat.indices.to_numpy().astype(np.int64)
+        # The first piece of a text has no blank before it: it is a word of its own, marked by a zero character.
+        heads = pa.array(["\0" + h for h in flat.dictionary.take(pa.array(codes[offsets[:-1]])).to_pylist()], pa.string()).dictionary_encode()
+        codes[offsets[:-1]] = len(flat.dictionary) + heads.indices.to_numpy()
+        words = pa.concat_arrays([flat.dictionary, heads.dictionary])
+        short = pc.utf8_rtrim(words, MARKS)
+        short = pc.if_else(pc.match_substring_regex(short, _STEM), short, words)
+        stems = short.dictionary_encode()
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(short), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        tails, n_chars = words.take(pa.array(marked)).to_pylist(), pc.utf8_length(short).to_numpy()[marked].tolist()
+        tails = ["\0" + w[n:] for w, n in zip(tails, n_chars)]
+        names = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        keys = ["\0" if s == "" else s for s in stems.dictionary.to_pylist()] + list(names)
+        if len(self.places) + len(keys) > STORED:
+            self._forget()
+        places, extra = self._placed(keys)
+        n_stems, stored = len(stems.dictionary), len(self.ends) - 1
+        none, end_at = stored + len(extra), stored + len(extra) + 1
+        extra += [b"", end, *map(self.whole, map(texts.__getitem__, odd))]
+        tail_of = np.full(len(words), none)
+        tail_of[marked] = places[[n_stems + names[t] for t in tails]]
+        where = np.stack([places[stems.indices.to_numpy()][codes], tail_of[codes]], 1)
+        where[offsets[odd], 0] = end_at + 1 + np.arange(len(odd))
+        where = np.insert(where.reshape(-1), 2 * offsets[1:], end_at)
+        sizes = np.fromiter(map(len, extra), np.int64, len(extra))
+        ends = np.concatenate([np.frombuffer(self.ends, np.int32), (self.ends[-1] + np.cumsum(sizes)).astype(np.int32)])
+        store = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(bytes(self.packed) + b"".join(extra))])
+        out = store.take(pa.array(where))
+        at = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1)[np.concatenate([[0], 2 * offsets[1:] + np.arange(1, len(texts) + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), out.buffers()[2]])
 
     def encode_one(self, text: str | None) -> bytes:
-        """A text's ids, packed as little-endian integers of ``dtype``; a null or empty text has none."""
-        if not text:
-            return b""
-        words, blanks = text.split(), text.count(" ") + text.count("\n")
-        if len(words) != blanks + 1 or len("".join(words)) != len(text) - blanks or any(a in text for a in self.added):
-            return self.whole(text)
-        first, later = self.first, self.later.__getitem__
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(first[words[0]] + b"".join(map(later, words[1:])))
-        return self.line_feed.join(lines)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        return map(self.encode_one, texts)
+        return self.encode_many([text])[0].as_py()
 
 
 def as_u4(ids: bytes, dtype: np.dtype) -> np.ndarray:
