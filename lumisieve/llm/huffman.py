@@ -1,20 +1,24 @@
 """Token ids as canonical length-limited Huffman codes (operator 1).
 
-``encode_table`` writes a table of blocks in ascending document order; ``read_documents`` gives the documents back.
-
-* Code lengths come from the counts of every id in the corpus (``id_counts``: partial sums in the tasks, one row per
-  id of the vocabulary in the end, which is all that reaches the driver). Package-merge bounds them at ``MAX_BITS``,
-  so that a decoder needs one table of ``2 ** MAX_BITS`` entries. Codes are canonical: the lengths alone give them.
+``encode_table`` writes a folder with three Parquet tables: blocks in ascending document order, code lengths, and a
+manifest of shards; ``read_documents`` gives the documents back from the folder alone, in any session.
+
+* Spark sorts the texts by ranges of document ids; each range is a shard, whose task encodes the texts, forms blocks of
+  ids and counts them. So texts move once, and ids never.
+* Code lengths come from the counts of every id in the corpus (partial sums of the tasks, one row per id of the
+  vocabulary in the end, which is all that reaches the driver). Package-merge bounds them at ``MAX_BITS``, so that a
+  decoder needs one table of ``2 ** MAX_BITS`` entries. Codes are canonical: the lengths alone give them.
 * A block holds up to ``BLOCK_IDS`` ids of one shard's stream, whatever documents they belong to, and can be decoded
   alone: it carries its documents' ordinals and lengths and, for every ``CHECKPOINT_IDS`` ids, the bit at which they
-  start. The decoder works on all checkpoints of a block at once, one table look-up for a step of each.
-* A shard is one range of document ids, sorted; a small manifest has each shard's sums, so that a document's place in
-  the whole stream is its shard's first place plus its place there.
+  start. The decoder works on all checkpoints of several blocks at once, one table look-up for a step of each.
+* The manifest has each shard's first place, so that a document's place in the whole stream is that plus its place
+  in the shard.
 
 Blocks are rows of a Parquet table, so Spark's own commit protocol makes the output whole when tasks are run again.
 
 Defined cases: a null or empty text has the end id only. Null document ids come first. Rows with equal ids are
-documents of their own, in the order of their token ids. An empty table gives no rows. Other columns are not read.
+documents of their own, in the order in which they are read, and a range may end between them. An empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,26 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crc, scratch, tokens
-from .token_table import token_table
+from .token_table import encoded, texts_of
 
 MAX_BITS, BLOCK_IDS, CHECKPOINT_IDS = 16, 1 << 16, 128
-BLOCKS = "shard int, block bigint, first_id bigint, n_ids bigint, doc_ids array<bigint>, ordinals array<bigint>, lengths array<bigint>, before array<bigint>, after array<bigint>, checkpoints array<bigint>, bits binary"
-
-
-def id_counts(packed: DataFrame, n_ids: int, dtype: str) -> DataFrame:
-    """``token_id, n`` over all rows of a table with packed ``ids``."""
-
-    def run(batches):
-        total = np.zeros(n_ids, np.int64)
-        for batch in batches:
-            for b in batch.column(0):
-                total += np.bincount(np.frombuffer(b.as_buffer(), dtype), minlength=n_ids) if len(b.as_buffer()) > n_ids else 0
-                if len(b.as_buffer()) <= n_ids:
-                    np.add.at(total, np.frombuffer(b.as_buffer(), dtype), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token_id", "n"])
-
-    return packed.select("ids").mapInArrow(run, "token_id int, n bigint").groupBy("token_id").agg(F.sum("n").alias("n"))
+PARTS = "shard int, block bigint, first_id bigint, n_ids bigint, doc_ids array<bigint>, ordinals array<bigint>, lengths array<bigint>, after array<bigint>"
+RAW = f"{PARTS}, ids binary, used array<int>, counts array<bigint>"
+BLOCKS = f"{PARTS}, checkpoints array<bigint>, bits binary"
+#: Blocks that a decoder takes together.
+TOGETHER = 16
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -124,108 +116,158 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
     return out[: (total + 7) // 8].tobytes(), start[::CHECKPOINT_IDS]
 
 
-def decode_bits(bits: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """The ids of a block; all checkpoints advance together, an id a step."""
+def decode_blocks(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
+    """The ids of blocks (bits, checkpoints, number of ids); all checkpoints advance together, an id a step."""
     ids, sizes, width = table
-    raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(bytes(bits) + b"\0\0\0" for bits, _, _ in blocks), np.uint8).astype(np.uint32)
     # 24 bits from any byte on hold every window of up to 16 bits that starts in it.
     window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    at = np.array(checkpoints, np.int64)
+    first = 8 * np.cumsum([0, *(len(bits) + 3 for bits, _, _ in blocks)])
+    at = np.concatenate([marks + start for (_, marks, _), start in zip(blocks, first)])
     out = np.zeros((CHECKPOINT_IDS, len(at)), np.uint32)
     last, shift, mask = len(window) - 1, 24 - width, (1 << width) - 1
     for k in range(CHECKPOINT_IDS):
         got = (window[np.minimum(at >> 3, last)] >> (shift - (at & 7))) & mask
         out[k] = ids[got]
         at += sizes[got]
-    return out.T.reshape(-1)[:n_ids]
+    found, lo = [], 0
+    for _, marks, n in blocks:
+        found.append(np.ascontiguousarray(out[:, lo : lo + len(marks)].T).reshape(-1)[:n].astype("<u4", copy=False))
+        lo += len(marks)
+    return found
 
 
-def encode_table(docs: DataFrame, end_id: int, vocab: str | None = None, shards: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Write ``docs`` (doc_id, text): the blocks' table, the manifest (shard, first place in the stream), code lengths."""
-    spark = docs.sparkSession
-    e = tokens.encoder(vocab)
-    n_ids, dtype = max(e.n_ids, end_id + 1), e.dtype.str
-    packed = scratch.written(token_table(docs, end_id, vocab), "op1-ids")
-    counts = np.zeros(n_ids, np.int64)
-    for row in id_counts(packed, n_ids, dtype).toLocalIterator():  # at most one row for each id of the vocabulary
-        counts[row["token_id"]] = row["n"]
-    lengths = code_lengths(counts, max(MAX_BITS, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
-    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
+def decode_bits(bits: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    return decode_blocks([(bits, np.asarray(checkpoints, np.int64), n_ids)], table)[0]
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _row(values: list, fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, fields)], schema=fields)
 
-    fields = _arrow_schema(BLOCKS)
+
+def raw_blocks(docs: DataFrame, end_id: int, vocab: str | None, shards: int, n_ids: int) -> DataFrame:
+    """``RAW``: blocks of plain ids, a shard's blocks from one task, and a row with each task's counts."""
+    fields = _arrow_schema(RAW)
 
     def run(batches):
         from pyspark import TaskContext
 
-        lengths, codes = shared.value
+        e = tokens.encoder(vocab)
         shard, block, ordinal, place = TaskContext.get().partitionId(), 0, 0, 0
-        parts, rows, room = [], [], BLOCK_IDS
+        counts, parts, room = np.zeros(n_ids, np.int64), [], BLOCK_IDS
+        held: list[np.ndarray] = []
 
         def flush():
-            nonlocal block, parts, rows, room, place
-            ids = np.concatenate(parts)
-            bits, marks = encode_bits(ids, codes, lengths)
-            keys, ordinals, sizes, before, after = (list(x) for x in zip(*rows))
-            row = [shard, block, place, len(ids), keys, ordinals, sizes, before, after, marks.tolist(), bits]
-            block, place, parts, rows, room = block + 1, place + len(ids), [], [], BLOCK_IDS
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields)], schema=fields)
+            nonlocal block, place, parts, held, room
+            keys, ordinals, sizes, after = (list(x) for x in zip(*parts))
+            row = [shard, block, place, BLOCK_IDS - room, keys, ordinals, sizes, after, b"".join(held), None, None]
+            block, place, parts, held, room = block + 1, place + BLOCK_IDS - room, [], [], BLOCK_IDS
+            return _row(row, fields)
 
         for batch in batches:
-            for key, packed_ids in zip(batch.column(0), batch.column(1)):
-                ids, done = np.frombuffer(packed_ids.as_buffer(), dtype), 0
-                while done < len(ids):
-                    n = min(room, len(ids) - done)
-                    parts.append(ids[done : done + n])
-                    rows.append((key.as_py(), ordinal, n, done, len(ids) - done - n))
-                    done, room = done + n, room - n
-                    if not room:
-                        yield flush()
-                ordinal += 1
-        if rows:
+            for lo, hi, packed in encoded(batch.column(1), e, end_id):
+                ids, ends = np.frombuffer(packed.buffers()[2], e.dtype), np.frombuffer(packed.buffers()[1], np.int32) // e.dtype.itemsize
+                counts += np.bincount(ids, minlength=n_ids)
+                for key, at, end in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    while at < end:
+                        n = min(room, end - at)
+                        held.append(ids[at : at + n])
+                        parts.append((key, ordinal, n, end - at - n))
+                        at, room = at + n, room - n
+                        if not room:
+                            yield flush()
+                    ordinal += 1
+        if parts:
             yield flush()
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield _row([shard, None, None, None, None, None, None, None, None, used.astype(np.int32), counts[used]], fields)
+
+    # Of rows with one id the place among the rows read is the second key, so that no id is bound to one shard.
+    placed = docs.select(*texts_of(docs), F.monotonically_increasing_id().alias("__ls_at"))
+    ordered = placed.repartitionByRange(shards, "doc_id", "__ls_at").sortWithinPartitions("doc_id", "__ls_at")
+    return ordered.select("doc_id", "text").mapInArrow(run, RAW)
+
 
-    n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = packed.select("doc_id", "ids").repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = scratch.written(ordered.mapInArrow(run, BLOCKS), "op1-blocks", "none")
-    scratch.dropped(packed)
-    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row per shard
+def _encoder_of(shared):
+    fields = _arrow_schema(BLOCKS)
+
+    def run(batches):
+        lengths, codes, dtype = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bits, marks = encode_bits(np.frombuffer(batch.column(8)[k].as_buffer(), dtype), codes, lengths)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(8)), pa.array([marks], fields[8].type), pa.array([bits], pa.binary())], schema=fields)
+
+    return run
+
+
+def encode_table(docs: DataFrame, end_id: int, vocab: str | None = None, shards: int | None = None, path: str | None = None) -> str:
+    """Write ``docs`` (doc_id, text) as a folder of blocks, code lengths and manifest; its path."""
+    spark, path = docs.sparkSession, path or scratch.new_path(docs.sparkSession, "op1-files")
+    e = tokens.encoder(vocab)
+    n_ids = max(e.n_ids, end_id + 1)
+    raw = scratch.written(raw_blocks(docs, end_id, vocab, shards or int(spark.conf.get("spark.sql.shuffle.partitions")), n_ids), "op1-raw")
+    counts = np.zeros(n_ids, np.int64)
+    pairs = raw.where("used is not null").select(F.explode(F.arrays_zip("used", "counts")).alias("c"))
+    for row in pairs.groupBy("c.used").agg(F.sum("c.counts").alias("n")).collect():  # at most one row for each id of the vocabulary
+        counts[row["used"]] = row["n"]
+    lengths = code_lengths(counts, max(MAX_BITS, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
+    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), e.dtype.str))
+    raw.where("ids is not null").select(*[f.split()[0] for f in RAW.split(", ")[:9]]).mapInArrow(_encoder_of(shared), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    used = np.flatnonzero(lengths).tolist()
+    spark.createDataFrame([(k, int(lengths[k])) for k in used], "token_id int, n_bits int").coalesce(1).write.parquet(f"{path}/lengths")
+    sums = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row per shard
     first, manifest = 0, []
     for row in sums:
         manifest.append((row["shard"], first))
         first += row["n"]
-    return blocks, spark.createDataFrame(manifest, "shard int, shard_start bigint"), lengths
-
-
-def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    spark.createDataFrame(manifest, "shard int, shard_start bigint").coalesce(1).write.parquet(f"{path}/manifest")
+    scratch.dropped(raw)
+    return path
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
 
-
-def read_documents(blocks: DataFrame, manifest: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the blocks alone.
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the folder that ``encode_table`` wrote.
 
     A block gives for each of its documents the part's length and what its CRC adds to the whole document's; sums and
     xors bring the parts of a long document together, however many blocks it takes.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(lengths)
+    known = spark.read.parquet(f"{path}/lengths").collect()  # at most one row for each id of the vocabulary
+    lengths = np.zeros(max((r["token_id"] for r in known), default=0) + 1, np.uint8)
+    for r in known:
+        lengths[r["token_id"]] = r["n_bits"]
+    shared = spark.sparkContext.broadcast(lengths)
+    names = ["shard", "ordinal", "doc_id", "place", "n", "mark"]
 
     def run(batches):
         table = decode_table(shared.value)
+        values = lambda column, k: column[k].values
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = decode_bits(r["bits"], r["checkpoints"], r["n_ids"], table).astype("<u4")
-                ends = np.cumsum(r["lengths"])
-                marks = [crc.moved(zlib.crc32(ids[e - n : e]), 4 * a) for e, n, a in zip(ends.tolist(), r["lengths"], r["after"])]
-                starts = r["first_id"] + ends - r["lengths"]
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(ends), pa.int32()), pa.array(r["ordinals"], pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(marks, pa.int64())], names=["shard", "ordinal", "doc_id", "place", "n", "mark"])
-
+            shard, first_id, n_ids, doc_ids, ordinals, sizes, after, marks, bits = (batch.column(c) for c in range(9))
+            for lo in range(0, batch.num_rows, TOGETHER):
+                some = range(lo, min(batch.num_rows, lo + TOGETHER))
+                decoded = decode_blocks([(bits[k].as_buffer(), values(marks, k).to_numpy(), n_ids[k].as_py()) for k in some], table)
+                for k, ids in zip(some, decoded):
+                    n = values(sizes, k).to_numpy()
+                    ends = np.cumsum(n)
+                    crcs = [zlib.crc32(ids[e - m : e]) for e, m in zip(ends.tolist(), n.tolist())]
+                    crcs = [crc.moved(c, 4 * a) if a else c for c, a in zip(crcs, values(after, k).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard[k].as_py()] * len(n), pa.int32()), values(ordinals, k), values(doc_ids, k), pa.array(first_id[k].as_py() + ends - n), values(sizes, k), pa.array(crcs, pa.int64())], names=names)
+
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "first_id", "n_ids", "doc_ids", "ordinals", "lengths", "after", "checkpoints", "bits")
     parts = blocks.mapInArrow(run, "shard int, ordinal bigint, doc_id bigint, place bigint, n bigint, mark bigint")
     docs = parts.groupBy("shard", "ordinal").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.sum("n").alias("n_tokens"), F.bit_xor("mark").alias("ids_crc32"))
-    return docs.join(manifest, "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(spark.read.parquet(f"{path}/manifest"), "shard").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_documents(*encode_table(docs, end_id=2))
+    return read_documents(spark, encode_table(docs, end_id=2))

@@ -61,7 +61,7 @@ def test_code_lengths_are_optimal_and_limited():
 
 
 def test_token_output(spark, docs):
-    got = huffman.read_documents(*huffman.encode_table(docs, end_id=2)).orderBy("doc_id").collect()
+    got = huffman.read_documents(spark, huffman.encode_table(docs, end_id=2)).orderBy("doc_id").collect()
     start = 0
     for row, own in zip(got, corpus(), strict=True):
         ids = ids_of(own[1]) + [2]
@@ -72,10 +72,22 @@ def test_token_output(spark, docs):
 def test_long_documents_span_blocks(spark, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK_IDS", 100)
     rows = corpus(5, 10)
-    got = huffman.read_documents(*huffman.encode_table(spark.createDataFrame(rows, SCHEMA), end_id=2, shards=2)).orderBy("doc_id").collect()
+    got = huffman.read_documents(spark, huffman.encode_table(spark.createDataFrame(rows, SCHEMA), end_id=2, shards=2)).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(ids_of(r[1])) + 1, crc([*ids_of(r[1]), 2])) for r in rows]
 
 
+def test_files_are_read_by_their_path_alone(spark, tmp_path):
+    """Another session's read; null and repeated ids; an empty table."""
+    rows = [(None, "a b"), (None, None), (3, "x y z"), (3, "x y z"), (3, "other"), (9, "")]
+    path = huffman.encode_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), end_id=2, shards=3, path=str(tmp_path / "files"))
+    got = sorted(map(tuple, huffman.read_documents(spark.newSession(), path).collect()), key=lambda r: r[1])
+    want = sorted((len(ids_of(t)) + 1, crc([*ids_of(t), 2])) for _, t in rows)
+    assert [r[0] for r in got] == [None, None, 3, 3, 3, 9] and sorted(r[2:] for r in got) == want
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+    none = huffman.encode_table(spark.createDataFrame([], "doc_id long, text string"), end_id=2, path=str(tmp_path / "none"))
+    assert huffman.read_documents(spark, none).count() == 0
+
+
 def test_packing(spark, docs):
     pieces = packing.pack(docs).collect()
     own, seqs = defaultdict(list), defaultdict(list)
@@ -343,7 +355,7 @@ def test_matroska_forms(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
-    assert huffman.read_documents(*huffman.encode_table(none, 2)).count() == 0
+    assert huffman.read_documents(spark, huffman.encode_table(none, 2)).count() == 0
     assert packing.pack(none).count() == 0 and mixing.mix(none).count() == 0
     assert line_dedup.drop_common_lines(none).count() == 0 and ngram_join.near_copies(none).count() == 0
     assert matroska.features(matroska.store(none)).count() == 0
@@ -354,7 +366,7 @@ def test_empty_tables(spark):
 def test_null_and_repeated_ids(spark):
     rows = [(None, "one two three four five six"), (7, "one two three four five six"), (7, "one two three four five six"), (7, "other words"), (None, None)]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], EMPTY)
-    assert huffman.read_documents(*huffman.encode_table(docs, 2)).count() == 5
+    assert huffman.read_documents(spark, huffman.encode_table(docs, 2)).count() == 5
     assert packing.pack(docs).agg({"length": "sum"}).first()[0] == sum(len(ids_of(t)) + 1 for _, t in rows)
     got = ngram_join.near_copies(docs).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == {(7, 7): 3} and len(got) == 5
