@@ -1,8 +1,8 @@
 """Hash values as Column expressions: bits, hexadecimal text, distances.
 
 A hash is ``array<int>`` of zeros and ones, row by row, or its text: the bits as one big number in lower-case
-hexadecimal, padded in front to whole digits. Distances are taken between texts, 15 digits at a time as whole numbers,
-so hashes of any length stay in native expressions.
+hexadecimal, padded in front to whole digits. Distances are taken between words of 64 bits (the last one shorter), so
+hashes of any length stay in native expressions; joins make the words once for each hash.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ SNAP, BIT_ERROR_RATE = 1e-10, 0.25
 
 def above(values: Column, threshold: Column, snap: float = 0.0) -> Column:
     """One where a value exceeds the threshold by more than ``snap``."""
-    return F.transform(values, lambda v: (v > threshold + snap).cast("int"))
+    # The threshold is an array beside the values: within a lambda it would be computed for each of them.
+    return F.zip_with(values, F.array_repeat(threshold + snap if snap else threshold, F.size(values)), lambda v, t: (v > t).cast("int"))
 
 
 def mean_of(values: Column) -> Column:
@@ -43,11 +44,13 @@ def difference_bits(plane: Column, width: int, height: int, vertical: bool = Fal
 
 def to_hex(bits: Column, n: int) -> Column:
     """The text of ``n`` bits."""
-    front = -n % 4
-    digits = []
-    for lo in range(-front, n, 4):
-        digits.append(sum((F.get(bits, F.lit(lo + k)) * (8 >> k) for k in range(4) if lo + k >= 0), F.lit(0)))
-    return F.concat(*[F.lower(F.hex(d.cast("long"))) for d in digits])
+    parts, lo = [], 0
+    while lo < n:
+        size = (n - lo) % 64 or 64  # whole words but for the first
+        number = F.aggregate(F.slice(bits, lo + 1, size), F.lit(0).cast("long"), lambda s, v: F.shiftleft(s, 1).bitwiseOR(v.cast("long")))
+        parts.append(F.lpad(F.lower(F.hex(number)), (size + 3) // 4, "0"))
+        lo += size
+    return F.concat(*parts)
 
 
 def is_hex(text: Column) -> Column:
@@ -85,14 +88,35 @@ def from_multi_hex(text: Column) -> Column:
     return F.when(F.forall(parts, lambda p: side_of(p).isNotNull()), parts)
 
 
+def bit_size(text: Column) -> Column:
+    """How many bits a hash's text holds (not how many are set)."""
+    return F.length(text) * 4
+
+
+def valid_bits(bits: Column) -> Column:
+    """Whether an array is a hash: not empty, zeros and ones only."""
+    return F.coalesce((F.size(bits) > 0) & F.forall(bits, lambda b: b.isNotNull() & b.isin(0, 1)), F.lit(False))
+
+
+def old_hex(text: Column, side: int = 8) -> Column:
+    """Bits from the text of earlier versions, which took the two digits of every 8 bits from the last bit to the first."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side * side // 8 - 1)), lambda i: F.reverse(_bits(F.substring(text, i * 2 + 1, F.lit(2))))))
+
+
+def words_of(text: Column) -> Column:
+    """A text's bits as words of 64."""
+    word = lambda i: F.conv(F.substring(text, i * 16 + 1, F.lit(16)), 16, -10).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / 16).cast("int"))), word)
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of as many words."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two texts of one length; null if the lengths differ."""
-    def part(text: Column, i: Column) -> Column:
-        return F.conv(F.substring(text, i * 15 + 1, F.lit(15)), 16, 10).cast("long")
-
-    parts = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / 15).cast("int"))
-    n = F.aggregate(parts, F.lit(0), lambda s, i: s + F.bit_count(part(a, i).bitwiseXOR(part(b, i))))
-    return F.when(F.length(a) == F.length(b), n)
+    return F.when(F.length(a) == F.length(b), apart(words_of(a), words_of(b)))
 
 
 def nearest(own: Column, others: Column) -> Column:
@@ -101,7 +125,7 @@ def nearest(own: Column, others: Column) -> Column:
 
 
 def cutoff_of(first: Column, cutoff: float | None, rate: float | None) -> Column:
-    return F.lit(float(cutoff)) if cutoff is not None else F.length(first) * 4 * F.lit(BIT_ERROR_RATE if rate is None else rate)
+    return F.lit(float(cutoff)) if cutoff is not None else bit_size(first) * F.lit(BIT_ERROR_RATE if rate is None else rate)
 
 
 def multi_difference(own: Column, other: Column, cutoff: float | None = None, rate: float | None = None) -> Column:
@@ -114,7 +138,7 @@ def multi_difference(own: Column, other: Column, cutoff: float | None = None, ra
 def multi_distance(own: Column, other: Column, cutoff: float | None = None, rate: float | None = None) -> Column:
     """Segments without a match, plus the matched ones' mean share of differing bits."""
     d, n = multi_difference(own, other, cutoff, rate), F.size(own).cast("double")
-    bits = F.length(F.get(own, F.lit(0))) * 4
+    bits = bit_size(F.get(own, F.lit(0)))
     return F.when(d["matches"] == 0, n).otherwise(n - (d["matches"] - d["distance"] / (d["matches"] * bits).cast("double")))
 
 

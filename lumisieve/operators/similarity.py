@@ -1,35 +1,65 @@
 """Joins and groups by Hamming distance between hash texts of one length.
 
-Pairs within a distance ``t`` share at least one of ``t + 1`` runs of digits exactly (t differing bits touch at most t
-digits), so candidates come from an equi-join on (run, digits) and are then measured. Equal hashes are one value
-throughout: pairs are between distinct values, and rows find their value by a plain join, which adaptive execution
-splits where a value is very common.
+Hashes are compared as 64-bit words. They are cut into blocks of 16 bits; if two are at most ``within`` bits apart, one
+of ``m`` blocks differs in at most ``within // m`` bits. So one side gives each block's value, the other one each value
+within that many bits of it, and candidates come from an equi-join on (block, value), whose condition measures them.
+The number of probes grows steeply with ``within // m`` (64 bits: 4 keys on one side, and 4, 68, 548, 2,788 on the other
+up to 3, 7, 11, 15 bits). Equal hashes are one value throughout: pairs are between distinct values, and rows find their
+value by a plain join, which adaptive execution splits where a value is very common.
+
+Defined cases: a null hash, or one of another length than ``digits``, is near nothing; ``near_groups`` and
+``best_match`` keep its row, in a group of its own and without a match.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashes import hamming
+from ..functions.hashes import apart, multi_distance, words_of
 from .components import components
 
+BLOCK_BITS = 16
+#: Golden entries that are measured in one row, shares of the values that meet them, and how many entries are sent whole.
+GOLDEN_BLOCK, GOLDEN_SHARES, GOLDEN_SENT = 1024, 32, 100_000
+
+
+def _blocks(digits: int) -> list[tuple[int, int, int]]:
+    """Word, first bit and width of each block of a hash."""
+    out = []
+    for word in range(-(-digits // 16)):
+        n = min(64, 4 * digits - 64 * word)
+        out += [(word, at, min(BLOCK_BITS, n - at)) for at in range(0, n, BLOCK_BITS)]
+    return out
+
 
-def _runs(hex_col: str, digits: int, n: int):
-    cuts = [digits * k // n for k in range(n + 1)]
-    return F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.substring(hex_col, a + 1, b - a).alias("part")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]))
+def _masks(width: int, most: int) -> list[int]:
+    return [sum(1 << i for i in c) for k in range(min(most, width) + 1) for c in combinations(range(width), k)]
 
 
-def near_values(left: DataFrame, right: DataFrame, digits: int, within: int) -> DataFrame:
-    """``a, b, distance`` of the distinct hashes ``hex`` of two tables that are at most ``within`` bits apart."""
-    a, b = (t.select("hex").where(F.length("hex") == digits).distinct() for t in (left, right))
-    if within >= digits:  # more bits than digits: no run need be equal, so every pair of values is measured
-        pairs = a.select(F.col("hex").alias("a")).join(b.select(F.col("hex").alias("b")), hamming(F.col("a"), F.col("b")) <= within)
-    else:
-        one = a.select(F.col("hex").alias("a"), _runs("hex", digits, within + 1).alias("r")).select("a", "r.run", "r.part")
-        two = b.select(F.col("hex").alias("b"), _runs("hex", digits, within + 1).alias("r")).select("b", "r.run", "r.part")
-        pairs = one.join(two, ["run", "part"]).select("a", "b").distinct()
-    return pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= within)
+def _values(rows: DataFrame, name: str, digits: int) -> DataFrame:
+    """Distinct hashes, with their words: made below the aggregate, so that nothing above it makes them again."""
+    words = [F.conv(F.substring("hex", 16 * k + 1, 16), 16, -10).cast("long").alias(f"{name}{k}") for k in range(-(-digits // 16))]
+    return rows.select(F.col("hex").alias(name), *words).distinct().where(F.length(name) == digits)
+
+
+def near_values(left: DataFrame, right: DataFrame, digits: int, within: int, ordered: bool = False) -> DataFrame:
+    """``a, b, distance`` of the distinct hashes ``hex`` of two tables that are at most ``within`` bits apart; ``ordered``:
+    only those with a < b."""
+    a, b, blocks = _values(left, "a", digits), _values(right, "b", digits), _blocks(digits)
+    most = within // len(blocks)
+    part = lambda side, k, at, width: F.shiftrightunsigned(F.col(f"{side}{k}"), at).bitwiseAND((1 << width) - 1)
+    one = [F.struct(F.lit(i).alias("block"), part("a", *b_).alias("part")) for i, b_ in enumerate(blocks)]
+    masks = lambda width: F.array(*[F.lit(m).cast("long") for m in _masks(width, most)])
+    near = lambda i, b_: F.transform(masks(b_[2]), lambda m: F.struct(F.lit(i).alias("block"), part("b", *b_).bitwiseXOR(m).alias("part")))
+    one = a.withColumn("k", F.explode(F.array(*one))).withColumns({"block": F.col("k.block"), "part": F.col("k.part")}).drop("k")
+    two = b.withColumn("k", F.explode(F.flatten(F.array(*[near(i, b_) for i, b_ in enumerate(blocks)])))).withColumns({"block": F.col("k.block"), "part": F.col("k.part")}).drop("k")
+    distance = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(-(-digits // 16))), F.lit(0))
+    met = (one["block"] == two["block"]) & (one["part"] == two["part"]) & (distance <= within)
+    pairs = one.join(two, met & (F.col("a") < F.col("b")) if ordered else met)
+    return pairs.select("a", "b", distance.cast("int").alias("distance")).distinct()
 
 
 def near_rows(left: DataFrame, right: DataFrame, digits: int, within: int) -> DataFrame:
@@ -39,28 +69,48 @@ def near_rows(left: DataFrame, right: DataFrame, digits: int, within: int) -> Da
 
 
 def near_groups(rows: DataFrame, digits: int, within: int) -> DataFrame:
-    """``id, hex, group_id`` (the smallest id that steps of at most ``within`` bits reach) for rows with a hash.
+    """``id, hex, group_id`` (the smallest id that steps of at most ``within`` bits reach) for every row.
 
-    Being near is no equivalence; groups are what chains of near values connect.
+    Being near is no equivalence; groups are what chains of near values connect. A row without a hash is alone.
     """
-    numbered = rows.groupBy("hex").agg(F.min("id").alias("first"))
-    pairs = near_values(rows, rows, digits, within).where("a < b")
+    numbered = rows.where("hex is not null").groupBy("hex").agg(F.min("id").alias("first"))
+    pairs = near_values(rows, rows, digits, within, ordered=True)
     links = pairs.join(numbered.toDF("a", "x"), "a").join(numbered.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components(links)
     of_value = numbered.join(groups, F.col("first") == F.col("node"), "left").select("hex", F.coalesce("component", "first").alias("group_id"))
-    return rows.join(of_value, "hex").select("id", "hex", "group_id")
+    return rows.join(of_value, "hex", "left").select("id", "hex", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def best_match(rows: DataFrame, golden: DataFrame, digits: int) -> DataFrame:
-    """For each row (id, hex) the nearest of ``golden`` (ordinal, hex), the first of equally near ones.
+def _best(values: DataFrame, golden: DataFrame, kind: str, own: str, distance) -> DataFrame:
+    """``values`` (kind, own) with ``best`` (distance, ordinal) of the golden entries (kind, own, ordinal).
 
-    A stated set is searched from every distinct value; the golden set is read by all tasks, so it should be small.
+    Entries are gathered in blocks of about GOLDEN_BLOCK, and an expression measures a whole block, so that what is
+    between is never a row for each pair. At most GOLDEN_SENT entries are sent to all tasks; more are dealt with copies
+    for each share of the values.
     """
-    values = rows.select("hex").where(F.length("hex") == digits).distinct()
-    known = golden.select("ordinal", F.col("hex").alias("golden_hex"))
-    near = values.join(known, hamming(F.col("hex"), F.col("golden_hex")).isNotNull())
-    best = near.groupBy("hex").agg(F.min(F.struct(hamming(F.col("hex"), F.col("golden_hex")).alias("distance"), "ordinal")).alias("best"))
-    return rows.join(best, "hex").select("id", "hex", F.col("best.ordinal").alias("ordinal"), F.col("best.distance").alias("distance"))
+    n = golden.count()
+    block = F.pmod(F.xxhash64("ordinal", own), F.lit(max(1, -(-n // GOLDEN_BLOCK)))).alias("block")
+    blocks = golden.groupBy(kind, block).agg(F.collect_list(F.struct("ordinal", F.col(own).alias("value"))).alias("known"))
+    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(GOLDEN_SHARES - 1))))
+    dealt = values.withColumn("share", F.pmod(F.xxhash64(own), F.lit(GOLDEN_SHARES)).cast("int"))
+    met = dealt.join(F.broadcast(blocks) if n <= GOLDEN_SENT else blocks, [kind, "share"])
+    best = F.array_min(F.transform("known", lambda g: F.struct(distance(F.col(own), g["value"]).alias("distance"), g["ordinal"].alias("ordinal"))))
+    return met.groupBy(*values.columns).agg(F.min(best).alias("best"))
+
+
+def best_match(rows: DataFrame, golden: DataFrame, digits: int) -> DataFrame:
+    """For each row (id, hex) the nearest of ``golden`` (ordinal, hex), the first of equally near ones; nulls without."""
+    words = lambda t, *more: t.where(F.length("hex") == digits).select(*more, F.length("hex").alias("kind"), words_of(F.col("hex")).alias("own"))
+    best = _best(words(rows.select("hex").distinct(), "hex"), words(golden, "ordinal"), "kind", "own", apart).select("hex", "best")
+    return rows.join(best, "hex", "left").select("id", "hex", F.col("best.ordinal").alias("ordinal"), F.col("best.distance").alias("distance"))
+
+
+def best_multi_match(rows: DataFrame, golden: DataFrame, cutoff: float | None = None, rate: float | None = None) -> DataFrame:
+    """For each row (id, own: the hashes of its segments) the golden entry (ordinal, own) of the smallest multi-hash
+    distance, the first of equally near ones; nulls for a row without segments."""
+    some = lambda t, *more: t.where(F.size("own") > 0).select(*more, F.lit(0).alias("kind"), "own")
+    best = _best(some(rows.select("own").distinct()), some(golden, "ordinal"), "kind", "own", lambda a, b: multi_distance(a, b, cutoff, rate)).select("own", "best")
+    return rows.join(best, "own", "left").select("id", F.col("best.ordinal").alias("ordinal"), F.col("best.distance").alias("distance"))
 
 
 def known(rows: DataFrame, golden: DataFrame, missing: bool = False) -> DataFrame:
@@ -72,3 +122,17 @@ def largest(rows: DataFrame, by: list[str], size: str, ordinal: str, k: int) ->
     """The ``k`` largest rows of each group, of equally large ones the first, with their ``rank``."""
     w = Window.partitionBy(*by).orderBy(F.desc(size), F.asc(ordinal))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def before(rows: DataFrame, by: str, order: str, value: str, span: int = 4096) -> DataFrame:
+    """``rows`` with ``before``: the value of the row before, of those with the same ``by``, in the order of a whole number.
+
+    Rows are looked at in stretches of ``span`` numbers, so a long series is many tasks' work; only the last rows of the
+    stretches form a series of their own.
+    """
+    dealt = rows.withColumn("__ls_span", F.floor(F.col(order) / span))
+    inner = dealt.withColumn("__ls_inner", F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(by, "__ls_span").orderBy(order)))
+    lasts = dealt.groupBy(by, "__ls_span").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__ls_last"))
+    lasts = lasts.withColumn("__ls_outer", F.lag("__ls_last").over(Window.partitionBy(by).orderBy("__ls_span"))).drop("__ls_last")
+    same = inner[by].eqNullSafe(lasts[by]) & inner["__ls_span"].eqNullSafe(lasts["__ls_span"])
+    return inner.join(lasts, same, "left").select(*[inner[c] for c in rows.columns], F.coalesce("__ls_inner", "__ls_outer")["v"].alias("before"))

@@ -54,9 +54,12 @@ source AS (SELECT doc_id, m, CAST('0x' || substr(p, 1, 2) AS BIGINT) AS r, CAST(
 {_pixels('r', 'g', 'b', 'source')},
 sums AS (SELECT doc_id, sum(m) AS total, coalesce(sum(CASE WHEN colour_class = 'black' THEN m END), 0) AS black, coalesce(sum(CASE WHEN colour_class = 'gray' THEN m END), 0) AS gray, {sums} FROM judged GROUP BY doc_id),
 vals AS (SELECT doc_id, [{', '.join(values)}] AS v FROM sums)
-SELECT doc_id, array_to_string(v, ',') AS bins, {encoded} AS hex FROM vals"""
+SELECT doc_id, array_to_string(v, ',') AS bins, {encoded} AS hex FROM vals
+UNION ALL SELECT doc_id, NULL, NULL FROM codes WHERE length(x) < 6"""
 
 
+COPIES = """copies AS MATERIALIZED (SELECT vec_id AS id, hex FROM hashes UNION ALL SELECT vec_id + 1000000, substr(hex, 1, CAST(vec_id % 9 AS INTEGER))
+  || translate(substr(hex, CAST(vec_id % 9 + 1 AS INTEGER), CAST(vec_id % 8 AS INTEGER)), '0123456789abcdef', '1032547698badcfe') || substr(hex, CAST(vec_id % 9 + vec_id % 8 + 1 AS INTEGER)) FROM hashes)"""
 GOLDEN = "golden AS (SELECT label, arg_min(hex, vec_id) AS hex, min(vec_id) AS ordinal FROM hashes GROUP BY label)"
 _QUARTERS = [[(y + dy) * 8 + x + dx for dy in range(4) for dx in range(4)] for y in (0, 4) for x in (0, 4)]
 
@@ -75,6 +78,14 @@ SELECT vec_id, matches, distance, CASE WHEN matches = 0 THEN 4.0 ELSE CAST(4 AS
   matches >= 2 AS two_regions, o0 || ',' || o1 || ',' || o2 || ',' || o3 AS hex FROM s"""
 
 
+def _multi_best() -> str:
+    """Every vector with every golden one, as ``_multi`` with its own."""
+    all_pairs = _multi().replace("ON a.label = g.label", "ON true").replace("SELECT a.vec_id,", "SELECT a.vec_id, g.vec_id AS ordinal,").replace("SELECT vec_id, matches,", "SELECT vec_id, ordinal, matches,")
+    return f"""SELECT vec_id AS id, ordinal, score AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, ordinal) AS k FROM ({all_pairs})) WHERE k = 1"""
+
+
+_COS = "2 * cos(3.141592653589793 * {u} * ({t} * 2 + 1) / 16.0)"
+_PIXELS = "p AS (SELECT vec_id, (k // 8)::INTEGER AS y, (k % 8)::INTEGER AS x, px[k + 1]::DOUBLE AS v FROM planes, range(64) t(k))"
 _ONES = "list_sum(list_transform(string_split({t}, ''), lambda c: bit_count(CAST('0x' || c AS BIGINT))))"
 
 ORACLES = {
@@ -88,8 +99,13 @@ ORACLES = {
       SELECT colour_class, hue_bin, count(*) AS n, CAST(sum(l) AS BIGINT) AS sum_l, CAST(sum(h) AS BIGINT) AS sum_h, CAST(sum(s) AS BIGINT) AS sum_s, CAST(sum(hi) AS BIGINT) AS sum_v FROM judged GROUP BY colour_class, hue_bin""",
     "alpha_composite": "SELECT CAST((l_orderkey % 256) * (l_partkey % 256) // 255 AS INTEGER) AS c, count(*) AS n FROM lineitem GROUP BY 1",
     "colour_hash": _colour(),
-    "near_hash_pairs": f"""WITH {AVERAGE}, v AS (SELECT DISTINCT hex FROM hashes) SELECT a.hex AS a, b.hex AS b, CAST({distance('a.hex', 'b.hex', 16)} AS INTEGER) AS distance
+    "near_hash_pairs": f"""WITH {AVERAGE}, {COPIES}, v AS (SELECT DISTINCT hex FROM copies) SELECT a.hex AS a, b.hex AS b, CAST({distance('a.hex', 'b.hex', 16)} AS INTEGER) AS distance
       FROM v a JOIN v b ON a.hex < b.hex WHERE {distance('a.hex', 'b.hex', 16)} <= 6""",
+    "near_hash_groups": f"""WITH RECURSIVE {AVERAGE}, {COPIES}, v AS MATERIALIZED (SELECT hex, min(id) AS first FROM copies GROUP BY hex),
+      links AS MATERIALIZED (SELECT a.first AS x, b.first AS y FROM v a JOIN v b ON a.hex <> b.hex WHERE {distance('a.hex', 'b.hex', 16)} <= 6),
+      reached(x, y) AS (SELECT first, first FROM v UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+      g AS (SELECT x, min(y) AS group_id FROM reached GROUP BY x)
+      SELECT c.id, c.hex, g.group_id FROM copies c JOIN v ON v.hex = c.hex JOIN g ON g.x = v.first""",
     "best_match": f"""WITH {AVERAGE}, {GOLDEN}, d AS (SELECT h.vec_id AS id, h.hex, g.ordinal, CAST({distance('h.hex', 'g.hex', 16)} AS INTEGER) AS distance FROM hashes h CROSS JOIN golden g),
       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ordinal) AS k FROM d) SELECT id, hex, ordinal, distance FROM r WHERE k = 1""",
     "tolerance_filter": f"""WITH {AVERAGE}, {GOLDEN} SELECT h.vec_id, CAST({distance('h.hex', 'g.hex', 16)} AS INTEGER) AS distance, {distance('h.hex', 'g.hex', 16)} <= 20 AS near
@@ -119,5 +135,18 @@ ORACLES = {
       SELECT p_partkey, format, CASE WHEN sized THEN w ELSE -1 END AS width, CASE WHEN sized THEN h ELSE -1 END AS height,
         CASE WHEN format IS NULL THEN 'unsupportedFormat' WHEN sized AND w * h > 100000 THEN 'imageTooLarge' ELSE 'none' END AS error_kind FROM f""",
     "decoded_average_hash": f"WITH {AVERAGE} SELECT vec_id, hex FROM hashes",
-    "stream_windows": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS n FROM events GROUP BY 1",
+    "stream_windows": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS n, count(DISTINCT event_type) AS n_hashes FROM events GROUP BY 1",
+    "stream_sliding": "SELECT time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS window_start, count(*) AS n FROM events, range(4) t(k) GROUP BY 1",
+    "stream_first_seen": "SELECT DISTINCT substr(md5(event_type), 1, 16) || CAST(user_id AS VARCHAR) AS hex FROM events",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '90 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+      SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '90 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
+    "best_multi_match": _multi_best(),
+    "hash_checks": f"""WITH {AVERAGE}, b AS (SELECT vec_id, hex, list_transform(string_split(hex, ''), lambda c: CAST('0x' || c AS BIGINT)) AS d FROM hashes)
+      SELECT vec_id, 64 AS bits, true AS valid, vec_id % 3 = 2 OR (vec_id % 3 = 0 AND hex = repeat('0', 16)) AS broken_valid,
+        {digits([f"((d[{i // 8 * 2 + 1 + (7 - i % 8) // 4}] >> {3 - (7 - i % 8) % 4}) & 1)" for i in range(64)])} AS old FROM b""",
+    "dct_planes": f"""WITH {PLANES}, {_PIXELS}, a AS (SELECT vec_id, y, u, sum(v * {_COS.format(u='u', t='x')}) AS v FROM p, range(8) t(u) GROUP BY vec_id, y, u)
+      SELECT vec_id, w::INTEGER AS y, u::INTEGER AS x, round(sum(v * {_COS.format(u='w', t='y')}) * 1000)::BIGINT AS thousandths FROM a, range(8) t(w) GROUP BY vec_id, w, u""",
+    "haar_planes": f"""WITH {PLANES}, {_PIXELS} SELECT vec_id, (y // 2)::INTEGER AS y, (x // 2)::INTEGER AS x, sum(v)::BIGINT AS low, sum(v * (1 - 2 * (y % 2)))::BIGINT AS rows_differ,
+      sum(v * (1 - 2 * (x % 2)))::BIGINT AS columns_differ, sum(v * (1 - 2 * (y % 2)) * (1 - 2 * (x % 2)))::BIGINT AS diagonal FROM p GROUP BY vec_id, y // 2, x // 2""",
 }

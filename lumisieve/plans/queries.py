@@ -67,7 +67,8 @@ def q_composite(spark, sf_dir):
 def q_colour_hash(spark, sf_dir, bits: int = 3):
     """A histogram of each document's bytes as pixels, as one group-by over exploded pixels."""
     code = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", code.alias("x")).where("length(x) >= 6")
+    every_doc = table(spark, sf_dir, "documents").select("doc_id", code.alias("x"))
+    docs = every_doc.where("length(x) >= 6")
     at = F.explode(F.sequence(F.lit(0), F.floor(F.length("x") / 6).cast("int") - 1))
     # Equal pixels of a document are counted first, so that each colour is judged once.
     pixels = docs.select("doc_id", "x", at.alias("k")).select("doc_id", F.substring("x", F.col("k") * 6 + 1, F.lit(6)).alias("p")).groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("m"))
@@ -80,17 +81,28 @@ def q_colour_hash(spark, sf_dir, bits: int = 3):
     values = H.colour_values(F.col("black"), F.col("gray"), [F.col(n) for n in names[:6]], [F.col(n) for n in names[6:]], F.col("total"), bits)
     h = h.select("doc_id", F.array(*values).alias("v"))
     every = F.flatten(F.transform("v", lambda v: P.bin_bits(v, bits)))
-    return h.select("doc_id", F.array_join(F.transform("v", lambda v: v.cast("string")), ",").alias("bins"), H.to_hex(every, 14 * bits).alias("hex"))
+    found = h.select("doc_id", F.array_join(F.transform("v", lambda v: v.cast("string")), ",").alias("bins"), H.to_hex(every, 14 * bits).alias("hex"))
+    # A text of less than one pixel has a row without a hash.
+    return found.union(every_doc.where("length(x) < 6").select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+
+def with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, hex`` of every vector, and once more, by an id 1,000,000 higher, with one bit flipped in each of 0 to 7
+    digits: near copies, for the searches."""
+    rows = average_hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), "hex")
+    at, n = (F.col("id") % 9).cast("int"), (F.col("id") % 8).cast("int")
+    flipped = F.translate(F.substring("hex", at + 1, n), "0123456789abcdef", "1032547698badcfe")
+    copy = F.concat(F.substring("hex", F.lit(1), at), flipped, F.substring("hex", at + n + 1, F.lit(16)))
+    return rows.union(rows.select(F.col("id") + 1_000_000, copy))
 
 
 def q_near_values(spark, sf_dir):
-    rows = average_hashes(spark, sf_dir)
-    return S.near_values(rows, rows, 16, WITHIN).where("a < b")
+    rows = with_copies(spark, sf_dir)
+    return S.near_values(rows, rows, 16, WITHIN, ordered=True)
 
 
 def q_near_groups(spark, sf_dir):
-    rows = average_hashes(spark, sf_dir).select(F.col("vec_id").alias("id"), "hex")
-    return S.near_groups(rows, 16, 12)
+    return S.near_groups(with_copies(spark, sf_dir), 16, WITHIN)
 
 
 def _golden(rows: DataFrame) -> DataFrame:
@@ -131,6 +143,45 @@ def q_multi_hash(spark, sf_dir):
     return both.select("vec_id", d["matches"].alias("matches"), d["distance"].alias("distance"), H.multi_distance(F.col("own"), F.col("other")).alias("score"), H.multi_matches(F.col("own"), F.col("other"), 2).alias("two_regions"), F.array_join("own", ",").alias("hex"))
 
 
+def q_multi_best(spark, sf_dir):
+    """For each vector's four hashes the nearest of the labels' first ones, by the multi-hash distance."""
+    rows = _quarters(planes(spark, sf_dir))
+    golden = rows.groupBy("label").agg(F.min_by("own", "vec_id").alias("own"), F.min("vec_id").alias("ordinal"))
+    return S.best_multi_match(rows.select(F.col("vec_id").alias("id"), "own"), golden.select("ordinal", "own"))
+
+
+def q_hash_checks(spark, sf_dir):
+    """Size, validity and old texts of hashes."""
+    rows = average_hashes(spark, sf_dir)
+    bits = H.from_hex(F.col("hex"))
+    broken = F.when(F.col("vec_id") % 3 == 0, F.transform(bits, lambda b: b * 2)).when(F.col("vec_id") % 3 == 1, F.slice(bits, 1, 0)).otherwise(bits)
+    return rows.select("vec_id", H.bit_size(F.col("hex")).alias("bits"), H.valid_bits(bits).alias("valid"), H.valid_bits(broken).alias("broken_valid"), H.to_hex(H.old_hex(F.col("hex")), 64).alias("old"))
+
+
+def _transformed(spark, sf_dir) -> DataFrame:
+    return planes(spark, sf_dir).select("vec_id", F.posexplode("px").alias("at", "v")).select("vec_id", F.floor(F.col("at") / 8).cast("int").alias("y"), (F.col("at") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def q_dct(spark, sf_dir):
+    """Cosine transform of each plane's rows and columns, 8 x 8, as a join with the table of weights and sums: whole
+    numbers of thousandths of the coefficients."""
+    k = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("u"), (F.col("id") % 8).cast("int").alias("t"))
+    weights = k.select("u", "t", (F.cos(F.lit(3.141592653589793) * F.col("u") * (F.col("t") * 2 + 1) / 16.0) * 2).alias("w"))
+    across = _transformed(spark, sf_dir).join(F.broadcast(weights), F.col("x") == F.col("t")).groupBy("vec_id", "y", "u").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    down = across.withColumnRenamed("u", "x").join(F.broadcast(weights), F.col("y") == F.col("t")).groupBy("vec_id", "u", "x").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return down.select("vec_id", F.col("u").alias("y"), "x", F.round(F.col("v") * 1000).cast("long").alias("thousandths"))
+
+
+def q_haar(spark, sf_dir):
+    """One level of the Haar transform of each plane: means and differences of each 2 x 2 pixels, in fourths of a unit
+    times two."""
+    px = _transformed(spark, sf_dir)
+    sign = lambda c: F.when(F.col(c) % 2 == 0, 1).otherwise(-1)
+    total = lambda *f: F.sum(F.col("v") * (f[0] if len(f) == 1 else f[0] * f[1] if f else F.lit(1))).cast("long")
+    near = px.groupBy("vec_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x"))
+    return near.agg(total().alias("low"), total(sign("y")).alias("rows_differ"), total(sign("x")).alias("columns_differ"), total(sign("y"), sign("x")).alias("diagonal"))
+
+
 def q_hex_parts(spark, sf_dir):
     """Texts of many lengths, lower and upper case, as hashes: what each parser makes of them."""
     text = F.substring(F.md5(F.concat(F.lit("h"), F.col("o_orderkey").cast("string"))), F.lit(1), (F.col("o_orderkey") % 33).cast("int"))
@@ -147,9 +198,7 @@ def q_bin_bits(spark, sf_dir):
 
 def q_frame_changes(spark, sf_dir):
     """Each label's vectors as frames of a film: distance to the frame before."""
-    from pyspark.sql import Window
-
-    rows = average_hashes(spark, sf_dir).withColumn("before", F.lag("hex").over(Window.partitionBy("label").orderBy("vec_id")))
+    rows = S.before(average_hashes(spark, sf_dir), "label", "vec_id", "hex")
     return rows.select("vec_id", F.coalesce(H.hamming(F.col("hex"), F.col("before")), F.lit(-1)).alias("change"))
 
 
@@ -227,17 +276,42 @@ def q_crop_resistant(spark, sf_dir):
     return raster.select("vec_id", F.posexplode(image_hash.crop_resistant(F.col("raster"))).alias("segment", "hex"))
 
 
-def q_stream_windows(spark, sf_dir):
-    """Events as a stream: counts in ten-minute windows, by one run over what is there."""
+def _streamed(spark, sf_dir, plan, mode: str) -> DataFrame:
+    """What a stream over the events gives, by one run over what is there."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    hexed = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.substring(F.md5("event_type"), 1, 16).alias("hex"))
+    hexed = rows.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.substring(F.md5("event_type"), 1, 16).alias("hex"))
     from ..scratch import new_path
 
     out, marks = new_path(spark, "stream"), new_path(spark, "stream-marks")
-    counts = streams.counted(hexed, "ts", "1 hour", "10 minutes")
-    counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+    # Each batch replaces the result in complete mode; a batch that is run again in append mode replaces its own part.
+    to = (lambda batch, k: batch.write.mode("overwrite").parquet(out)) if mode == "complete" else (lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    plan(hexed).writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(to).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def q_stream_windows(spark, sf_dir):
+    """Events as a stream: counts in ten-minute windows."""
+    out = _streamed(spark, sf_dir, lambda rows: streams.counted(rows, "ts", "1 hour", "10 minutes"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "n_hashes")
+
+
+def q_stream_sliding(spark, sf_dir):
+    """The same in windows of an hour that begin every quarter."""
+    out = _streamed(spark, sf_dir, lambda rows: streams.counted(rows, "ts", "1 hour", "1 hour", "15 minutes"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def q_stream_first_seen(spark, sf_dir):
+    """Kinds of events of users that were seen at all: each once, as long as the stream is no older than its watermark."""
+    plan = lambda rows: streams.first_seen(rows.withColumn("hex", F.concat("hex", F.col("user_id").cast("string"))), "ts", "3650 days")
+    return _streamed(spark, sf_dir, plan, "append").select("hex")
+
+
+def q_stream_sessions(spark, sf_dir):
+    """Users' sessions: events with less than 90 minutes between."""
+    out = _streamed(spark, sf_dir, lambda rows: streams.sessions(rows, "ts", "user_id", "1 hour", "90 minutes"), "complete")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
 QUERIES = {
@@ -264,4 +338,11 @@ QUERIES = {
     "image_hashes": q_image_hashes,
     "crop_resistant_hash": q_crop_resistant,
     "stream_windows": q_stream_windows,
+    "stream_sliding": q_stream_sliding,
+    "stream_first_seen": q_stream_first_seen,
+    "stream_sessions": q_stream_sessions,
+    "best_multi_match": q_multi_best,
+    "hash_checks": q_hash_checks,
+    "dct_planes": q_dct,
+    "haar_planes": q_haar,
 }

@@ -47,6 +47,40 @@ def test_groups_and_best_match(spark):
     assert got == {i: min((apart(a, g), o) for o, g in golden) for i, a in rows}
 
 
+def test_other_lengths_nulls_and_blocks_of_golden(spark, monkeypatch):
+    rows = [*hashes(40, 5), (900, None), (901, "0f"), (902, "")]
+    df = spark.createDataFrame(rows, "id long, hex string")
+    groups = {r["id"]: r["group_id"] for r in S.near_groups(df, 16, 4).collect()}
+    assert len(groups) == len(rows) and all(groups[k] == k for k in (900, 901, 902))
+    golden = [(k, h) for k, (_, h) in enumerate(hashes(50, 6))] + [(77, "ff")]
+    for sent in (100_000, 1):
+        monkeypatch.setattr(S, "GOLDEN_BLOCK", 8)
+        monkeypatch.setattr(S, "GOLDEN_SENT", sent)
+        got = {r["id"]: (r["distance"], r["ordinal"]) for r in S.best_match(df, spark.createDataFrame(golden, "ordinal long, hex string"), 16).collect()}
+        assert got == {i: min((apart(a, g), o) for o, g in golden[:-1]) if a and len(a) == 16 else (None, None) for i, a in rows}
+
+
+@pytest.mark.parametrize("digits", [14, 21, 64])
+def test_pairs_of_other_sizes(spark, digits):
+    rng = random.Random(digits)
+    base = rng.getrandbits(4 * digits)
+    rows = [(k, f"{base ^ sum(1 << b for b in rng.sample(range(4 * digits), k % 9)):0{digits}x}") for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, hex string")
+    got = {(r["a"], r["b"], r["distance"]) for r in S.near_values(df, df, digits, 7, ordered=True).collect()}
+    assert got == {(a, b, apart(a, b)) for _, a in rows for _, b in rows if a < b and apart(a, b) <= 7}
+
+
+def test_the_row_before(spark):
+    rng = random.Random(8)
+    rows = [(g, k, rng.choice([None, "x", "y"])) for g in ("a", "b", None) for k in rng.sample(range(-50, 200), 30)]
+    got = {(r["g"], r["k"]): r["before"] for r in S.before(spark.createDataFrame(rows, "g string, k long, v string"), "g", "k", "v", span=16).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted([(k, v) for h, k, v in rows if h == g], key=lambda x: x[0])
+        want |= {(g, k): own[i - 1][1] if i else None for i, (k, _) in enumerate(own)}
+    assert got == want
+
+
 def test_known_and_largest(spark):
     df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aa"), (4, None)], "id long, hex string")
     golden = spark.createDataFrame([("aa",), ("aa",)], "hex string")
