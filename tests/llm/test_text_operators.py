@@ -230,12 +230,34 @@ def test_ngram_join(spark, seed):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             w = w[: len(w) - rng.choice([0, 0, len(w) // 6])]
             rows.append((len(rows), " ".join(w).upper() if edits == 2 else "  ".join(w)))
+    # Passages that more than CROWD documents quote, also as nearly all that a document has.
     passage = " ".join(rng.choice(vocab) for _ in range(60))
-    rows += [(len(rows) + k, " ".join(rng.choice(vocab) for _ in range(90)) + " " + passage) for k in range(12)]
-    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    rows += [(len(rows) + k, " ".join(rng.choice(vocab) for _ in range((90, 30, 12)[k % 3])) + " " + passage) for k in range(48)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.near_copies(frame, exact=seed == 2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near(rows) and len(got) == len(rows)
 
 
+def test_unequal_sets_with_one_hash_stay_apart(spark):
+    rows = [(k, f"a{k // 2} b c d e f g h") for k in range(12)] + [(20, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ngram_join.F.col("text").cast("binary").alias("text"))
+    signed = texts.withColumn("text_hash", ngram_join.text_hash()).mapInArrow(ngram_join._signer(False), ngram_join.SIGNED)
+    _, members, classes = ngram_join.told_apart(signed.withColumn("class", ngram_join.F.col("class") % 2))
+    assert {r["first"] for r in classes.collect()} == {0, 2, 4, 6, 8, 10}
+    assert len({(r["class"], r["doc_id"] // 2) for r in members.where("n > 0").collect()}) == 6 and members.count() == 13
+
+
+def test_rare_shingles_first(spark):
+    """Of a crowd with one passage, documents with enough of their own have no key from the passage."""
+    own = [" ".join(f"o{k}x{j}" for j in range(40)) for k in range(30)]
+    rows = [(k, " ".join(f"p{j}" for j in range(20)) + " " + t) for k, t in enumerate(own)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ngram_join.F.col("text").cast("binary").alias("text"))
+    signed, _, classes = ngram_join.signed_classes(texts, False)
+    crowd = signed.groupBy("class").agg(ngram_join.F.collect_set("band").alias("bands"))
+    keys = ngram_join.rarest_keys(crowd, classes, texts, False)
+    assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 1 and keys.select("class").distinct().count() == 30
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (10, 100, 900, 5000):
@@ -324,6 +346,67 @@ def test_toxicity(spark):
     assert {r[0] for r in toxicity.scored(docs, none).select("__ls_score").distinct().collect()} == {0.0}
 
 
+def test_pair_term_is_the_double_sum():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(np.arange(40))
+    m.w0, m.w, m.v = 0.3, rng.normal(size=40), rng.normal(size=(40, toxicity.RANK))
+    docs = [np.sort(rng.choice(40, n, replace=False)) for n in (0, 1, 2, 7, 40, 0)]
+    want = [m.w0 + sum(m.w[i] for i in d) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(d) for j in d[k + 1 :]) for d in docs]
+    assert np.allclose(m.raw(docs)[0], want)
+
+
+def test_slopes_are_those_of_the_loss(monkeypatch):
+    """One step over one batch moves the weights against the numeric slope."""
+    rng = np.random.default_rng(6)
+    docs, labels = [np.sort(rng.choice(6, 3, replace=False)) for _ in range(30)], rng.integers(0, 2, 30).astype(float)
+    for name, value in (("EPOCHS", 1), ("BATCH", 64), ("DECAY", 0.0), ("RATE", 1e-3)):
+        monkeypatch.setattr(toxicity, name, value)
+    m = toxicity.Machine(np.arange(6))
+    w, v = m.w.copy(), m.v.copy()
+    m.fit(docs, labels)
+
+    def loss(w, v):
+        n = toxicity.Machine(np.arange(6), float(np.log(labels.mean() / (1 - labels.mean()))))
+        n.w, n.v = w, v
+        p = n.score(docs)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        assert np.sign(w[k] - m.w[k]) == np.sign(loss(w + step, v) - loss(w - step, v))
+        at = np.zeros(v.shape)
+        at[k, 2] = 1e-6
+        assert np.sign(v[k, 2] - m.v[k, 2]) == np.sign(loss(w, v + at) - loss(w, v - at))
+
+
+def test_pure_interactions_are_learnt(spark):
+    """Label = insult XOR group: neither word says anything alone."""
+    rng, rows, labels = random.Random(12), [], []
+    filler = [f"f{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    for k in range(2000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(filler) for _ in range(rng.randrange(5, 60))] + ["rotten"] * insult + ["martians"] * group
+        rng.shuffle(w)
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(insult != group)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["__ls_score"] for r in toxicity.scored(docs, machine).collect()}
+    held = [k for k in got if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert len(held) > 300 and np.mean([(got[k] >= 0.5) == bool(labels[k][1]) for k in held]) > 0.95
+
+
+def test_toxicity_of_empty_tables_and_repeated_ids(spark):
+    rows, labels = toxic_corpus(300)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.train(spark.createDataFrame([], "doc_id long, text string"), known) is None
+    twice = spark.createDataFrame(rows[:300] + [(7, t) for _, t in rows[:200]] + [(7, "rotten martians")] * 200, "doc_id long, text string")
+    machine = toxicity.train(twice, known, rows=250)
+    scores = [r["__ls_score"] for r in toxicity.scored(twice, machine).collect()]
+    assert len(scores) == 700 and all(0 <= x <= 1 for x in scores)
+
+
 def test_media(spark, docs):
     got = {r["doc_id"]: r for r in matroska.features(matroska.store(docs)).collect()}
     for r in corpus():
