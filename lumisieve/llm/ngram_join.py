@@ -12,14 +12,18 @@ set's size.
   document with too few non-empty blocks also gives its empty ones. In bands from ``EXACT`` shingles on, a sketch takes
   the shingles of one of ``2 ** r`` hash classes; the difference within it is bounded by its mean plus seven standard
   deviations and 8 (a miss is less likely than one in ten thousand million). So keys per document are bounded.
-* Shingles that many documents have (a passage that is quoted everywhere) would make keys that say little. A sample
-  names them, and keys are made without them first: leaving the same shingles out of both sets adds no difference. A
-  document that has too few blocks then gives those that it has, and keys of its whole set besides.
-* Keys with one distinct set are dropped; documents with equal sets are one class throughout (by a 64-bit hash).
+* Keys with one distinct set are dropped; documents with equal sets are one class throughout (by a 64-bit hash; where a
+  second one shows that unequal sets share the first, both together are taken).
 * Links within a key's group are not listed pair by pair. First every member is compared with one hub, the member
   whose keys are shared most. Only where that leaves several components in a group, members of different components
-  are compared, in chunks. To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound,
-  as the joins' own condition, and then to intersect the whole sets.
+  are compared: directly in groups of fewer than ``CROWD`` members.
+* Larger groups hold what many documents quote. Their members get keys anew: of the shingles that a sketch takes, counted
+  over all these members, the rarest most + 1. Two linked documents leave at most ``most`` of either's shingles unshared,
+  so the rarest that they share is a key of both, and what many quote is a key only of documents with little else.
+* To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound, as the joins' own
+  condition, and then to intersect the whole sets.
+
+``exact`` makes a sketch take all shingles in large bands too: no link can be missed, for keys in proportion to sizes.
 
 Defined cases: documents without words, or with a null or empty text, have no set, link with nothing and keep their
 own id as component. With fewer than five words the whole sequence is the one shingle. Nodes are sets, not ids: rows
@@ -41,9 +45,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-WORDS, EXACT, SINGLE, SIGMAS, SKETCH_WORDS, CHUNK, FEW = 5, 512, 64, 7.0, 16, 512, 500_000
-#: Documents sampled for common shingles, how many of them must have one, and how many shingles are kept.
-SAMPLE, COMMON_FROM, COMMON = 20_000, 4, 100_000
+WORDS, EXACT, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FEW = 5, 512, 64, 7.0, 16, 6, 4, 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,10 +75,10 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
-def in_band(s: np.ndarray, band: int) -> tuple[np.ndarray, int, int]:
+def in_band(s: np.ndarray, band: int, exact: bool = False) -> tuple[np.ndarray, int, int]:
     """The shingles that a band's sketch takes, the number of its blocks, and the most differences to bear with."""
     top = 1 << (band + 1)
-    r = max(0, top.bit_length() - EXACT.bit_length())
+    r = 0 if exact else max(0, top.bit_length() - EXACT.bit_length())
     most = min(len(s), top - 1) // 3
     if r:
         mean = most / (1 << r)
@@ -86,8 +88,13 @@ def in_band(s: np.ndarray, band: int) -> tuple[np.ndarray, int, int]:
     return s, 0 if top <= SINGLE else int(np.ceil(top * 0.4)) + 8, most
 
 
-def first_keys(taken: np.ndarray, band: int, blocks: int, most: int, salt: int, empty_too: bool) -> tuple[np.ndarray, bool]:
-    """Keys of the first ``most + 1`` non-empty blocks, and whether there are so many; if not, of all of them."""
+def _marked(keys: np.ndarray, band: int) -> np.ndarray:
+    return (keys & ~np.uint64(31)) | np.uint64(band & 31)
+
+
+def sketch(s: np.ndarray, band: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """A band's join keys (their last five bits name the band), its parity sketch in 64-bit words, the most differences."""
+    taken, blocks, most = in_band(s, band, exact)
     with np.errstate(over="ignore"):
         h, content = mixed(taken, 2 * band + 1), mixed(taken, 2 * band + 2)
         place = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32) if blocks else h
@@ -95,45 +102,30 @@ def first_keys(taken: np.ndarray, band: int, blocks: int, most: int, salt: int,
         place, content = place[order], content[order]
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
         held, folded = place[first], np.bitwise_xor.reduceat(content, first) if len(first) else content
-        enough = len(held) > most
-        if enough:
+        if len(held) > most:
             held, folded = held[: most + 1], folded[: most + 1]
-        elif empty_too:
+        else:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), held)
             held, folded = np.r_[held, empty], np.r_[folded, np.zeros(len(empty), np.uint64)]
-        keys = mixed(held * _M1 + folded, salt + band)
-    return (keys & ~np.uint64(31)) | np.uint64(band & 31), enough
-
-
-def sketch(s: np.ndarray, band: int, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, int]:
-    """A band's join keys (their last five bits name the band), its parity sketch in 64-bit words, the most differences."""
-    taken, blocks, most = in_band(s, band)
-    rare = taken
-    if len(common) and len(taken):
-        at = np.searchsorted(common, taken)
-        at[at == len(common)] = 0
-        rare = taken[common[at] != taken]
-    keys, enough = first_keys(rare, band, blocks, most, 1000, False)
-    if not enough:
-        keys = np.r_[keys, first_keys(taken, band, blocks, most, 2000, True)[0]]
-    bits = np.bincount((mixed(taken, 2 * band + 1) & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
+        keys = _marked(mixed(held * _M1 + folded, 1000 + band), band)
+    bits = np.bincount((h & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
     return keys.view(np.int64), np.packbits(bits).view(np.int64), most
 
 
-def class_of(s: np.ndarray) -> int:
+def class_of(s: np.ndarray, salt: int = 7) -> int:
     """64 bits that stand for a set."""
     with np.errstate(over="ignore"):
-        return int(mixed(mixed(s, 7).sum() + np.uint64(len(s))).view(np.int64))
+        return int(mixed(mixed(s, salt).sum() + np.uint64(len(s))).view(np.int64))
 
 
-SIGNED = "doc_id bigint, text_hash bigint, n int, class bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, n int, class bigint, check bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
 
 
 def _texts(batch, k: int, lo: int, n: int):
     return ((t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(k).slice(lo, n))
 
 
-def _signer(common):
+def _signer(exact):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -142,44 +134,56 @@ def _signer(common):
                     s = shingles(text)
                     n = len(s)
                     if not n:
-                        rows.append((doc, mark, 0, None, True, None, None, [], None))
+                        rows.append((doc, mark, 0, None, None, True, None, None, [], None))
                         continue
-                    kind, band = class_of(s), band_of(n)
+                    kind, check, band = class_of(s), class_of(s, 9), band_of(n)
                     for b in (band, band - 1) if 3 * n < 4 << band and band else (band,):
-                        keys, bits, most = sketch(s, b, common.value)
-                        rows.append((doc, mark, n, kind, b == band, b, most, keys, bits))
+                        keys, bits, most = sketch(s, b, exact)
+                        rows.append((doc, mark, n, kind, check, b == band, b, most, keys, bits))
                 cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[f.split()[0] for f in SIGNED.split(", ")])
 
     return run
 
 
-def _listed(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            found = [shingles(t) for t in _texts(batch, 0, lo, 500)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
-
-
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles that many documents have, sorted: at most COMMON, by a sample of about SAMPLE documents. Which these are
-    decides only how many candidates there are, never which links are found."""
-    share = int(min(1.0, SAMPLE / max(1, texts.count())) * (1 << 20))
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
-    counts = some.mapInArrow(_listed, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON_FROM)
-    top = counts.orderBy(F.desc("c"), "shingle").limit(COMMON).select("shingle").toPandas()["shingle"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+def _own(batch, lo: int, n: int):
+    """``place, class, shingles`` of rows (class, check, text); rows whose text is of another class (of a repeated id)
+    are left out."""
+    names = zip(batch.column(0).slice(lo, n).to_pylist(), batch.column(1).slice(lo, n).to_pylist())
+    for k, ((kind, check), text) in enumerate(zip(names, _texts(batch, 2, lo, n))):
+        s = shingles(text)
+        if class_of(s, 9) == check:
+            yield lo + k, kind, s
 
 
 def _sets(batches):
-    """class -> its packed shingles; rows whose text is of another class (of a repeated id) are left out."""
+    """class -> its packed shingles."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
-            sets = [shingles(t) for t in _texts(batch, 1, lo, 200)]
-            right = [class_of(s) == c for s, c in zip(sets, batch.column(0).slice(lo, 200).to_pylist())]
-            out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 200), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
-            yield out.filter(pa.array(right, pa.bool_()))
+            rows = [(kind, s.tobytes()) for _, kind, s in _own(batch, lo, 200)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["class", "shingles"])
+
+
+TAKEN = "class bigint, band int, spare int, taken array<bigint>"
+
+
+def _taker(exact):
+    """(class, check, text, bands) -> for each band the shingles that its sketch takes, and how many of them a link may
+    leave unshared."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                rows = []
+                for k, kind, s in _own(batch, lo, 200):
+                    for band in batch.column(3)[k].as_py():
+                        taken, _, most = in_band(s, band, exact)
+                        rows.append((kind, band, min(most, len(s) // 4), _marked(mixed(taken, 3), band).view(np.int64)))
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["class", "band", "spare", "taken"])
+
+    return run
 
 
 def _verified(batches):
@@ -222,19 +226,36 @@ def text_hash(text="text"):
     return F.xxhash64(F.col(text).cast("string").cast("binary"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of ``docs`` (doc_id, text), a row for each of its rows."""
-    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs, exact).select("doc_id", "n_shingles", "component_id")
+
+
+def signed_classes(texts: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of ``texts`` (doc_id, text), who has which set (doc_id, text_hash, n, class), and the classes with
+    their first document and their second hash."""
+    return told_apart(scratch.written(texts.withColumn("text_hash", text_hash()).mapInArrow(_signer(exact), SIGNED), "op6-sketches"))
+
+
+def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``signed_classes`` of rows ``SIGNED``: where unequal sets share a class, the second hash makes two of it."""
+    own = signed.where("own").select("doc_id", "text_hash", "n", "class", "check")
+    once = lambda rows: rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.max("check").alias("other"))
+    classes = scratch.written(once(own), "op6-classes")
+    clash = classes.where("check <> other").select("class")
+    if clash.count():  # a few in 10 ** 10 sets, if any
+        apart = lambda rows: rows.join(clash.withColumn("clash", F.lit(True)), "class", "left").withColumn("class", F.when(F.col("clash"), F.xxhash64("class", "check")).otherwise(F.col("class"))).drop("clash")
+        signed = scratch.written(apart(signed).select(*signed.columns), "op6-sketches")
+        own = signed.where("own").select("doc_id", "text_hash", "n", "class", "check")
+        classes = scratch.written(once(own), "op6-classes")
+    return signed, scratch.written(own.drop("check"), "op6-members"), classes.select("class", "first", "check")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``near_copies`` with each row's ``text_hash``, and ``component``, the least class of its set's component (null:
     no words)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    signed = scratch.written(texts.withColumn("text_hash", text_hash()).mapInArrow(_signer(common), SIGNED), "op6-sketches")
-    members = scratch.written(signed.where("own").select("doc_id", "text_hash", "n", "class"), "op6-members")
-    classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    signed, members, classes = signed_classes(texts, exact)
     band = F.col("key").bitwiseAND(31).cast("int").alias("band")
 
     # Keys that at least two different sets have, and who has them. The rows are dealt by key once, for the count and
@@ -259,21 +280,26 @@ def grouped(docs: DataFrame) -> DataFrame:
     scratch.dropped(signed, sets)
     parts = scratch.written(components(links), "op6-parts")
 
-    # Groups that still hold several components: members of different ones, in chunks.
-    placed = held.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # Groups that still hold several components: members of different ones.
+    part_of = parts.select(F.col("node").alias("class"), "component")
+    placed = held.join(part_of, "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = scratch.written(placed, "op6-placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    open_keys = open_keys.select("key", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    rows = placed.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int")).withColumn("band", band)
-    rows = scratch.written(rows.join(sketches, ["class", "band"]), "op6-open")
-    left = rows.withColumn("other", F.explode(F.sequence("chunk", F.col("chunks") - 1))).alias("l")
-    right = rows.withColumn("other", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), "chunk"))).alias("r")
-    same = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("key", "chunk", "other")])
-    once_each = (F.col("l.chunk") != F.col("l.other")) | (F.col("l.class") < F.col("r.class"))
-    near = left.join(right, same & (F.col("l.component") != F.col("r.component")) & once_each & _close("l", "r"))
+    small = placed.join(open_keys.where(F.col("c") < CROWD).select("key"), "key").withColumn("band", band)
+    crowd = placed.join(open_keys.where(F.col("c") >= CROWD).select("key"), "key").select("class", band).distinct()
+    crowd = scratch.written(crowd.groupBy("class").agg(F.collect_set("band").alias("bands")), "op6-crowd")
+    # Most of the new keys are one class's own: they are counted and dropped where they are dealt by key.
+    anew = rarest_keys(crowd, classes, texts, exact).select("class", "key").repartition("key")
+    again = anew.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key"), "op6-anew")
+    anew = anew.join(part_of, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"), band)
+    rows = small.select("key", "class", "component", "band").union(anew).join(sketches, ["class", "band"])
+    rows = scratch.written(rows, "op6-open")
+    l, r = rows.alias("l"), rows.alias("r")
+    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r"))
     rest = near.select(*_ordered("l.class", "r.class")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = scratch.written(rest, "op6-pairs")
-    scratch.dropped(held, sketches, placed, rows)
+    scratch.dropped(held, sketches, placed, crowd, rows)
     sets = _sets_of(rest, classes, texts)
     more = scratch.written(verified(rest, sets), "op6-links")
     scratch.dropped(sets)
@@ -287,13 +313,54 @@ def grouped(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "component", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
+    """``class, band, key``: the rarest shingles of the classes in ``crowd`` (class, bands), one more than a link may
+    leave unshared. Shingles count over all of ``crowd``; those of fewer than COMMON_FROM classes are equally rare."""
+    taken = scratch.written(_text_of(crowd, classes, texts, "bands").mapInArrow(_taker(exact), TAKEN).dropDuplicates(["class", "band"]), "op6-taken")
+    counts = taken.select(F.explode("taken").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    many = scratch.written(counts.where(F.col("c") >= COMMON_FROM), "op6-many")
+    found = taken.select("class", "band", F.explode("taken").alias("key")).join(_sent(many), "key")
+    common = found.groupBy("class", "band").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("common"))
+    both = taken.join(common, ["class", "band"], "left").withColumn("common", F.coalesce(F.transform("common", lambda x: x["key"]), F.array().cast("array<bigint>")))
+    ordered = F.concat(F.array_except("taken", "common"), "common")
+    return both.select("class", "band", F.explode(F.slice(ordered, F.lit(1), F.col("spare") + 1)).alias("key"))
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers: sent to every task where they are counted to be at most FEW, else joined."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _text_of(named: DataFrame, classes: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """``class, check, text`` and ``more`` columns of ``named``, from each class's first document. Rows of a repeated id
+    have other texts, which the second hash tells apart."""
+    of = scratch.written(named.join(classes, "class").select("class", "check", F.col("first").alias("doc_id"), *more), "op6-named")
+    return texts.join(_sent(of), "doc_id").select("class", "check", "text", *more)
+
+
 def _sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The sets of the classes in ``pairs``, from the text of each class's first document: a list of ids that tasks can
-    hold is sent to them, a longer one is joined."""
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    named = scratch.written(named, "op6-named")
-    found = texts.join(F.broadcast(named) if named.count() <= FEW else named, "doc_id").select("class", "text")
-    return scratch.written(found.mapInArrow(_sets, "class bigint, shingles binary"), "op6-sets")
+    """The sets of the classes in ``pairs``."""
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    return scratch.written(_text_of(named, classes, texts).mapInArrow(_sets, "class bigint, shingles binary"), "op6-sets")
+
+
+#: By brute force, over documents with an id.
+ORACLE = """
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) as k from words),
+sets as materialized (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from places),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+links as materialized (
+  select x.doc_id as a, y.doc_id as b from sets x join sets y on x.s = y.s and x.doc_id <> y.doc_id
+  join sizes p on p.doc_id = x.doc_id join sizes q on q.doc_id = y.doc_id
+  where 4 * least(p.n, q.n) >= 3 * greatest(p.n, q.n)
+  group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reached(a, b) as (select distinct a, a from links union select r.a, l.b from reached r join links l on l.a = r.b),
+least_of as (select a, min(b) as c from reached group by a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(l.c, d.doc_id) as component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join least_of l on l.a = d.doc_id
+"""
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
