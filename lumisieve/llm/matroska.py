@@ -3,7 +3,9 @@
 ``muxed`` stores bytes as 8-bit PCM samples (mono, 8000 a second) in laced SimpleBlocks within clusters, with cues.
 ``packets`` parses any Matroska bytes into rows (track, timestamp, byte range of each packet); ``features`` reads the
 payload back through that table. Elements have variable-length ids and sizes; clusters may have unknown sizes; all
-three kinds of lacing, SimpleBlocks and BlockGroups are read. Nothing is shuffled; a row's bytes are in memory once.
+three kinds of lacing, SimpleBlocks and BlockGroups are read. A laced frame's time is its block's and the durations of
+those before it: an equal share of the BlockGroup's duration if it has one, else the track's default duration; without
+either it is the block's. Nothing is shuffled; a row's bytes are in memory once.
 
 Defined cases: a null or empty payload is 64 zero bytes. Bytes that are no Matroska, or end early, raise in
 ``parsed``; in ``packets`` they give one row with ``error`` set, and a null gives none. Equal payloads have equal
@@ -27,6 +29,7 @@ PAD, RATE, FRAME, LACE, CLUSTER_BLOCKS = 64, 8000, 512, 8, 32
 #: Element ids (fixed values of the format).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TRACK_ENTRY, AUDIO, CUE_POINT, CUE_POSITIONS, BLOCK_GROUP = 0xAE, 0xE1, 0xBB, 0xB7, 0xA0
+TRACK_NUMBER, TRACK_TYPE, CODEC, DEFAULT_DURATION, BLOCK_DURATION = 0xD7, 0x83, 0x86, 0x23E383, 0x9B
 TIMESTAMP, SIMPLE_BLOCK, BLOCK, TIMESTAMP_SCALE, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xA3, 0xA1, 0x2AD7B1, 0xB3, 0xF7, 0xF1
 PARENTS = {SEGMENT, CLUSTER, CUES, CUE_POINT, CUE_POSITIONS, BLOCK_GROUP, INFO, TRACKS, TRACK_ENTRY}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
@@ -55,7 +58,7 @@ def padded(data: bytes) -> bytes:
 def _head() -> tuple[bytes, bytes]:
     header = element(EBML, unsigned(0x4286, 1) + unsigned(0x42F7, 1) + unsigned(0x42F2, 4) + unsigned(0x42F3, 8) + element(0x4282, b"matroska") + unsigned(0x4287, 4) + unsigned(0x4285, 2))
     audio = element(AUDIO, element(0xB5, struct.pack(">d", RATE)) + unsigned(0x9F, 1) + unsigned(0x6264, 8))
-    track = element(TRACK_ENTRY, unsigned(0xD7, 1) + unsigned(0x73C5, 1) + unsigned(0x83, 2) + unsigned(0x9C, 1) + element(0x86, b"A_PCM/INT/LIT") + audio)
+    track = element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(0x73C5, 1) + unsigned(TRACK_TYPE, 2) + unsigned(0x9C, 1) + unsigned(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio)
     return header, element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(0x4D80, b"lumisieve") + element(0x5741, b"lumisieve")) + element(TRACKS, track)
 
 
@@ -151,8 +154,9 @@ def _frames(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int
 
 def parsed(data: bytes) -> dict:
     """``packets``: (cluster, track, timestamp in ms, offset, length, keyframe); ``cues``: (time, track, position);
-    ``clusters``: positions within the segment."""
-    packets, cues, clusters = [], [], []
+    ``clusters``: positions within the segment; ``tracks``: of each number its type, codec and default duration in ns."""
+    packets, cues, clusters, tracks = [], [], [], {}
+    entry, laced = {}, []
     scale, segment, now, cue, seen = 1_000_000, 0, 0, {}, False
     stack, at = [(None, len(data))], 0
     while at < len(data):
@@ -174,6 +178,10 @@ def parsed(data: bytes) -> dict:
                 clusters.append(begin - segment)
             elif kind == CUE_POINT:
                 cue = {}
+            elif kind == TRACK_ENTRY:
+                entry = {}
+            elif kind == BLOCK_GROUP:
+                laced = []
             stack.append((kind, end))
             continue
         if kind == TIMESTAMP_SCALE:
@@ -182,8 +190,22 @@ def parsed(data: bytes) -> dict:
             now = int.from_bytes(data[at:end], "big")
         elif kind in (SIMPLE_BLOCK, BLOCK):
             track, relative, flags, frames = _frames(data, at, end)
-            for o, n in frames:
-                packets.append((len(clusters) - 1, track, (now + relative) * scale // 1_000_000, o, n, bool(flags & 0x80)))
+            begins, step = (now + relative) * scale, tracks.get(track, {}).get("duration", 0)
+            laced = range(len(packets), len(packets) + len(frames))
+            for k, (o, n) in enumerate(frames):
+                packets.append((len(clusters) - 1, track, (begins + k * step) // 1_000_000, o, n, bool(flags & 0x80)))
+        elif kind == BLOCK_DURATION and laced:
+            step = int.from_bytes(data[at:end], "big") * scale // len(laced)
+            for k, i in enumerate(laced):
+                packets[i] = (*packets[i][:2], (begins + k * step) // 1_000_000, *packets[i][3:])
+        elif kind == TRACK_NUMBER:
+            tracks[int.from_bytes(data[at:end], "big")] = entry
+        elif kind == TRACK_TYPE:
+            entry["type"] = int.from_bytes(data[at:end], "big")
+        elif kind == CODEC:
+            entry["codec"] = bytes(data[at:end]).rstrip(b"\0").decode("ascii", "replace")
+        elif kind == DEFAULT_DURATION:
+            entry["duration"] = int.from_bytes(data[at:end], "big")
         elif kind == CUE_TIME:
             cue["time"] = int.from_bytes(data[at:end], "big")
         elif kind == CUE_TRACK:
@@ -193,10 +215,10 @@ def parsed(data: bytes) -> dict:
         at = end
     if not seen:
         raise ValueError("no EBML header")
-    return {"packets": packets, "cues": cues, "clusters": clusters}
+    return {"packets": packets, "cues": cues, "clusters": clusters, "tracks": tracks}
 
 
-PACKETS = "id bigint, packet int, cluster int, track int, timestamp_ms bigint, offset bigint, length bigint, keyframe boolean, error string"
+PACKETS = "id bigint, packet int, cluster int, track int, timestamp_ms bigint, offset bigint, length bigint, keyframe boolean, track_type int, codec string, error string"
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -209,11 +231,12 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 if not m.is_valid:
                     continue
                 try:
-                    found = parsed(m.as_py())["packets"]
-                    rows += [(key, i, *p, None) for i, p in enumerate(found)]
+                    found = parsed(m.as_py())
+                    of = {k: (t.get("type"), t.get("codec")) for k, t in found["tracks"].items()}
+                    rows += [(key, i, *p, *of.get(p[1], (None, None)), None) for i, p in enumerate(found["packets"])]
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((key, *[None] * 7, str(e)))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+                    rows.append((key, *[None] * 9, str(e)))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in PACKETS.split(", ")])
 
     return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, PACKETS)

@@ -3,9 +3,12 @@
 * Equal vectors of a label are one class from the start; copies are counted, never paired.
 * Vectors are scaled to length 1 and turned so that the leading coordinates carry most of the variance. The basis is
   fitted on at most ``BASIS_ROWS`` vectors (by a hash of their ids); any basis gives the same links, a good one sooner.
-* Spark sorts the classes by label and first coordinate and cuts them into tiles of ``TILE``. Two tiles meet only if
-  their ranges of the first coordinate come within ``sqrt(2 - 2 t)`` of each other, as linked vectors must.
-* In a pair of tiles the dot products of the leading coordinates are taken first. What the others can add is at most
+* Spark sorts the classes by label and first coordinate and cuts them into tiles of ``TILE``, which travel as they are
+  stored. Two tiles meet only if their ranges of the first coordinate come within ``sqrt(2 - 2 t)`` of each other, as
+  linked vectors must. A label's vectors are few tiles, so that a vector travels once for many it is compared with.
+* Within a task a tile is halved at the median of the widest of its ``BOX`` leading coordinates until parts have at most
+  ``LEAF`` vectors. Two parts are compared only if their boxes of leading coordinates come within that distance.
+* In a pair of parts the dot products of the leading coordinates are taken first. What the others can add is at most
   the product of their norms; a pair that cannot reach the threshold with that is left, and the rest goes on with more
   coordinates. Products within 1e-9 of the threshold are decided by the plain cosine in double precision.
 * A pair of tiles returns sums of links per vector and the edges of a spanning forest, not its pairs.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-THRESHOLD, TILE, BASIS_ROWS, STAGES = 0.93, 1024, 8192, (8, 16, 32)
+THRESHOLD, TILE, LEAF, BOX, BASIS_ROWS, STAGES = 0.93, 8192, 256, 4, 8192, (8, 16, 32)
 TILES = "tile bigint, label int, dims int, lo double, hi double, nodes binary, copies binary, vectors binary"
 FOUND = "node bigint, other bigint, links bigint"
 
@@ -79,13 +82,63 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return least
 
 
+def leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Places of ``x`` in parts of at most LEAF that are near each other by their leading coordinates."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= LEAF:
+            out.append(own)
+            continue
+        lead = x[own, :BOX]
+        widest = int(np.argmax(lead.max(0) - lead.min(0)))
+        order = np.argpartition(lead[:, widest], len(own) // 2)
+        open_ += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return [o for o in out if len(o)]
+
+
+def boxes_within(a: tuple[np.ndarray, np.ndarray], lows: np.ndarray, highs: np.ndarray, reach: float) -> np.ndarray:
+    """Which boxes come within ``reach`` of the box ``a``."""
+    gap = np.maximum(0, np.maximum(lows - a[1], a[0] - highs))
+    return np.flatnonzero((gap**2).sum(1) <= reach**2)
+
+
+def tiles_linked(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, copies_x: np.ndarray, copies_y: np.ndarray, same: bool, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of links of the vectors of ``x``, and of ``y`` behind them, and the ends (i, j) of edges that connect what
+    links connect. ``same``: ``y`` is ``x``, and only ``x`` is counted."""
+    n, m = len(x), 0 if same else len(y)
+    sums, ends = np.zeros(n + m), [np.zeros((2, 0), np.int64)]
+    parts, others = leaves(x), leaves(y)
+    lows, highs = (np.array([f(y[o, :BOX], 0) for o in others]) for f in (np.min, np.max))
+    for k, p in enumerate(parts):
+        for q in boxes_within((x[p, :BOX].min(0), x[p, :BOX].max(0)), lows, highs, reach):
+            if same and q < k:
+                continue
+            o = others[q]
+            i, j = linked(x[p], y[o], raw_x[p], raw_y[o], threshold)
+            if same and q == k:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            sums[p] += np.bincount(i, copies_y[o][j], len(p))
+            sums[(0 if same else n) + o] += np.bincount(j, copies_x[p][i], len(o))
+            both = np.r_[p, (0 if same else n) + o]
+            least = forest(len(both), i, (0 if same and q == k else len(p)) + j)
+            moved = np.flatnonzero(least != np.arange(len(both)))
+            ends.append(np.stack([both[moved], both[least[moved]]]))
+    return sums, *np.concatenate(ends, 1)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & some, F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding").withColumn("ok", ok)
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"  # stored and sent as it is
+    stored = np.dtype("<f4" if single else "<f8").str
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>").alias("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), vector).withColumn("ok", ok)
     rows = rows.select("vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), F.when(F.col("ok"), F.col("embedding")).alias("embedding"))
     valid = rows.where("label is not null and embedding is not null")
     classes = scratch.written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "op3-classes")
@@ -107,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 at[own] = turn(unit(np.array([packed[k] for k in own])))[:, 0]
-            yield pa.RecordBatch.from_arrays([c[0], pa.array(dims), pa.array(at), c[2], c[3], pa.array([p.tobytes() for p in packed], pa.binary())], names=["label", "dims", "at", "node", "copies", "vector"])
+            yield pa.RecordBatch.from_arrays([c[0], pa.array(dims), pa.array(at), c[2], c[3], pa.array([p.astype(stored).tobytes() for p in packed], pa.binary())], names=["label", "dims", "at", "node", "copies", "vector"])
 
     placed = classes.mapInArrow(first, "label int, dims int, at double, node bigint, copies bigint, vector binary")
     placed = scratch.written(placed, "op3-placed")
@@ -148,19 +201,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for k in range(batch.num_rows):
                 p, q, dims, *packed = (batch.column(c)[k] for c in range(9))
                 dims = dims.as_py()
-                nodes, copies, raw = ([np.frombuffer(packed[s + o].as_buffer(), t) for s in (0, 3)] for o, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
-                raw = [v.reshape(-1, dims) for v in raw]
+                nodes, copies, raw = ([np.frombuffer(packed[s + o].as_buffer(), t) for s in (0, 3)] for o, t in ((0, np.int64), (1, np.int64), (2, stored)))
+                raw = [v.astype(np.float64).reshape(-1, dims) for v in raw]
                 x, y = (turn(unit(v)) for v in raw)
                 same = p.as_py() == q.as_py()
-                i, j = linked(x, y, *raw, threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                m = len(nodes[0])
-                sums = np.bincount(i, copies[1][j], m), np.bincount(j, copies[0][i], len(nodes[1]))
-                if same:
-                    all_nodes, links, least = nodes[0], sums[0] + sums[1], forest(m, i, j)
-                else:
-                    all_nodes, links, least = np.r_[nodes[0], nodes[1]], np.r_[sums[0], sums[1]], forest(m + len(nodes[1]), i, j + m)
+                links, i, j = tiles_linked(x, y, *raw, *copies, same, threshold, reach)
+                all_nodes, least = nodes[0] if same else np.r_[nodes[0], nodes[1]], forest(len(links), i, j)
                 use = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(all_nodes[use]), pa.array(all_nodes[least[use]]), pa.array(links[use].astype(np.int64))], names=["node", "other", "links"])
 
@@ -174,5 +220,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+#: By brute force.
+ORACLE = """
+with recursive v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as materialized (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as r from v),
+links as materialized (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where a.r > 0 and b.r > 0 and list_inner_product(a.e, b.e) / (a.r * b.r) >= 0.93),
+reached(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reached r join links l on l.a = r.b),
+parts as (select a, min(b) as c from reached group by a),
+counts as (select a, count(*) as k from links group by a)
+select e.vec_id, coalesce(k, 0) as n_links, c as component_id, e.vec_id = c as kept
+from embeddings e join parts p on p.a = e.vec_id left join counts k on k.a = e.vec_id
+"""
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op3_near_vectors": near_vectors.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

@@ -18,7 +18,8 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = QUERIES[name](spark, DATA).toPandas(), con.execute(ORACLES[name]).fetchdf()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)

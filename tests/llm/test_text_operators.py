@@ -436,6 +436,27 @@ def test_matroska_forms(spark):
     assert Counter((r["id"], r["error"] is None) for r in table) == {(1, True): 12, (2, False): 1, (4, False): 1}
 
 
+def test_laced_frames_have_times_of_their_own(spark):
+    """By the samples before them; a group's own duration goes before the track's."""
+    payload = bytes(range(256)) * 2600
+    found = matroska.parsed(matroska.muxed(payload))
+    at, want = 0, []
+    for *_, n, _ in found["packets"]:
+        want.append(at * 1000 // matroska.RATE)
+        at += n
+    assert at == len(payload) and [p[2] for p in found["packets"]] == want and len(set(want)) == len(want)
+    assert found["tracks"] == {1: {"type": 2, "codec": "A_PCM/INT/LIT", "duration": 64_000_000}}
+    block = matroska.number(1) + b"\x00\x03" + bytes([matroska.FIXED, 2]) + b"abcabcabc"
+    group = matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, block) + matroska.unsigned(matroska.BLOCK_DURATION, 30))
+    cluster = matroska.element(matroska.CLUSTER, matroska.unsigned(matroska.TIMESTAMP, 100) + group + matroska.element(matroska.SIMPLE_BLOCK, block))
+    data = matroska.HEADER + matroska.element(matroska.SEGMENT, matroska.INTRODUCTION + cluster)
+    assert [p[2] for p in matroska.parsed(data)["packets"]] == [103, 113, 123, 103, 167, 231]
+    rows = matroska.packets(spark.createDataFrame([(None, bytearray(data)), (1, bytearray(data)), (1, bytearray(data))], "doc_id long, media binary")).collect()
+    assert len(rows) == 18 and {(r["track_type"], r["codec"]) for r in rows} == {(2, "A_PCM/INT/LIT")}
+    again = matroska.features(matroska.store(spark.createDataFrame([(None, "a"), (4, "a"), (4, None)], "doc_id long, text string"))).collect()
+    assert len(again) == 3 and len({r["feature"] for r in again}) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
     assert huffman.read_documents(spark, huffman.encode_table(none, 2)).count() == 0

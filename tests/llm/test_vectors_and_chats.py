@@ -11,8 +11,9 @@ from lumisieve.llm import near_vectors, transcripts
 VECTORS = "vec_id long, embedding array<float>, label int, copies string"
 
 
-def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr(near_vectors, "TILE", 16)
+@pytest.mark.parametrize("tile, leaf", [(16, 16), (8192, 8), (64, 5)])
+def test_near_vectors(spark, monkeypatch, tile, leaf):
+    monkeypatch.setattr(near_vectors, "TILE", tile)  # read by the driver's functions, which are sent to the tasks
     rng = np.random.default_rng(1)
     rows = []
     for label in (0, 1, 1, 1, 2):
@@ -51,6 +52,37 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_linked_tiles_by_parts(monkeypatch, same):
+    monkeypatch.setattr(near_vectors, "LEAF", 7)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 12))
+    x, y = (near_vectors.unit(centres[rng.integers(0, 9, n)] + 0.2 * rng.normal(size=(n, 12))) for n in (90, 70))
+    y = x if same else y
+    cx, cy = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+    cy = cx if same else cy
+    reach = float(np.sqrt(2 - 2 * 0.93)) + 1e-9
+    assert sorted(np.concatenate(near_vectors.leaves(x)).tolist()) == list(range(len(x))) and max(map(len, near_vectors.leaves(x))) <= 7
+    sums, i, j = near_vectors.tiles_linked(x, y, x, y, cx, cy, same, 0.93, reach)
+    near = x @ y.T >= 0.93
+    if same:
+        np.fill_diagonal(near, False)
+        want = (near * cy).sum(1)
+    else:
+        want = np.r_[(near * cy).sum(1), (near.T * cx).sum(1)]
+    assert near.sum() > 100 and (sums == want).all()
+    a, b = np.nonzero(near)
+    b = b if same else b + len(x)
+    assert (near_vectors.forest(len(want), i, j) == near_vectors.forest(len(want), a, b)).all()
+
+
+def test_null_and_repeated_vectors(spark):
+    v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1, "x"), (3, v, 1, "x"), (3, v, 1, "x"), (3, w, 1, "x"), (5, v, 1, "x"), (6, w, 1, "x")]
+    got = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
+    assert got == sorted([(-1, 0, None), (3, 2, 3), (3, 2, 3), (3, 1, 3), (5, 2, 3), (6, 1, 3)], key=str)
+
+
 def chats(n=80):
     rng = random.Random(2)
     say = lambda q: " ".join(rng.choice(["well", "then", "we", "see", "more", "note: x"]) for _ in range(rng.randrange(3, 30))) + ("?" if q else ".")
