@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-WORDS, EXACT, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FEW = 5, 512, 64, 7.0, 16, 6, 4, 300_000
+WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,10 +57,35 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LETTERS = mixed(np.arange(256, dtype=np.uint64), 5)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number, kept for the longest word so far."""
+    if len(_POWERS[0]) < n:
+        _POWERS[0] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n - 1, _M1)], dtype=np.uint64)
+    return _POWERS[0]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word: its letters' values times powers, summed and mixed. ASCII letters are lower-cased, and ASCII
+    white space parts words."""
+    b = np.frombuffer(text.lower(), np.uint8)
+    at = np.flatnonzero(~_SPACE[b])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    sizes = np.diff(first, append=len(at))
+    with np.errstate(over="ignore"):
+        values = _LETTERS[b[at]] * powers(int(sizes.max()))[np.arange(len(at)) - np.repeat(first, sizes)]
+        return mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _M2, 11)
+
+
 def shingles(text: bytes | None) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of a text in UTF-8; ASCII letters lower-cased, ASCII white space cut."""
-    words = text.lower().split() if text else []
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """The sorted hashes of the distinct shingles of a text in UTF-8."""
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
     n = min(len(h), WORDS)
     if n == 0:
         return h
@@ -68,7 +93,9 @@ def shingles(text: bytes | None) -> np.ndarray:
         s = np.full(len(h) - n + 1, n, np.uint64)
         for j in range(n):
             s = s * _M1 + h[j : len(h) - n + 1 + j]
-        return np.unique(mixed(s))
+        s = mixed(s)
+        s.sort()
+        return s[np.diff(s, prepend=~s[:1]) != 0]
 
 
 def band_of(n: int) -> int:
@@ -78,13 +105,13 @@ def band_of(n: int) -> int:
 def in_band(s: np.ndarray, band: int, exact: bool = False) -> tuple[np.ndarray, int, int]:
     """The shingles that a band's sketch takes, the number of its blocks, and the most differences to bear with."""
     top = 1 << (band + 1)
-    r = 0 if exact else max(0, top.bit_length() - EXACT.bit_length())
+    r = 0 if exact or top <= EXACT else top.bit_length() - TAKEN_MOST.bit_length()
     most = min(len(s), top - 1) // 3
     if r:
         mean = most / (1 << r)
         most = int(np.ceil(mean + SIGMAS * np.sqrt(mean) + 8))
-        # 435 blocks are enough for 512 shingles: 301 are not empty on average, of 270 needed at most.
-        return s[(s & np.uint64((1 << r) - 1)) == 0], int(EXACT * 0.85), most
+        # Of 435 blocks 111 are not empty on average for 128 shingles, of 97 needed; 193 for 256, of 158 needed.
+        return s[(s & np.uint64((1 << r) - 1)) == 0], int(TAKEN_MOST * 1.7), most
     return s, 0 if top <= SINGLE else int(np.ceil(top * 0.4)) + 8, most
 
 
@@ -93,29 +120,28 @@ def _marked(keys: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray, band: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """A band's join keys (their last five bits name the band), its parity sketch in 64-bit words, the most differences."""
+    """A band's join keys (their last five bits name the band), its parity sketch in 64-bit words, the most differences.
+
+    A shingle's block comes from the upper half of its hash, so blocks lie in the order of the sorted shingles.
+    """
     taken, blocks, most = in_band(s, band, exact)
     with np.errstate(over="ignore"):
-        h, content = mixed(taken, 2 * band + 1), mixed(taken, 2 * band + 2)
-        place = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32) if blocks else h
-        order = np.argsort(place, kind="stable")
-        place, content = place[order], content[order]
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-        held, folded = place[first], np.bitwise_xor.reduceat(content, first) if len(first) else content
+        place = ((taken >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32) if blocks else taken
+        first = np.flatnonzero(np.diff(place, prepend=~place[:1]))
+        held, folded = place[first], np.bitwise_xor.reduceat(taken, first) if len(first) else taken
         if len(held) > most:
             held, folded = held[: most + 1], folded[: most + 1]
         else:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), held)
             held, folded = np.r_[held, empty], np.r_[folded, np.zeros(len(empty), np.uint64)]
         keys = _marked(mixed(held * _M1 + folded, 1000 + band), band)
-    bits = np.bincount((h & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
+    bits = np.bincount(((taken >> np.uint64(16)) & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64).astype(np.uint8) & 1
     return keys.view(np.int64), np.packbits(bits).view(np.int64), most
 
 
 def class_of(s: np.ndarray, salt: int = 7) -> int:
     """64 bits that stand for a set."""
-    with np.errstate(over="ignore"):
-        return int(mixed(mixed(s, salt).sum() + np.uint64(len(s))).view(np.int64))
+    return xxhash.xxh3_64_intdigest(s.tobytes(), salt) - (1 << 63)
 
 
 SIGNED = "doc_id bigint, text_hash bigint, n int, class bigint, check bigint, own boolean, band int, most int, keys array<bigint>, bits array<bigint>"
@@ -125,6 +151,12 @@ def _texts(batch, k: int, lo: int, n: int):
     return ((t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(k).slice(lo, n))
 
 
+def _lists(rows) -> pa.Array:
+    """Arrays of whole numbers as one column of lists."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]))
+
+
 def _signer(exact):
     def run(batches):
         for batch in batches:
@@ -141,8 +173,8 @@ def _signer(exact):
                         keys, bits, most = sketch(s, b, exact)
                         rows.append((doc, mark, n, kind, check, b == band, b, most, keys, bits))
                 cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[f.split()[0] for f in SIGNED.split(", ")])
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, types)), _lists(cols[8]), pa.array(list(cols[9]), pa.list_(pa.int64()))], names=[f.split()[0] for f in SIGNED.split(", ")])
 
     return run
 
@@ -181,7 +213,7 @@ def _taker(exact):
                         taken, _, most = in_band(s, band, exact)
                         rows.append((kind, band, min(most, len(s) // 4), _marked(mixed(taken, 3), band).view(np.int64)))
                 cols = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["class", "band", "spare", "taken"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))), _lists(cols[3])], names=["class", "band", "spare", "taken"])
 
     return run
 
