@@ -1,7 +1,7 @@
 """Tables written in the cluster's shared folder, to cut lineage and to hand results from one job to the next.
 
-The folder is ``spark.checkpoint.dir`` as the session has it; only where that is unset (tests, a notebook) a local
-folder is taken. Everything goes through Spark's own readers and writers, so any Hadoop file system will do, and a
+The folder is ``spark.checkpoint.dir`` as the session has it; only where that is unset and the master is local
+(tests, a notebook) a local folder is taken. Everything goes through Spark's own readers and writers, so any Hadoop file system will do, and a
 lost executor costs the tasks that it ran, never a table.
 """
 
@@ -18,6 +18,8 @@ _LOCAL: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumisieve-"))
     return f"{named.rstrip('/')}/lumisieve-{app}"
