@@ -120,7 +120,7 @@ def test_odd_transcripts(spark):
     rows = [(1, None, "user", "a"), (1, 2, None, None), (2, 0, "robot", ""), (None, 0, "user", "hi\n\nthere"), (3, 0, "user", "x" * 100_000), (4, 1, "user", "same"), (4, 1, "user", "same"), (5, 0, "user", "u"), (5, 600, "assistant", "v")]
     raw = transcripts.rendered_from(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = transcripts.parsed(raw, transcripts.fit(raw)).collect()
-    assert sorted((r["conv_id"] or 0, r["part"]) for r in got) == [(0, 0), (1, -1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1)]
+    assert sorted((r["conv_id"] or 0, r["part"]) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0)]
     empty = transcripts.rendered_from(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert transcripts.parsed(empty, transcripts.fit(empty)).count() == 0
     model = transcripts.fit(empty)
@@ -137,16 +137,39 @@ def test_parts_are_bounded_whatever_the_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     raw = transcripts.rendered_from(df).collect()
     found, want = {}, {}
-    for r in sorted(raw, key=lambda r: (r["conv_id"] or 0, r["part"], r["piece"])):
+    for r in sorted(raw, key=lambda r: (r["conv_id"] or 0, r["part"])):
         own = [line.split()[-1].split("]")[-1].split(">")[-1] for line in r["text"].split("\n") if line]
         assert len(own) == sum(s % 2 == 0 for s in r["states"]) <= 8
-        found.setdefault((r["conv_id"], r["part"]), []).append(own)
+        found.setdefault(r["conv_id"], []).append(own)
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2], r[3])):
-        want.setdefault((c, (-1 if t is None else t) // 8), []).append(text)
+        want.setdefault(c, []).append(text)
     assert {k: sum(v, []) for k, v in found.items()} == want
     assert all(len(x) == 8 for v in found.values() for x in v[:-1])
     got = transcripts.parsed(transcripts.rendered_from(df), transcripts.fit(transcripts.rendered_from(df)))
-    assert got.agg(F.max("n_turns")).first()[0] <= 8 and got.count() == len(raw)
+    assert got.count() == len(raw)
+
+
+def test_cuts_change_no_state(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "PART", 3)
+    monkeypatch.setattr(transcripts, "FAN", 2)
+    rng = random.Random(9)
+    rows = [(c, k, rng.choice(["user", "assistant", "system", "x"]), "\n".join(rng.choice(["well?", "", "note: x", "we see", "Q: z"]) for _ in range(rng.randrange(1, 4)))) for c in range(25) for k in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame([(c if c else None, *r) for c, *r in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    raw = transcripts.rendered_from(df)
+    model = transcripts.fit(raw.where("conv_id % 2 = 0"))
+    whole, roles, texts, continued = {}, {}, {}, 0
+    for r in sorted(raw.collect(), key=lambda r: r["part"]):
+        whole.setdefault(r["conv_id"], []).append(r["text"])
+    for r in sorted(transcripts.parsed(raw, model).collect(), key=lambda r: r["part"]):
+        roles[r["conv_id"]] = roles.get(r["conv_id"], "") + r["roles"]
+        texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["rendered"]
+        continued += not r["rendered"].startswith("<|")
+    assert max(map(len, whole.values())) > 8 and continued > 3
+    packed = lambda t: "".join(t.split())
+    for c, parts in whole.items():
+        turns = transcripts.turns_of("\n".join(parts), model)
+        assert roles[c] == "".join(r[0] for r, _ in turns), c
+        assert packed(texts[c]) == packed(transcripts.canonical(turns))
 
 
 def test_repeated_ids_stay_by_their_own_texts(spark):
