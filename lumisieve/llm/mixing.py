@@ -9,7 +9,9 @@
   ``floor(target)``, the order does not depend on partitions, and reruns agree.
 * Where that order ends is found as in a radix selection: sums by (source, first 12 bits of the hash), then by the next
   12 bits within the one bucket where the sum is reached, then the last 12. A source with a third of all rows is
-  pre-aggregated to 4096 sums like any other; no window sees more than 4096 sums or the few rows of one last bucket.
+  pre-aggregated to 4096 sums like any other, and no window sees more than 4096 sums.
+* The rows at the end's own hash are one document, but null or often repeated ids may be a third of the table. They are
+  sorted by source, id, size and text in ranges that split equal rows, too, and prefix sums over the ranges place them.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; a null id hashes as an
 empty one; rows with equal ids are taken each for itself. With no rows, or no words at all, nothing is taken. Other
@@ -27,7 +29,7 @@ from . import scratch
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 WORD, SALTS, FEW_SOURCES = r"[^\x20\x09-\x0D]+", 64, 10_000
-_KEY, _SIZE, _HASH = "__ls_key", "__ls_size", "__ls_hash"
+_KEY, _SIZE, _HASH, _UPTO = "__ls_key", "__ls_size", "__ls_hash", "__ls_words_upto"
 
 
 def source_key(source: Column) -> Column:
@@ -97,8 +99,24 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     return out, out.count()
 
 
+def _with_upto(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_UPTO``: the words of a source up to the row, in the order of id, size and text."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [_KEY, "doc_id", _SIZE, *(["text"] if "text" in rows.columns else []), "__ls_row"]
+    placed = scratch.written(rows, "op2-last").withColumn("__ls_row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Within a range, the id grows by one a row.
+    placed = scratch.written(placed.drop("__ls_row").withColumn("__ls_at", F.monotonically_increasing_id()), "op2-placed")
+    placed = placed.withColumn("__ls_range", F.shiftright("__ls_at", 33))
+    sums = placed.groupBy(_KEY, "__ls_range").agg(F.sum(_SIZE).alias("__ls_sum"))
+    before = F.sum("__ls_sum").over(Window.partitionBy(_KEY).orderBy("__ls_range")) - F.col("__ls_sum")
+    inside = F.sum(_SIZE).over(Window.partitionBy(_KEY, "__ls_range").orderBy("__ls_at").rowsBetween(Window.unboundedPreceding, 0))
+    both = placed.withColumn(_UPTO, inside).join(sums.withColumn("__ls_before", before).drop("__ls_sum"), [_KEY, "__ls_range"])
+    return both.withColumn(_UPTO, F.col(_UPTO) + F.col("__ls_before")).select(*rows.columns, _UPTO)
+
+
 def with_taken(docs: DataFrame, found: DataFrame, n_sources: int) -> DataFrame:
-    """``docs`` with their source's shares and ``__ls_taken``: the words that the mix takes, repeats counted."""
+    """``docs`` with their source's shares and ``__ls_taken``: the words that the mix takes, repeats counted. The shares
+    of up to ``FEW_SOURCES`` sources are broadcast, those of more are joined by salted keys; the rows are the same."""
     if n_sources <= FEW_SOURCES:
         both = docs.join(F.broadcast(found), _KEY)
     else:
@@ -106,8 +124,9 @@ def with_taken(docs: DataFrame, found: DataFrame, n_sources: int) -> DataFrame:
         both = docs.withColumn("__ls_salt", F.col(_HASH) % SALTS).join(salted, [_KEY, "__ls_salt"]).drop("__ls_salt")
     whole, size = F.col("whole") * F.col(_SIZE), F.col(_SIZE)
     sure = both.where(F.col(_HASH) != F.col("end_hash")).withColumn("__ls_part", F.when(F.col(_HASH) < F.col("end_hash"), size).otherwise(0).cast("long"))
-    upto = F.sum(_SIZE).over(Window.partitionBy(_KEY).orderBy("doc_id", _SIZE).rowsBetween(Window.unboundedPreceding, 0))
-    last = both.where(F.col(_HASH) == F.col("end_hash")).withColumn("__ls_part", upto).withColumn("__ls_part", F.greatest(F.lit(0), F.least(size, F.col("end_words") - F.col("__ls_part") + size)).cast("long"))
+    last = _with_upto(both.where(F.col(_HASH) == F.col("end_hash")))
+    rest = F.col("end_words") - F.col(_UPTO) + size
+    last = last.withColumn("__ls_part", F.greatest(F.lit(0), F.least(size, rest)).cast("long")).drop(_UPTO)
     return sure.unionByName(last).withColumn("__ls_taken", whole + F.col("__ls_part"))
 
 

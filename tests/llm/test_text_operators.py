@@ -269,6 +269,26 @@ def test_sketch_distance_is_a_lower_bound():
         assert apart <= len(np.setxor1d(ngram_join.in_band(a, band)[0], ngram_join.in_band(b, band)[0])) and apart <= most
 
 
+def test_mixing_places_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"t{rng.randrange(50)}" for _ in range(rng.randrange(0, 9))), "x", src) for src in ("a", None, "b") for i in [None] * 90 + [7] * 40 + list(range(20))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __ls_upto string, source string").repartition(5)
+    measured = mixing.measured(table)
+    found, n = mixing.shares(measured)
+    one, two = (sorted(map(str, mixing.with_taken(m, found, n).select("source", "doc_id", "text", "__ls_taken").collect())) for m in (measured, measured.repartition(3)))
+    got = mixing.with_taken(measured, found, n).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert r["whole"] * r["__ls_size"] <= r["__ls_taken"] <= (r["whole"] + 1) * r["__ls_size"]
+        taken[r["source"]] += r["__ls_taken"]
+        target[r["source"]] = int(r["target"])
+    assert len(got) == len(rows) and dict(taken) == target and one == two
+    words = Counter()
+    for r in mixing.mix(table).collect():
+        words[r["source"]] += len(words_of(r["text"]))
+    assert dict(words) == target
+
+
 def test_mixing(spark, docs):
     rows = corpus()
     size = {r[0]: len(words_of(r[1])) for r in rows}
