@@ -176,7 +176,8 @@ def _sampled(docs: DataFrame, rows: int) -> DataFrame:
     # A share that leaves about 1.5 x ``rows`` ids of each language, so that ranking sees no more than those.
     counts = known.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    low = known.withColumn("place", place).join(counts, "lang").where(F.col("place") * F.col("c") < F.lit(1.5 * rows * (1 << 40)))
+    # A row for each language, of which the driver holds a whole vector later: so rows need not be dealt by language.
+    low = known.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("c").cast("double") < F.lit(1.5 * rows * (1 << 40)))
     once = low.groupBy("lang", "place", "doc_id").agg(F.min("text").alias("text"))
     first = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("rank") <= rows)
     return first.select("lang", "text", (F.col("rank") % 5 == 0).alias("tried"))
