@@ -1,65 +1,63 @@
 """Joins and groups by Hamming distance between hash texts of one length.
 
-Hashes are compared as 64-bit words. They are cut into blocks of 16 bits; if two are at most ``within`` bits apart, one
-of ``m`` blocks differs in at most ``within // m`` bits. So one side gives each block's value, the other one each value
-within that many bits of it, and candidates come from an equi-join on (block, value), whose condition measures them.
-The number of probes grows steeply with ``within // m`` (64 bits: 4 keys on one side, and 4, 68, 548, 2,788 on the other
-up to 3, 7, 11, 15 bits). Equal hashes are one value throughout: pairs are between distinct values, and rows find their
-value by a plain join, which adaptive execution splits where a value is very common.
-
-Defined cases: a null hash, or one of another length than ``digits``, is near nothing; ``near_groups`` and
-``best_match`` keep its row, in a group of its own and without a match.
+Hashes are compared as 64-bit words. Near pairs come from ``hamming``: keys of blocks of bits that widen where many
+values meet, for any radius. Equal hashes are one value throughout: pairs are between distinct values, and rows find
+their value by a plain join, which adaptive execution splits where a value is very common.
+
+The nearest match deepens the radius: equal values first, then those within 2, 4, 8, ... bits; only values without a match
+go on. A radius finds all that is within it, so the nearest of what it finds (of equally near ones the first) is the
+nearest of all, and the search stops there. When keys for the next radius cost more than measuring what is left, that is
+done in blocks.
+
+Defined cases: a null hash, one of another length than ``digits``, or one that is no lower-case hexadecimal text is near
+nothing; ``near_groups`` and ``best_match`` keep its row, in a group of its own and without a match.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashes import apart, multi_distance, words_of
+from .. import scratch
+from ..functions.hashes import apart, cutoff_of, is_hex, multi_distance, words_of
+from . import hamming
 from .components import components
 
-BLOCK_BITS = 16
-#: Golden entries that are measured in one row, shares of the values that meet them, and how many entries are sent whole.
-GOLDEN_BLOCK, GOLDEN_SHARES, GOLDEN_SENT = 1024, 32, 100_000
-
-
-def _blocks(digits: int) -> list[tuple[int, int, int]]:
-    """Word, first bit and width of each block of a hash."""
-    out = []
-    for word in range(-(-digits // 16)):
-        n = min(64, 4 * digits - 64 * word)
-        out += [(word, at, min(BLOCK_BITS, n - at)) for at in range(0, n, BLOCK_BITS)]
-    return out
-
-
-def _masks(width: int, most: int) -> list[int]:
-    return [sum(1 << i for i in c) for k in range(min(most, width) + 1) for c in combinations(range(width), k)]
+#: Golden entries that are measured in one row, shares of the values that meet them where they are too many to be sent to
+#: all tasks, and the bytes up to which they are sent.
+GOLDEN_BLOCK, GOLDEN_SHARES, GOLDEN_BYTES = 1024, 32, 8 << 20
+#: Radii of the nearest match, and how many candidates cost as much as one entry that is measured in a block.
+RADII, CANDIDATE_COST = (2, 4, 8, 12, 16, 24, 32), 8
 
 
-def _values(rows: DataFrame, name: str, digits: int) -> DataFrame:
-    """Distinct hashes, with their words: made below the aggregate, so that nothing above it makes them again."""
-    words = [F.conv(F.substring("hex", 16 * k + 1, 16), 16, -10).cast("long").alias(f"{name}{k}") for k in range(-(-digits // 16))]
-    return rows.select(F.col("hex").alias(name), *words).distinct().where(F.length(name) == digits)
+def _sided(left: DataFrame, right: DataFrame, digits: int) -> DataFrame:
+    """Distinct hashes as words, with the sides they are of: a table."""
+    valid = lambda rows, side: rows.where(F.length("hex") == digits).where(is_hex(F.col("hex"))).select("hex", F.lit(side).alias("sides")).distinct()
+    if left is right:
+        values = valid(left, hamming.LEFT + hamming.RIGHT)
+    else:
+        values = valid(left, hamming.LEFT).union(valid(right, hamming.RIGHT)).groupBy("hex").agg(F.bit_or("sides").alias("sides"))
+    words = [w.alias(f"w{k}") for k, w in enumerate(hamming.words_in(F.col("hex"), digits))]
+    return scratch.written(values.select(*words, "sides"), "near-values")
 
 
 def near_values(left: DataFrame, right: DataFrame, digits: int, within: int, ordered: bool = False) -> DataFrame:
     """``a, b, distance`` of the distinct hashes ``hex`` of two tables that are at most ``within`` bits apart; ``ordered``:
     only those with a < b."""
-    a, b, blocks = _values(left, "a", digits), _values(right, "b", digits), _blocks(digits)
-    most = within // len(blocks)
-    part = lambda side, k, at, width: F.shiftrightunsigned(F.col(f"{side}{k}"), at).bitwiseAND((1 << width) - 1)
-    one = [F.struct(F.lit(i).alias("block"), part("a", *b_).alias("part")) for i, b_ in enumerate(blocks)]
-    masks = lambda width: F.array(*[F.lit(m).cast("long") for m in _masks(width, most)])
-    near = lambda i, b_: F.transform(masks(b_[2]), lambda m: F.struct(F.lit(i).alias("block"), part("b", *b_).bitwiseXOR(m).alias("part")))
-    one = a.withColumn("k", F.explode(F.array(*one))).withColumns({"block": F.col("k.block"), "part": F.col("k.part")}).drop("k")
-    two = b.withColumn("k", F.explode(F.flatten(F.array(*[near(i, b_) for i, b_ in enumerate(blocks)])))).withColumns({"block": F.col("k.block"), "part": F.col("k.part")}).drop("k")
-    distance = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(-(-digits // 16))), F.lit(0))
-    met = (one["block"] == two["block"]) & (one["part"] == two["part"]) & (distance <= within)
-    pairs = one.join(two, met & (F.col("a") < F.col("b")) if ordered else met)
-    return pairs.select("a", "b", distance.cast("int").alias("distance")).distinct()
+    return _near_of(_sided(left, right, digits), digits, within, ordered)
+
+
+def _near_of(values: DataFrame, digits: int, within: int, ordered: bool = False) -> DataFrame:
+    names = [c for c in values.columns if c != "sides"]
+    text = lambda side: hamming.hex_of([F.col(f"{side}{k}") for k in range(len(names))], digits)
+    found = hamming.pairs(values, names, 4 * digits, within).select(text("a").alias("x"), text("b").alias("y"), "distance", "ways")
+    ways = F.explode(F.filter(F.array(F.struct("x", "y", F.lit(1).alias("way")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.lit(2).alias("way"))), lambda p: p["way"].bitwiseAND(F.col("ways")) > 0)).alias("p")
+    both = found.select("distance", ways).select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "distance")
+    if ordered:
+        return both.where("a < b")
+    same = values.where(F.col("sides") == hamming.LEFT + hamming.RIGHT) if within >= 0 else values.limit(0)
+    hex_ = hamming.hex_of([F.col(c) for c in names], digits)
+    return both.union(same.select(hex_.alias("a"), hex_.alias("b"), F.lit(0).alias("distance")))
 
 
 def near_rows(left: DataFrame, right: DataFrame, digits: int, within: int) -> DataFrame:
@@ -81,38 +79,108 @@ def near_groups(rows: DataFrame, digits: int, within: int) -> DataFrame:
     return rows.join(of_value, "hex", "left").select("id", "hex", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def _best(values: DataFrame, golden: DataFrame, kind: str, own: str, distance) -> DataFrame:
-    """``values`` (kind, own) with ``best`` (distance, ordinal) of the golden entries (kind, own, ordinal).
+def _best(values: DataFrame, golden: DataFrame, own: str, distance, n_bytes: int) -> DataFrame:
+    """``values`` (own) with ``best`` (distance, ordinal) of the golden entries (own, ordinal).
 
     Entries are gathered in blocks of about GOLDEN_BLOCK, and an expression measures a whole block, so that what is
-    between is never a row for each pair. At most GOLDEN_SENT entries are sent to all tasks; more are dealt with copies
+    between is never a row for each pair. Entries of at most GOLDEN_BYTES are sent to all tasks; more are dealt with copies
     for each share of the values.
     """
     n = golden.count()
     block = F.pmod(F.xxhash64("ordinal", own), F.lit(max(1, -(-n // GOLDEN_BLOCK)))).alias("block")
-    blocks = golden.groupBy(kind, block).agg(F.collect_list(F.struct("ordinal", F.col(own).alias("value"))).alias("known"))
-    blocks = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(GOLDEN_SHARES - 1))))
-    dealt = values.withColumn("share", F.pmod(F.xxhash64(own), F.lit(GOLDEN_SHARES)).cast("int"))
-    met = dealt.join(F.broadcast(blocks) if n <= GOLDEN_SENT else blocks, [kind, "share"])
+    blocks = golden.groupBy(block).agg(F.collect_list(F.struct("ordinal", F.col(own).alias("value"))).alias("known"))
+    if n_bytes <= GOLDEN_BYTES:
+        met = values.withColumn("share", F.lit(0)).join(F.broadcast(blocks.withColumn("share", F.lit(0))), "share")
+    else:
+        dealt = values.withColumn("share", F.pmod(F.xxhash64(own), F.lit(GOLDEN_SHARES)).cast("int"))
+        met = dealt.join(blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(GOLDEN_SHARES - 1)))).hint("merge"), "share")
     best = F.array_min(F.transform("known", lambda g: F.struct(distance(F.col(own), g["value"]).alias("distance"), g["ordinal"].alias("ordinal"))))
     return met.groupBy(*values.columns).agg(F.min(best).alias("best"))
 
 
 def best_match(rows: DataFrame, golden: DataFrame, digits: int) -> DataFrame:
     """For each row (id, hex) the nearest of ``golden`` (ordinal, hex), the first of equally near ones; nulls without."""
-    words = lambda t, *more: t.where(F.length("hex") == digits).select(*more, F.length("hex").alias("kind"), words_of(F.col("hex")).alias("own"))
-    best = _best(words(rows.select("hex").distinct(), "hex"), words(golden, "ordinal"), "kind", "own", apart).select("hex", "best")
+    valid = lambda t: t.where(F.length("hex") == digits).where(is_hex(F.col("hex")))
+    known = scratch.written(valid(golden).groupBy("hex").agg(F.min("ordinal").alias("ordinal")), "golden")
+    left = scratch.written(valid(rows).select("hex").distinct(), "unmatched")
+    struct = F.struct(F.col("distance").cast("int").alias("distance"), "ordinal")
+    equal = left.join(known, "hex").withColumn("distance", F.lit(0)).select("hex", struct.alias("best"))
+    parts, left = [scratch.written(equal, "matched")], scratch.written(left.join(known.select("hex"), "hex", "left_anti"), "unmatched")
+    n_known = known.count()
+    for within in RADII:
+        n = left.count()
+        if not n or not n_known or within >= 4 * digits:
+            break
+        if hamming.plan(n + n_known, float(n * n_known), 4 * digits, within)[0] == 0:
+            break
+        near = near_values(left, known, digits, within).join(known.select(F.col("hex").alias("b"), "ordinal"), "b")
+        found = scratch.written(near.groupBy(F.col("a").alias("hex")).agg(F.min(struct).alias("best")), "matched")
+        parts.append(found)
+        left = scratch.written(left.join(found.select("hex"), "hex", "left_anti"), "unmatched")
+    words = lambda t, *more: t.select(*more, words_of(F.col("hex")).alias("own"))
+    parts.append(_best(words(left, "hex"), words(known, "ordinal"), "own", apart, n_known * (digits // 2 + 32)).select("hex", "best"))
+    best = parts[0]
+    for part in parts[1:]:
+        best = best.union(part)
     return rows.join(best, "hex", "left").select("id", "hex", F.col("best.ordinal").alias("ordinal"), F.col("best.distance").alias("distance"))
 
 
 def best_multi_match(rows: DataFrame, golden: DataFrame, cutoff: float | None = None, rate: float | None = None) -> DataFrame:
     """For each row (id, own: the hashes of its segments) the golden entry (ordinal, own) of the smallest multi-hash
-    distance, the first of equally near ones; nulls for a row without segments."""
-    some = lambda t, *more: t.where(F.size("own") > 0).select(*more, F.lit(0).alias("kind"), "own")
-    best = _best(some(rows.select("own").distinct()), some(golden, "ordinal"), "kind", "own", lambda a, b: multi_distance(a, b, cutoff, rate)).select("own", "best")
+    distance, the first of equally near ones; nulls for a row without segments.
+
+    An entry without a near segment is as far as any other such one. So only entries that share a near pair of segments,
+    found by keys, are measured, beside the first of all; where these are most of all entries, all are, in blocks.
+    """
+    some = lambda t, *more: t.where(F.size("own") > 0).select(*more, "own")
+    values, known = scratch.written(some(rows.select("own").distinct()), "multi-values"), scratch.written(some(golden, "ordinal"), "multi-golden")
+    score = lambda a, b: multi_distance(a, b, cutoff, rate)
+    n_values = values.count()
+    n_known, n_bytes, first = known.agg(F.count(F.lit(1)), F.sum(F.length(F.concat_ws(",", "own")) + 32), F.min("ordinal")).first()
+    met = _near_entries(values, known, cutoff, rate, n_values * n_known) if n_values and n_known else None
+    if met is None:
+        best = _best(values, known, "own", score, n_bytes or 0)
+    else:
+        found = met.join(known.withColumnRenamed("own", "other"), "ordinal")
+        found = found.select("own", F.struct(score(F.col("own"), F.col("other")).alias("distance"), "ordinal").alias("best"))
+        far = values.select("own", F.struct(F.size("own").cast("double").alias("distance"), F.lit(first).cast(known.schema["ordinal"].dataType).alias("ordinal")).alias("best"))
+        best = found.union(far).groupBy("own").agg(F.min("best").alias("best"))
     return rows.join(best, "own", "left").select("id", F.col("best.ordinal").alias("ordinal"), F.col("best.distance").alias("distance"))
 
 
+def _near_entries(values: DataFrame, known: DataFrame, cutoff: float | None, rate: float | None, n_all: int) -> DataFrame | None:
+    """``own, ordinal`` of values and entries with a near pair of segments; None if keys cost more than all ``n_all``."""
+    limit = F.floor(cutoff_of(F.get("own", F.lit(0)), cutoff, rate)).cast("int").alias("within")
+    mine = values.select("own", limit, F.explode(F.array_distinct("own")).alias("hex"))
+    theirs = known.select("ordinal", F.explode(F.array_distinct("own")).alias("hex"))
+    of = lambda t: t.withColumn("digits", F.length("hex"))
+    # Sizes of hashes and cutoffs that the tables have: one row for each kind of hash.
+    kinds = of(mine).select("digits", "within").distinct().join(of(theirs).select("digits").distinct(), "digits").where("digits > 0").collect()
+    cost, sides = 0.0, []
+    for kind in kinds:
+        digits, within = kind["digits"], kind["within"]
+        one, two = (of(t).where(F.col("digits") == digits) for t in (mine.where(F.col("within") == within), theirs))
+        sided = _sided(one, two, digits)
+        n, meet = hamming.sized(sided)
+        m, price = hamming.plan(n, meet, 4 * digits, within) if within < 4 * digits else (0, meet)
+        if meet and not m:
+            return None
+        cost += price
+        sides.append((digits, within, sided, one, two))
+    if cost >= n_all * CANDIDATE_COST * 8:
+        return None
+    out = None
+    for digits, within, sided, one, two in sides:
+        near = scratch.written(_near_of(sided, digits, within), "near-segments")
+        counts = lambda t, name, n: t.groupBy(F.col("hex").alias(name)).agg(F.count(F.lit(1)).alias(n))
+        rows = near.join(counts(one, "a", "p"), "a").join(counts(two, "b", "q"), "b").agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0
+        if rows * CANDIDATE_COST > n_all:
+            return None
+        met = one.select("own", F.col("hex").alias("a")).join(near, "a").select("own", "b").join(two.select("ordinal", F.col("hex").alias("b")), "b").select("own", "ordinal")
+        out = met if out is None else out.union(met)
+    return None if out is None else out.distinct()
+
+
 def known(rows: DataFrame, golden: DataFrame, missing: bool = False) -> DataFrame:
     """Rows whose hash is (or is not) one of a golden set's."""
     return rows.join(golden.select("hex").distinct(), "hex", "left_anti" if missing else "left_semi")

@@ -48,16 +48,87 @@ def test_groups_and_best_match(spark):
 
 
 def test_other_lengths_nulls_and_blocks_of_golden(spark, monkeypatch):
-    rows = [*hashes(40, 5), (900, None), (901, "0f"), (902, "")]
+    rows = [*hashes(40, 5), (900, None), (901, "0f"), (902, ""), (903, "zz" * 8), (904, "A" * 16)]
     df = spark.createDataFrame(rows, "id long, hex string")
     groups = {r["id"]: r["group_id"] for r in S.near_groups(df, 16, 4).collect()}
-    assert len(groups) == len(rows) and all(groups[k] == k for k in (900, 901, 902))
-    golden = [(k, h) for k, (_, h) in enumerate(hashes(50, 6))] + [(77, "ff")]
-    for sent in (100_000, 1):
+    assert len(groups) == len(rows) and all(groups[k] == k for k in range(900, 905))
+    golden = [(k, h) for k, (_, h) in enumerate(hashes(50, 6))] + [(77, "ff"), (78, None)]
+    for sent in (8 << 20, 0):
         monkeypatch.setattr(S, "GOLDEN_BLOCK", 8)
-        monkeypatch.setattr(S, "GOLDEN_SENT", sent)
+        monkeypatch.setattr(S, "GOLDEN_BYTES", sent)
         got = {r["id"]: (r["distance"], r["ordinal"]) for r in S.best_match(df, spark.createDataFrame(golden, "ordinal long, hex string"), 16).collect()}
-        assert got == {i: min((apart(a, g), o) for o, g in golden[:-1]) if a and len(a) == 16 else (None, None) for i, a in rows}
+        assert got == {i: min((apart(a, g), o) for o, g in golden[:-2]) if i < 900 else (None, None) for i, a in rows}
+    none = S.best_match(df, spark.createDataFrame([], "ordinal long, hex string"), 16).collect()
+    assert len(none) == len(rows) and all(r["ordinal"] is None for r in none)
+
+
+def test_nearest_by_deeper_radii(spark, monkeypatch):
+    """Every radius in turn, by keys only: the plan takes keys whatever they cost."""
+    monkeypatch.setattr(S.hamming, "ROW_COST", 0)
+    rng = random.Random(11)
+    golden = [(rng.randrange(1000), f"{rng.getrandbits(64):016x}") for _ in range(40)]
+    golden += [(3, golden[0][1]), (2000, golden[1][1])]
+    rows = []
+    for k in range(150):
+        v = int(rng.choice(golden)[1], 16)
+        for b in rng.sample(range(64), k % 15):
+            v ^= 1 << b
+        rows.append((k, f"{v:016x}"))
+    got = {r["id"]: (r["distance"], r["ordinal"]) for r in S.best_match(spark.createDataFrame(rows, "id long, hex string"), spark.createDataFrame(golden, "ordinal long, hex string"), 16).collect()}
+    assert got == {i: min((apart(a, g), o) for o, g in golden) for i, a in rows}
+
+
+def multi_score(own, other, limit):
+    near = [min(apart(a, b) for b in other) for a in own]
+    near = [d for d in near if d <= limit]
+    return len(own) - (len(near) - sum(near) / (len(near) * 64)) if near else float(len(own))
+
+
+@pytest.mark.parametrize("cost", [0, 1000])
+def test_nearest_multi_hash(spark, monkeypatch, cost):
+    monkeypatch.setattr(S.hamming, "ROW_COST", cost)
+    rng = random.Random(12)
+    golden = [(k, [f"{rng.getrandbits(64):016x}" for _ in range(rng.randrange(1, 5))]) for k in range(60)]
+    golden += [(90, golden[7][1]), (91, [])]
+
+    def near(h):
+        return f"{int(h, 16) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))):016x}"
+
+    rows = [(k, [near(h) for h in rng.choice(golden[:60])[1]] + [f"{rng.getrandbits(64):016x}"] * (k % 3)) for k in range(80)]
+    rows += [(200, []), (201, [f"{rng.getrandbits(64):016x}"]), (202, rows[5][1])]
+    df, known = spark.createDataFrame(rows, "id long, own array<string>"), spark.createDataFrame(golden, "ordinal long, own array<string>")
+    got = {r["id"]: (r["distance"], r["ordinal"]) for r in S.best_multi_match(df, known, cutoff=6.0).collect()}
+    want = {i: min((multi_score(own, other, 6), o) for o, other in golden if other) if own else (None, None) for i, own in rows}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and (got[i][0] is None or abs(got[i][0] - want[i][0]) < 1e-12) for i in want)
+
+
+@pytest.mark.parametrize("within, group", [(1, 4), (3, 2), (6, 4), (6, 40), (12, 16), (20, 30), (64, 8), (70, 1000)])
+def test_keys_that_widen(spark, monkeypatch, within, group):
+    """Small groups make many levels, and tiles where no level is left: all pairs once, of a left and a right value."""
+    from lumisieve.operators import hamming
+
+    monkeypatch.setattr(hamming, "GROUP", group)
+    monkeypatch.setattr(hamming, "ROW_COST", 0)
+    rng = random.Random(within * 100 + group)
+    base = [rng.getrandbits(64) for _ in range(3)] + [0]
+    values = {rng.choice(base) ^ sum(1 << b for b in rng.sample(range(24 if k % 3 else 64), rng.randrange(8))) for k in range(140)} | {rng.getrandbits(64) for _ in range(30)}
+    rows = [(f"{v:016x}", rng.choice([1, 2, 3, 3])) for v in sorted(values)]
+    left, right = ([h for h, s in rows if s & side] for side in (1, 2))
+    frame = lambda t: spark.createDataFrame([(h,) for h in t] * 2, "hex string")
+    got = [(r["a"], r["b"], r["distance"]) for r in S.near_values(frame(left), frame(right), 16, within).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, apart(a, b)) for a in left for b in right if apart(a, b) <= within}
+    same = frame(left)
+    got = [(r["a"], r["b"]) for r in S.near_values(same, same, 16, within, ordered=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in left for b in left if a < b and apart(a, b) <= within}
+
+
+def test_blocks_follow_the_number_of_values():
+    from lumisieve.operators.hamming import plan
+
+    for within in range(1, 17):
+        cost = [plan(n, n * n / 2, 64, within)[1] / n for n in (10**5, 10**6, 10**7)]
+        assert plan(10**6, 5e11, 64, within)[0] > within and cost[2] < cost[0] * 100
+    assert plan(10**6, 5e11, 64, 40)[0] == 0
 
 
 @pytest.mark.parametrize("digits", [14, 21, 64])
@@ -90,5 +161,6 @@ def test_known_and_largest(spark):
 
 
 def test_pairs_use_an_equi_join(spark):
-    df = spark.createDataFrame(hashes(20, 4), "id long, hex string")
-    assert "NestedLoop" not in S.near_values(df, df, 16, 3)._jdf.queryExecution().toString()
+    df = spark.createDataFrame(hashes(2000, 4), "id long, hex string")
+    plan = S.near_values(df, df, 16, 3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
