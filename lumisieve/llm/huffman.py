@@ -119,13 +119,15 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
 def decode_blocks(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
     """The ids of blocks (bits, checkpoints, number of ids); all checkpoints advance together, an id a step."""
     ids, sizes, width = table
-    raw = np.frombuffer(b"".join(bytes(bits) + b"\0\0\0" for bits, _, _ in blocks), np.uint8).astype(np.uint32)
-    # 24 bits from any byte on hold every window of up to 16 bits that starts in it.
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    first = 8 * np.cumsum([0, *(len(bits) + 3 for bits, _, _ in blocks)])
+    if width > 25:
+        raise ValueError("codes of more than 25 bits are not read")
+    raw = np.frombuffer(b"".join(bytes(bits) + b"\0\0\0\0" for bits, _, _ in blocks), np.uint8).astype(np.uint32)
+    # 32 bits from any byte on hold every window of up to 25 bits that starts in it.
+    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+    first = 8 * np.cumsum([0, *(len(bits) + 4 for bits, _, _ in blocks)])
     at = np.concatenate([marks + start for (_, marks, _), start in zip(blocks, first)])
     out = np.zeros((CHECKPOINT_IDS, len(at)), np.uint32)
-    last, shift, mask = len(window) - 1, 24 - width, (1 << width) - 1
+    last, shift, mask = len(window) - 1, 32 - width, (1 << width) - 1
     for k in range(CHECKPOINT_IDS):
         got = (window[np.minimum(at >> 3, last)] >> (shift - (at & 7))) & mask
         out[k] = ids[got]

@@ -83,7 +83,9 @@ def pack(docs: DataFrame, end_id: int = 0, vocab: str | None = None, sequence: i
     n_ids, dtype = max(e.n_ids, end_id + 1), e.dtype.str
     keyed = scratch.written(token_table(docs, end_id, vocab, extra="curve bigint", describe=lambda ids: curve_key(ids, n_ids)), "op4-ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    along = keyed.withColumn("spread", F.xxhash64("doc_id")).repartitionByRange(n, "curve", "spread").sortWithinPartitions("curve", "spread", "doc_id", "ids")
+    # Rows that agree in text and id are parted by their place in the table.
+    along = keyed.withColumn("spread", F.xxhash64("doc_id")).withColumn("place", F.monotonically_increasing_id())
+    along = along.repartitionByRange(n, "curve", "spread", "place").sortWithinPartitions("curve", "spread", "place")
     return along.select("doc_id", "ids").mapInArrow(_cutter(dtype, sequence), PIECES)
 
 

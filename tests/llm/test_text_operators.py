@@ -60,6 +60,14 @@ def test_code_lengths_are_optimal_and_limited():
         assert (huffman.decode_bits(data, marks, 1000, huffman.decode_table(sizes)) == ids).all()
 
 
+def test_codes_of_many_bits_are_read():
+    counts = np.ones(1 << 19, np.int64)
+    sizes = huffman.code_lengths(counts, 20)
+    ids = np.random.default_rng(9).integers(0, len(counts), 5000)
+    data, marks = huffman.encode_bits(ids, huffman.canonical_codes(sizes), sizes)
+    assert (huffman.decode_bits(data, marks, len(ids), huffman.decode_table(sizes)) == ids).all()
+
+
 def test_token_output(spark, docs):
     got = huffman.read_documents(spark, huffman.encode_table(docs, end_id=2)).orderBy("doc_id").collect()
     start = 0
