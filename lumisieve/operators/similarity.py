@@ -26,8 +26,9 @@ from .components import components
 #: Golden entries that are measured in one row, shares of the values that meet them where they are too many to be sent to
 #: all tasks, and the bytes up to which they are sent.
 GOLDEN_BLOCK, GOLDEN_SHARES, GOLDEN_BYTES = 1024, 32, 8 << 20
-#: Radii of the nearest match, and how many candidates cost as much as one entry that is measured in a block.
-RADII, CANDIDATE_COST = (2, 4, 8, 12, 16, 24, 32), 8
+#: Radii of the nearest match, how many pairs are measured sooner than any keys are made, and how many entries of a block
+#: are measured at the cost of one candidate.
+RADII, MEASURED, CANDIDATE_COST = (2, 4, 8, 12, 16, 24, 32), 1 << 24, 8
 
 
 def _sided(left: DataFrame, right: DataFrame, digits: int) -> DataFrame:
@@ -109,7 +110,7 @@ def best_match(rows: DataFrame, golden: DataFrame, digits: int) -> DataFrame:
     n_known = known.count()
     for within in RADII:
         n = left.count()
-        if not n or not n_known or within >= 4 * digits:
+        if float(n) * n_known <= MEASURED or within >= 4 * digits:
             break
         if hamming.plan(n + n_known, float(n * n_known), 4 * digits, within)[0] == 0:
             break
@@ -137,7 +138,7 @@ def best_multi_match(rows: DataFrame, golden: DataFrame, cutoff: float | None =
     score = lambda a, b: multi_distance(a, b, cutoff, rate)
     n_values = values.count()
     n_known, n_bytes, first = known.agg(F.count(F.lit(1)), F.sum(F.length(F.concat_ws(",", "own")) + 32), F.min("ordinal")).first()
-    met = _near_entries(values, known, cutoff, rate, n_values * n_known) if n_values and n_known else None
+    met = _near_entries(values, known, cutoff, rate, n_values * n_known) if n_values * n_known > MEASURED else None
     if met is None:
         best = _best(values, known, "own", score, n_bytes or 0)
     else:

@@ -145,8 +145,4 @@ ORACLES = {
     "hash_checks": f"""WITH {AVERAGE}, b AS (SELECT vec_id, hex, list_transform(string_split(hex, ''), lambda c: CAST('0x' || c AS BIGINT)) AS d FROM hashes)
       SELECT vec_id, 64 AS bits, true AS valid, vec_id % 3 = 2 OR (vec_id % 3 = 0 AND hex = repeat('0', 16)) AS broken_valid,
         {digits([f"((d[{i // 8 * 2 + 1 + (7 - i % 8) // 4}] >> {3 - (7 - i % 8) % 4}) & 1)" for i in range(64)])} AS old FROM b""",
-    "dct_planes": f"""WITH {PLANES}, {_PIXELS}, a AS (SELECT vec_id, y, u, sum(v * {_COS.format(u='u', t='x')}) AS v FROM p, range(8) t(u) GROUP BY vec_id, y, u)
-      SELECT vec_id, w::INTEGER AS y, u::INTEGER AS x, round(sum(v * {_COS.format(u='w', t='y')}) * 1000)::BIGINT AS thousandths FROM a, range(8) t(w) GROUP BY vec_id, w, u""",
-    "haar_planes": f"""WITH {PLANES}, {_PIXELS} SELECT vec_id, (y // 2)::INTEGER AS y, (x // 2)::INTEGER AS x, sum(v)::BIGINT AS low, sum(v * (1 - 2 * (y % 2)))::BIGINT AS rows_differ,
-      sum(v * (1 - 2 * (x % 2)))::BIGINT AS columns_differ, sum(v * (1 - 2 * (y % 2)) * (1 - 2 * (x % 2)))::BIGINT AS diagonal FROM p GROUP BY vec_id, y // 2, x // 2""",
 }

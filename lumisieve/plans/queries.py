@@ -69,9 +69,8 @@ def q_colour_hash(spark, sf_dir, bits: int = 3):
     code = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     every_doc = table(spark, sf_dir, "documents").select("doc_id", code.alias("x"))
     docs = every_doc.where("length(x) >= 6")
-    at = F.explode(F.sequence(F.lit(0), F.floor(F.length("x") / 6).cast("int") - 1))
-    # Equal pixels of a document are counted first, so that each colour is judged once.
-    pixels = docs.select("doc_id", "x", at.alias("k")).select("doc_id", F.substring("x", F.col("k") * 6 + 1, F.lit(6)).alias("p")).groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("m"))
+    # Equal pixels of a document are counted first, so that each colour is judged once. A text is cut in one go.
+    pixels = docs.select("doc_id", F.explode(F.regexp_extract_all("x", F.lit("([0-9A-F]{6})"))).alias("p")).groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("m"))
     r, g, b = (F.conv(F.substring("p", k, 2), 16, 10).cast("int") for k in (1, 3, 5))
     rows = pixels.select("doc_id", "m", P.colour_class(r, g, b).alias("c"), P.hue_bin(P.hue(r, g, b)).alias("hb"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
@@ -158,30 +157,6 @@ def q_hash_checks(spark, sf_dir):
     return rows.select("vec_id", H.bit_size(F.col("hex")).alias("bits"), H.valid_bits(bits).alias("valid"), H.valid_bits(broken).alias("broken_valid"), H.to_hex(H.old_hex(F.col("hex")), 64).alias("old"))
 
 
-def _transformed(spark, sf_dir) -> DataFrame:
-    return planes(spark, sf_dir).select("vec_id", F.posexplode("px").alias("at", "v")).select("vec_id", F.floor(F.col("at") / 8).cast("int").alias("y"), (F.col("at") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
-
-
-def q_dct(spark, sf_dir):
-    """Cosine transform of each plane's rows and columns, 8 x 8, as a join with the table of weights and sums: whole
-    numbers of thousandths of the coefficients."""
-    k = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("u"), (F.col("id") % 8).cast("int").alias("t"))
-    weights = k.select("u", "t", (F.cos(F.lit(3.141592653589793) * F.col("u") * (F.col("t") * 2 + 1) / 16.0) * 2).alias("w"))
-    across = _transformed(spark, sf_dir).join(F.broadcast(weights), F.col("x") == F.col("t")).groupBy("vec_id", "y", "u").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    down = across.withColumnRenamed("u", "x").join(F.broadcast(weights), F.col("y") == F.col("t")).groupBy("vec_id", "u", "x").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return down.select("vec_id", F.col("u").alias("y"), "x", F.round(F.col("v") * 1000).cast("long").alias("thousandths"))
-
-
-def q_haar(spark, sf_dir):
-    """One level of the Haar transform of each plane: means and differences of each 2 x 2 pixels, in fourths of a unit
-    times two."""
-    px = _transformed(spark, sf_dir)
-    sign = lambda c: F.when(F.col(c) % 2 == 0, 1).otherwise(-1)
-    total = lambda *f: F.sum(F.col("v") * (f[0] if len(f) == 1 else f[0] * f[1] if f else F.lit(1))).cast("long")
-    near = px.groupBy("vec_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x"))
-    return near.agg(total().alias("low"), total(sign("y")).alias("rows_differ"), total(sign("x")).alias("columns_differ"), total(sign("y"), sign("x")).alias("diagonal"))
-
-
 def q_hex_parts(spark, sf_dir):
     """Texts of many lengths, lower and upper case, as hashes: what each parser makes of them."""
     text = F.substring(F.md5(F.concat(F.lit("h"), F.col("o_orderkey").cast("string"))), F.lit(1), (F.col("o_orderkey") % 33).cast("int"))
@@ -343,6 +318,4 @@ QUERIES = {
     "stream_sessions": q_stream_sessions,
     "best_multi_match": q_multi_best,
     "hash_checks": q_hash_checks,
-    "dct_planes": q_dct,
-    "haar_planes": q_haar,
 }

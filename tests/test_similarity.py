@@ -65,6 +65,7 @@ def test_other_lengths_nulls_and_blocks_of_golden(spark, monkeypatch):
 def test_nearest_by_deeper_radii(spark, monkeypatch):
     """Every radius in turn, by keys only: the plan takes keys whatever they cost."""
     monkeypatch.setattr(S.hamming, "ROW_COST", 0)
+    monkeypatch.setattr(S, "MEASURED", 0)
     rng = random.Random(11)
     golden = [(rng.randrange(1000), f"{rng.getrandbits(64):016x}") for _ in range(40)]
     golden += [(3, golden[0][1]), (2000, golden[1][1])]
@@ -87,6 +88,7 @@ def multi_score(own, other, limit):
 @pytest.mark.parametrize("cost", [0, 1000])
 def test_nearest_multi_hash(spark, monkeypatch, cost):
     monkeypatch.setattr(S.hamming, "ROW_COST", cost)
+    monkeypatch.setattr(S, "MEASURED", 0)
     rng = random.Random(12)
     golden = [(k, [f"{rng.getrandbits(64):016x}" for _ in range(rng.randrange(1, 5))]) for k in range(60)]
     golden += [(90, golden[7][1]), (91, [])]
