@@ -30,9 +30,9 @@ def median_of(values: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
 
 
-def average_bits(plane: Column) -> Column:
-    """Bits of a plane that has the hash's own size: brighter than the mean."""
-    return above(plane, mean_of(plane))
+def average_bits(plane: Column, mean: Column | None = None) -> Column:
+    """Bits of a plane that has the hash's own size: brighter than its mean, or than another one that is given."""
+    return above(plane, mean_of(plane) if mean is None else mean)
 
 
 def difference_bits(plane: Column, width: int, height: int, vertical: bool = False) -> Column:

@@ -88,6 +88,8 @@ _COS = "2 * cos(3.141592653589793 * {u} * ({t} * 2 + 1) / 16.0)"
 _PIXELS = "p AS (SELECT vec_id, (k // 8)::INTEGER AS y, (k % 8)::INTEGER AS x, px[k + 1]::DOUBLE AS v FROM planes, range(64) t(k))"
 _ONES = "list_sum(list_transform(string_split({t}, ''), lambda c: bit_count(CAST('0x' || c AS BIGINT))))"
 
+_USER_HEX = "substr(md5(CAST(user_id AS VARCHAR)), 1, CAST(event_id % 16 AS INTEGER)) || translate(substr(md5(CAST(user_id AS VARCHAR)), CAST(event_id % 16 AS INTEGER) + 1, 1), '0123456789abcdef', '1032547698badcfe') || substr(md5(CAST(user_id AS VARCHAR)), CAST(event_id % 16 AS INTEGER) + 2, 15 - CAST(event_id % 16 AS INTEGER))"
+
 ORACLES = {
     "average_hash": f"WITH {AVERAGE} SELECT vec_id, hex FROM hashes",
     "difference_hash": f"""WITH {PLANES} SELECT vec_id,
@@ -131,7 +133,7 @@ ORACLES = {
       r AS (SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(length(line) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, ordinal) AS rank FROM l)
       SELECT doc_id, ordinal, size, rank FROM r WHERE rank <= 3""",
     "image_formats": """WITH p AS (SELECT p_partkey, p_partkey % 8 AS k, CAST(p_size AS BIGINT) + 1 AS w, p_partkey % 3000 + 1 AS h FROM part),
-      f AS (SELECT p_partkey, ['bmp', 'png', 'gif', 'jpeg', 'webp', 'tiff', 'heic', NULL][k + 1] AS format, k NOT IN (3, 5, 7) AS sized, w, h FROM p)
+      f AS (SELECT p_partkey, ['bmp', 'png', 'gif', 'jpeg', 'webp', 'tiff', 'heic', NULL][k + 1] AS format, k <> 7 AS sized, w, h FROM p)
       SELECT p_partkey, format, CASE WHEN sized THEN w ELSE -1 END AS width, CASE WHEN sized THEN h ELSE -1 END AS height,
         CASE WHEN format IS NULL THEN 'unsupportedFormat' WHEN sized AND w * h > 100000 THEN 'imageTooLarge' ELSE 'none' END AS error_kind FROM f""",
     "decoded_average_hash": f"WITH {AVERAGE} SELECT vec_id, hex FROM hashes",
@@ -145,4 +147,17 @@ ORACLES = {
     "hash_checks": f"""WITH {AVERAGE}, b AS (SELECT vec_id, hex, list_transform(string_split(hex, ''), lambda c: CAST('0x' || c AS BIGINT)) AS d FROM hashes)
       SELECT vec_id, 64 AS bits, true AS valid, vec_id % 3 = 2 OR (vec_id % 3 = 0 AND hex = repeat('0', 16)) AS broken_valid,
         {digits([f"((d[{i // 8 * 2 + 1 + (7 - i % 8) // 4}] >> {3 - (7 - i % 8) % 4}) & 1)" for i in range(64)])} AS old FROM b""",
+    "stream_near_copies": f"""WITH e AS MATERIALIZED (SELECT event_id AS id, ts, {_USER_HEX} AS hex FROM events)
+      SELECT a.id, b.id AS earlier_id, CAST({distance('a.hex', 'b.hex', 16)} AS INTEGER) AS distance FROM e a JOIN e b ON b.ts <= a.ts AND b.ts >= a.ts - INTERVAL '1 day' AND (b.ts < a.ts OR b.id < a.id)
+      WHERE {distance('a.hex', 'b.hex', 16)} <= 2""",
+    "stream_known": f"""WITH e AS MATERIALIZED (SELECT event_id AS id, {_USER_HEX} AS hex FROM events),
+      k AS MATERIALIZED (SELECT min(event_id) AS ordinal, substr(md5(CAST(user_id AS VARCHAR)), 1, 16) AS hex FROM events WHERE user_id % 7 = 0 GROUP BY user_id)
+      SELECT e.id, k.ordinal, CAST({distance('e.hex', 'k.hex', 16)} AS INTEGER) AS distance FROM e, k WHERE {distance('e.hex', 'k.hex', 16)} <= 1""",
+    "stream_followed": """SELECT a.user_id, a.event_id AS id, b.event_id AS after_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '6 hours'
+      WHERE a.event_type = 'view' AND b.event_type = 'purchase'""",
+    "asof_frames": f"""WITH h AS (SELECT event_id, user_id, ts, event_type, substr(md5(props), 1, 16) AS hex FROM events),
+      j AS (SELECT a.event_id, a.hex, b.event_id AS reference, b.hex AS other FROM (SELECT * FROM h WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT * FROM h WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.ts >= b.ts)
+      SELECT event_id, coalesce(reference, -1) AS reference, CAST(CASE WHEN other IS NULL THEN -1 ELSE {distance('hex', 'other', 16)} END AS INTEGER) AS distance FROM j""",
+    "hash_sketches": f"""WITH {AVERAGE}, c AS (SELECT label, substr(hex, 1, 1) >= '8' AS bright_corner, hex FROM hashes)
+      SELECT coalesce(label, -1) AS label, coalesce(CAST(bright_corner AS VARCHAR), 'all') AS bright_corner, count(DISTINCT hex) AS n_hashes, true AS within_bound FROM c GROUP BY CUBE (label, bright_corner)""",
 }

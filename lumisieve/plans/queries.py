@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import hashes as H
 from ..functions import image_hash
 from ..functions import pixels as P
+from .. import scratch
+from ..operators import asof, sketches
 from ..operators import similarity as S
 from ..sources import images
 from ..streaming import streams
@@ -208,9 +210,11 @@ def _headed(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("424D" + "00" * 16), little(w, 4), little(h, 4)),
         F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)),
         F.concat(F.lit("474946383961"), little(w, 2), little(h, 2)),
-        F.lit("FFD8FFE000104A464946"),
+        # An application segment of a length of its own, a table, and a frame.
+        F.concat(F.lit("FFD8FFE0"), big(n % 50 + 2, 2), F.repeat(F.lit("FF"), (n % 50).cast("int")), F.lit("FFFFDB0004C0C0"), F.when(n % 3 == 0, "FFC2").otherwise("FFC0"), F.lit("001108"), big(h, 2), big(w, 2), F.lit("03")),
         F.concat(F.lit("5249464600000000574542505650385800000000" + "00" * 4), little(w - 1, 3), little(h - 1, 3)),
-        F.lit("49492A0008000000"),
+        # A directory of three entries, the width of two bytes and the height of four.
+        F.concat(F.lit("49492A0008000000" + "0300"), F.lit("FE00" + "0400" + "01000000" + "00000000"), F.lit("0001" + "0300" + "01000000"), little(w, 2), F.lit("0000" + "0101" + "0400" + "01000000"), little(h, 4)),
         F.concat(F.lit("00000018667479706865696300000000" + "0000001469737065" + "00000000"), big(w, 4), big(h, 4)),
         F.lit("25504446"),
     ]
@@ -219,9 +223,8 @@ def _headed(spark, sf_dir) -> DataFrame:
 
 
 def q_formats(spark, sf_dir):
-    c = F.col("content")
-    size = images.size_of(c)
-    rows = images.checked(_headed(spark, sf_dir), max_pixels=100_000)
+    size = F.col("size")
+    rows = images.checked(_headed(spark, sf_dir), max_pixels=100_000).withColumn("size", images.size_of(F.col("content")))
     return rows.select("p_partkey", "format", F.coalesce(size["width"], F.lit(-1)).alias("width"), F.coalesce(size["height"], F.lit(-1)).alias("height"), F.coalesce(F.col("error.kind"), F.lit("none")).alias("error_kind"))
 
 
@@ -255,7 +258,7 @@ def _streamed(spark, sf_dir, plan, mode: str) -> DataFrame:
     """What a stream over the events gives, by one run over what is there."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    hexed = rows.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.substring(F.md5("event_type"), 1, 16).alias("hex"))
+    hexed = rows.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.substring(F.md5("event_type"), 1, 16).alias("hex"), F.col("event_id").alias("id"), "event_type")
     from ..scratch import new_path
 
     out, marks = new_path(spark, "stream"), new_path(spark, "stream-marks")
@@ -289,6 +292,53 @@ def q_stream_sessions(spark, sf_dir):
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
+def _user_hex() -> Column:
+    """A hash of the user in which one of the digits, by the event, has a bit flipped: a user's are at most two bits apart."""
+    base, at = F.md5(F.col("user_id").cast("string")), (F.col("id") % 16).cast("int")
+    flipped = F.translate(F.substring(base, at + 1, F.lit(1)), "0123456789abcdef", "1032547698badcfe")
+    return F.concat(F.substring(base, F.lit(1), at), flipped, F.substring(base, at + 2, 15 - at))
+
+
+def q_stream_near_copies(spark, sf_dir):
+    """Events whose hash is near that of an event of the day before."""
+    plan = lambda rows: streams.near_copies(rows.withColumn("hex", _user_hex()), "ts", 16, 2, "1 day", "2 days")
+    return _streamed(spark, sf_dir, plan, "append").select("id", "earlier_id", "distance")
+
+
+def q_stream_known(spark, sf_dir):
+    """Events near one of the known hashes: those of the first users."""
+    known = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("ordinal")).where("user_id % 7 = 0").select("ordinal", F.substring(F.md5(F.col("user_id").cast("string")), 1, 16).alias("hex"))
+    return _streamed(spark, sf_dir, lambda rows: streams.near_known(rows.withColumn("hex", _user_hex()), known, 16, 1), "append").select("id", "ordinal", "distance")
+
+
+def q_stream_followed(spark, sf_dir):
+    """Purchases within six hours of a user's view: two streams with a watermark each."""
+    of = lambda rows, kind: rows.where(F.col("event_type") == kind).select("id", "user_id", "ts")
+    plan = lambda rows: streams.followed(of(rows, "view"), of(rows, "purchase"), "user_id", "ts", "6 hours", ("1 day", "2 days"))
+    return _streamed(spark, sf_dir, plan, "append").select("user_id", "id", "after_id")
+
+
+def q_asof(spark, sf_dir):
+    """Each view with the user's latest purchase until then, and the distance of their hashes."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.substring(F.md5("props"), 1, 16).alias("hex"))
+    views = rows.where("event_type = 'view'").select("event_id", "user_id", "ts", "hex")
+    bought = rows.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("reference"), F.col("hex").alias("reference_hex"))
+    out = asof.latest(views, bought, ["user_id"], "ts")
+    return out.select("event_id", F.coalesce("reference", F.lit(-1)).alias("reference"), F.coalesce(H.hamming(F.col("hex"), F.col("reference_hex")), F.lit(-1)).alias("distance"))
+
+
+def q_sketches(spark, sf_dir):
+    """Distinct hashes by label and corner with subtotals, from stored sketches of parts: whether each estimate is within
+    its bound of the exact count."""
+    rows = average_hashes(spark, sf_dir).withColumn("bright_corner", F.substring("hex", 1, 1) >= "8").withColumn("part", F.col("vec_id") % 8)
+    stored = scratch.written(sketches.sketched(rows, ["label", "bright_corner", "part"], "hex"), "sketches")
+    found = sketches.merged(stored, ["label", "bright_corner"])
+    exact = rows.cube("label", "bright_corner").agg(F.countDistinct("hex").alias("n_hashes"))
+    both = exact.join(found, exact["label"].eqNullSafe(found["label"]) & exact["bright_corner"].eqNullSafe(found["bright_corner"]))
+    named = [F.coalesce(exact["label"], F.lit(-1)).alias("label"), F.coalesce(exact["bright_corner"].cast("string"), F.lit("all")).alias("bright_corner")]
+    return both.select(*named, "n_hashes", sketches.within(F.col("n_distinct"), F.col("n_hashes")).alias("within_bound"))
+
+
 QUERIES = {
     "average_hash": q_average,
     "difference_hash": q_difference,
@@ -316,6 +366,11 @@ QUERIES = {
     "stream_sliding": q_stream_sliding,
     "stream_first_seen": q_stream_first_seen,
     "stream_sessions": q_stream_sessions,
+    "stream_near_copies": q_stream_near_copies,
+    "stream_known": q_stream_known,
+    "stream_followed": q_stream_followed,
+    "asof_frames": q_asof,
+    "hash_sketches": q_sketches,
     "best_multi_match": q_multi_best,
     "hash_checks": q_hash_checks,
 }
