@@ -135,10 +135,58 @@ def test_errors_are_rows(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     rows = images.decoded(images.read_images(spark, str(tmp_path), max_bytes=4000)).select(F.element_at(F.split("path", "/"), -1).alias("n"), "error.kind", F.col("raster.width").alias("w")).collect()
     got = {r["n"]: (r["kind"], r["w"]) for r in rows}
-    assert got == {"a.bmp": (None, 4), "b.bmp": ("truncated", None), "c.txt": ("unsupportedFormat", None), "d.jpg": ("unsupportedFeature", None), "f.png": ("imageTooLarge", None)}
+    assert got == {"a.bmp": (None, 4), "b.bmp": ("truncated", None), "c.txt": ("unsupportedFormat", None), "d.jpg": ("unsupportedFeature", None), "f.png": ("imageTooLarge", None), "g.bmp": ("imageTooLarge", None)}
 
 
 def test_large_files_are_not_read(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"BM")
     df = images.read_images(spark, str(tmp_path), max_bytes=10)
     assert "LessThanOrEqual(length,10)], ReadSchema" in df._jdf.queryExecution().toString()
+
+
+def jpeg_head(w, h, kind=0xC0, before=b""):
+    return b"\xff\xd8" + before + b"\xff" + bytes([kind]) + struct.pack(">HBHHB", 17, 8, h, w, 3) + bytes(9)
+
+
+def tiff_head(w, h, order="<", kinds=(3, 4), at=8):
+    value = lambda v, k: struct.pack(order + ("HH" if k == 3 else "I"), *((v, 0) if k == 3 else (v,)))
+    entries = struct.pack(order + "HHI", 254, 4, 1) + bytes(4) + struct.pack(order + "HHI", 256, kinds[0], 1) + value(w, kinds[0]) + struct.pack(order + "HHI", 257, kinds[1], 1) + value(h, kinds[1])
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + bytes(at - 8) + struct.pack(order + "H", 3) + entries
+
+
+def test_sizes_of_jpeg_and_tiff(spark):
+    segment = lambda kind, n: b"\xff" + bytes([kind]) + struct.pack(">H", n + 2) + b"\xff" * n
+    files = [
+        (jpeg_head(640, 480), (640, 480)),
+        (jpeg_head(70, 9, 0xC2, segment(0xE0, 14) + segment(0xDB, 65) + segment(0xC4, 30)), (70, 9)),
+        (jpeg_head(1, 65535, 0xCF, b"\xff\xff\xff\x01" + segment(0xE1, 5000)), (1, 65535)),
+        (jpeg_head(5, 5, 0xDA), None),
+        (b"\xff\xd8\xff\xe0\xff\xf0", None),
+        (b"\xff\xd8", None),
+        (b"\xff\xd8" + segment(0xE0, 3) + b"\0\0\0", None),
+        (tiff_head(300, 70000), (300, 70000)),
+        (tiff_head(7, 8, ">", (4, 3), 40), (7, 8)),
+        (tiff_head(7, 8)[:-5], None),
+        (tiff_head(7, 8, at=8)[:4] + struct.pack("<I", 4_000_000_000), None),
+    ]
+    rows = spark.createDataFrame([(k, bytearray(f)) for k, (f, _) in enumerate(files)], "k int, content binary")
+    got = {r["k"]: r["size"] and tuple(r["size"]) for r in rows.select("k", images.size_of(F.col("content")).alias("size")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(files)}
+    kinds = [r["error"] and r["error"]["kind"] for r in images.checked(rows, max_pixels=65535).orderBy("k").collect()]
+    assert kinds[0] == kinds[7] == "imageTooLarge" and kinds[1] is None
+
+
+def test_too_large_files_are_rows(spark, tmp_path):
+    small, large = bmp24(RNG.integers(0, 256, (2, 2, 3), dtype=np.uint8)), bmp24(RNG.integers(0, 256, (20, 20, 3), dtype=np.uint8))
+    (tmp_path / "a.bmp").write_bytes(small)
+    (tmp_path / "b.bmp").write_bytes(large)
+    rows = {r["path"][-5:]: r for r in images.decoded(images.read_images(spark, str(tmp_path), max_bytes=len(small))).collect()}
+    assert rows["a.bmp"]["error"] is None and rows["a.bmp"]["raster"]["width"] == 2
+    assert rows["b.bmp"]["error"]["kind"] == "imageTooLarge" and rows["b.bmp"]["content"] is None and rows["b.bmp"]["raster"] is None
+
+
+def test_raster_faults(spark):
+    rows = [(1, (2, 1, 3, bytearray(6))), (2, (2, 1, 4, bytearray(6))), (3, (0, 1, 3, bytearray(0))), (4, (2, 1, 2, bytearray(4))), (5, None), (6, (1, 1, 3, None))]
+    df = spark.createDataFrame(rows, f"k int, raster {images.RASTER}")
+    got = {r["k"]: r["f"] for r in df.select("k", images.raster_fault(F.col("raster")).alias("f")).collect()}
+    assert got[1] is None and got[3].startswith("sides") and got[4].startswith("channels") and got[5] == "no raster" and got[2] == got[6] and "bytes" in got[2]
