@@ -3,9 +3,11 @@
 * Equal vectors of a label are one class from the start; copies are counted, never paired.
 * Vectors are scaled to length 1 and turned so that the leading coordinates carry most of the variance. The basis is
   fitted on at most ``BASIS_ROWS`` vectors (by a hash of their ids); any basis gives the same links, a good one sooner.
-* Spark sorts the classes by label and first coordinate and cuts them into tiles of ``TILE``, which travel as they are
-  stored. Two tiles meet only if their ranges of the first coordinate come within ``sqrt(2 - 2 t)`` of each other, as
-  linked vectors must. A label's vectors are few tiles, so that a vector travels once for many it is compared with.
+* Linked vectors are at most ``sqrt(2 - 2 t)`` apart. Spark sorts the classes by label, by slabs of that width of the first
+  coordinate and within a slab by the second one, and cuts them into tiles of ``TILE``, which travel as they are stored.
+  Two tiles meet only if the boxes of their ``BOX`` leading coordinates come within that distance, which is found from
+  the boxes alone, by cells of slabs of two coordinates, before any vector travels. A label's vectors are few tiles, so
+  that a vector travels once for many it is compared with.
 * Within a task a tile is halved at the median of the widest of its ``BOX`` leading coordinates until parts have at most
   ``LEAF`` vectors. Two parts are compared only if their boxes of leading coordinates come within that distance.
 * In a pair of parts the dot products of the leading coordinates are taken first. What the others can add is at most
@@ -14,14 +16,16 @@
 * A pair of tiles returns sums of links per vector and the edges of a spanning forest, not its pairs.
 
 Defined cases: a vector that is null, empty, zero or has null or non-finite components, or whose label or id is null,
-links with nothing and is its own component. Vectors of different lengths never link. Rows with equal ids and vectors
-are copies of each other. An empty table gives no rows. Other columns are not read.
+links with nothing and is its own component. Vectors of different lengths never link. Labels may be of any type that
+Spark can sort; they are only compared. Rows with equal ids and vectors are copies of each other; rows that repeat an id
+with other vectors have the links of their own vectors. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,6 @@ from . import scratch
 from .components import components
 
 THRESHOLD, TILE, LEAF, BOX, BASIS_ROWS, STAGES = 0.93, 8192, 256, 4, 8192, (8, 16, 32)
-TILES = "tile bigint, label int, dims int, lo double, hi double, nodes binary, copies binary, vectors binary"
 FOUND = "node bigint, other bigint, links bigint"
 
 
@@ -138,63 +141,86 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"  # stored and sent as it is
     stored = np.dtype("<f4" if single else "<f8").str
     vector = F.col("embedding") if single else F.col("embedding").cast("array<double>").alias("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), vector).withColumn("ok", ok)
+    kind = vectors.schema["label"].dataType
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", vector).withColumn("ok", ok)
     rows = rows.select("vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), F.when(F.col("ok"), F.col("embedding")).alias("embedding"))
     valid = rows.where("label is not null and embedding is not null")
-    classes = scratch.written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "op3-classes")
+    # A class is named by its place in the written table: ids may repeat.
+    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()), "op3-classes")
 
-    sample = classes.orderBy(F.xxhash64("node"), "node", "label").select("embedding").limit(BASIS_ROWS).toPandas()["embedding"]
+    sample = classes.orderBy(F.xxhash64("embedding"), "node").select("embedding").limit(BASIS_ROWS).toPandas()["embedding"]
     by_dims: dict[int, list] = {}
     for v in sample:
         by_dims.setdefault(len(v), []).append(np.asarray(v, np.float64))
     turned = spark.sparkContext.broadcast({d: basis(unit(np.array(v))) for d, v in by_dims.items()})
     turn = lambda x: x @ turned.value[x.shape[1]] if x.shape[1] in turned.value else x
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def first(batches):
         for batch in batches:
-            c = [batch.column(k) for k in range(4)]
-            dims = np.array([len(v) for v in c[1]], np.int32)
-            packed, at = [], np.zeros(batch.num_rows)
-            for k, v in enumerate(c[1]):
-                packed.append(np.asarray(v.values, np.float64))
+            lists = batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            dims = np.diff(ends).astype(np.int32)
+            lead, packed = np.zeros((batch.num_rows, BOX)), np.empty(batch.num_rows, object)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                at[own] = turn(unit(np.array([packed[k] for k in own])))[:, 0]
-            yield pa.RecordBatch.from_arrays([c[0], pa.array(dims), pa.array(at), c[2], c[3], pa.array([p.astype(stored).tobytes() for p in packed], pa.binary())], names=["label", "dims", "at", "node", "copies", "vector"])
-
-    placed = classes.mapInArrow(first, "label int, dims int, at double, node bigint, copies bigint, vector binary")
+                raw = flat[ends[own][:, None] + np.arange(d)]
+                lead[own, : min(BOX, d)] = turn(unit(raw.astype(np.float64)))[:, :BOX]
+                width = d * np.dtype(stored).itemsize
+                packed[own] = np.frombuffer(raw.astype(stored).tobytes(), f"V{width}").tolist()
+            leads = pa.ListArray.from_arrays(np.arange(0, BOX * batch.num_rows + 1, BOX, np.int32), lead.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), leads, batch.column(2), batch.column(3), pa.array(packed, pa.binary())], names=["label", "dims", "lead", "node", "copies", "vector"])
+
+    named = f"label {kind.simpleString()}, dims int"
+    placed = classes.select("label", "embedding", "node", "copies").mapInArrow(first, f"{named}, lead array<double>, node bigint, copies bigint, vector binary")
     placed = scratch.written(placed, "op3-placed")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, "label", "dims", "at", "node").sortWithinPartitions("label", "dims", "at", "node")
+    slab = lambda c: F.floor(c / reach).cast("int")
+    order = ["label", "dims", "slab", "next", "node"]
+    ordered = placed.withColumn("slab", slab(F.get("lead", F.lit(0)))).withColumn("next", F.get("lead", F.lit(1))).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def tiled(batches):
         from pyspark import TaskContext
 
-        tile, held = TaskContext.get().partitionId() << 33, []
+        tile, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def out():
-            nonlocal tile, held
-            label, dims, at, nodes, copies, packed = zip(*held)
-            row = [tile, label[0], dims[0], at[0], at[-1], np.array(nodes, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(packed)]
-            tile, held = tile + 1, []
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[f.split()[0] for f in TILES.split(", ")])
+            nonlocal tile, held, size
+            whole = pa.Table.from_batches(held).combine_chunks()
+            lead = whole.column("lead").combine_chunks().flatten().to_numpy().reshape(-1, BOX)
+            numbers = lambda c: whole.column(c).to_numpy().astype(np.int64).tobytes()
+            row = [pa.array([tile]), whole.column("label").slice(0, 1).combine_chunks(), whole.column("dims").slice(0, 1).combine_chunks()]
+            row += [pa.array([f(0).tolist()], pa.list_(pa.float64())) for f in (lead.min, lead.max)]
+            row += [pa.array([v], pa.binary()) for v in (numbers("node"), numbers("copies"), b"".join(v.as_buffer().to_pybytes() for v in whole.column("vector")))]
+            tile, held, size = tile + 1, [], 0
+            return pa.RecordBatch.from_arrays(row, names=["tile", "label", "dims", "lo", "hi", "nodes", "copies", "vectors"])
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if held and (len(held) == TILE or held[-1][:2] != r[:2]):
+            label, dims = batch.column(0), batch.column(1)
+            # Where another label or another length begins.
+            new = [0, batch.num_rows]
+            if batch.num_rows > 1:
+                new += (1 + np.flatnonzero(pc.or_(pc.not_equal(label.slice(1), label.slice(0, len(label) - 1)), pc.not_equal(dims.slice(1), dims.slice(0, len(dims) - 1))).to_numpy(zero_copy_only=False))).tolist()
+            new = sorted(set(new))
+            for lo, hi in zip(new, new[1:]):
+                if held and (held[-1].column(0)[-1] != label[lo] or held[-1].column(1)[-1] != dims[lo]):
                     yield out()
-                held.append(r)
+                while lo < hi:
+                    part = batch.slice(lo, min(hi - lo, TILE - size))
+                    held.append(part)
+                    lo, size = lo + part.num_rows, size + part.num_rows
+                    if size == TILE:
+                        yield out()
         if held:
             yield out()
 
-    tiles = scratch.written(ordered.mapInArrow(tiled, TILES), "op3-tiles", "none")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    a = tiles.select(F.col("tile").alias("p"), "label", "dims", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    b = tiles.select(F.col("tile").alias("q"), "label", "dims", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
-    pairs = a.join(b, ["label", "dims"]).where((F.col("p") <= F.col("q")) & (F.col("p_hi") + reach >= F.col("q_lo")) & (F.col("q_hi") + reach >= F.col("p_lo"))).select("p", "q")
+    columns = ["label", "dims", "lead", "node", "copies", "vector"]
+    tiles = ordered.select(*columns).mapInArrow(tiled, f"tile bigint, {named}, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary")
+    tiles = scratch.written(tiles, "op3-tiles", "none")
+    met = _near_tiles(tiles, reach)
     whole = lambda k: tiles.select(F.col("tile").alias(k), "dims", *(F.col(c).alias(f"{k}_{c}") for c in ("nodes", "copies", "vectors")))
-    met = pairs.join(whole("p"), "p").join(whole("q").drop("dims"), "q").repartition(n, "p", "q").select("p", "q", "dims", "p_nodes", "p_copies", "p_vectors", "q_nodes", "q_copies", "q_vectors")
+    met = met.join(whole("p"), "p").join(whole("q").drop("dims"), "q").repartition(n, "p", "q").select("p", "q", "dims", "p_nodes", "p_copies", "p_vectors", "q_nodes", "q_copies", "q_vectors")
 
     def compared(batches):
         for batch in batches:
@@ -214,12 +240,27 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scratch.dropped(placed, tiles)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    ends = classes.join(sums, "node", "left").join(parts, "node", "left")
-    ends = ends.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    ends = classes.join(sums, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ends.groupBy("component").agg(F.min("first").alias("component_id"))
+    ends = ends.join(least, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(ends, ["label", "embedding"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _near_tiles(tiles: DataFrame, reach: float) -> DataFrame:
+    """``p, q`` of tiles of one label and length whose boxes (lo, hi) come within ``reach``, from the boxes alone. Boxes meet in
+    cells of slabs of the first two coordinates, each pair in the first cell that they share."""
+    slab = lambda c, k: F.floor(F.get(c, F.lit(k)) / reach).cast("int")
+    boxes = tiles.select("tile", "label", "dims", "lo", "hi", *[slab(c, k).alias(f"{c}{k}") for c in ("lo", "hi") for k in (0, 1)])
+    cells = lambda t, more: t.withColumn("c0", F.explode(F.sequence(F.col("lo0") - more, F.col("hi0") + more))).withColumn("c1", F.explode(F.sequence(F.col("lo1") - more, F.col("hi1") + more)))
+    of = lambda t, name: t.select("label", "dims", "c0", "c1", F.col("tile").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("lo", "hi", "lo0", "lo1")])
+    both = of(cells(boxes, 1), "p").join(of(cells(boxes, 0), "q"), ["label", "dims", "c0", "c1"])
+    once = (F.col("c0") == F.greatest(F.col("p_lo0") - 1, "q_lo0")) & (F.col("c1") == F.greatest(F.col("p_lo1") - 1, "q_lo1"))
+    gap = lambda k: F.greatest(F.lit(0.0), F.get("q_lo", F.lit(k)) - F.get("p_hi", F.lit(k)), F.get("p_lo", F.lit(k)) - F.get("q_hi", F.lit(k)))
+    near = sum((gap(k) * gap(k) for k in range(BOX)), F.lit(0.0)) <= reach * reach
+    return both.where((F.col("p") <= F.col("q")) & once & near).select("p", "q")
+
+
 #: By brute force.
 ORACLE = """
 with recursive v as materialized (

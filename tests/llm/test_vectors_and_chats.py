@@ -83,6 +83,36 @@ def test_null_and_repeated_vectors(spark):
     assert got == sorted([(-1, 0, None), (3, 2, 3), (3, 2, 3), (3, 1, 3), (5, 2, 3), (6, 1, 3)], key=str)
 
 
+def test_rows_of_one_id_have_the_links_of_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1, "x"), (1, [0.0, 1.0], 1, "x"), (2, [1.0, 0.05], 1, "x")]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("kind, labels", [("long", (5_000_000_000, 5_000_000_001)), ("string", ("a", "")), ("double", (0.5, float("nan"))), ("date", None)])
+def test_labels_of_other_types(spark, kind, labels):
+    from datetime import date
+
+    a, b = labels or (date(2024, 1, 1), date(2024, 1, 2))
+    rows = [(1, [1.0, 0.0, 0.1], a), (2, [1.0, 0.01, 0.1], a), (3, [1.0, 0.0, 0.1], b), (4, [1.0, 0.01, 0.1], b), (5, [1.0, 0.0, 0.1], None)]
+    got = [tuple(r)[:3] for r in near_vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).orderBy("vec_id").collect()]
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_tiles_that_are_far_apart_never_travel(spark):
+    """Boxes of tiles: pairs that come within reach are found by cells as by all pairs."""
+    rng = np.random.default_rng(8)
+    reach, rows = 0.37, []
+    for k in range(150):
+        lo = rng.uniform(-1, 0.9, 4)
+        rows.append((k, int(rng.integers(0, 2)), 8, lo.tolist(), (lo + rng.uniform(0, rng.choice([0.05, 1.0]), 4)).tolist()))
+    tiles = spark.createDataFrame(rows, "tile long, label int, dims int, lo array<double>, hi array<double>")
+    got = [tuple(r) for r in near_vectors._near_tiles(tiles, reach).collect()]
+    gap = lambda a, b: sum(max(0.0, p - y, x - q) ** 2 for x, y, p, q in zip(a[3], a[4], b[3], b[4]))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and a[1] == b[1] and gap(a, b) <= reach**2}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) ** 2 / 4
+
+
 def chats(n=80):
     rng = random.Random(2)
     say = lambda q: " ".join(rng.choice(["well", "then", "we", "see", "more", "note: x"]) for _ in range(rng.randrange(3, 30))) + ("?" if q else ".")
