@@ -8,9 +8,12 @@ segments. So one file of any size is dealt over tasks, and no task sees more tha
 ``flat_files`` reads files of up to ``WHOLE`` bytes whole. A longer one is listed by its length alone and read as
 ranges of fixed-length records, by Hadoop's file systems: no task holds more than a block of it. Records must fill a
 file exactly, so a record is the largest number of ids, up to a block, that divides the file's; where that is small (a
-prime number of ids: one) more records are read for a block, which costs time only. The registered query has no flat
-files: each task that reads documents writes them as one stream, in rows of numbered blocks of a Parquet table, and
-those are scanned.
+prime number of ids: one) more records are read for a block, which costs time only.
+
+The registered query makes flat files of its documents first. Each task encodes what it reads into pieces of up to ``WHOLE``
+bytes (a longer document is a piece of its own). Spark's text writer puts each piece's bytes, as they are, in a file of
+its own, with the separator's bytes as the end of its one line: so the files hold ids and nothing else, go through any
+Hadoop file system, and are committed as any table is. The files are then read and scanned like anybody's.
 
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
@@ -81,36 +84,41 @@ def _ranges(spark: SparkSession, path: str, length: int, item_bytes: int) -> RDD
 
 
 def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """``docs`` as flat streams in blocks (``file, block, ids``), one stream of each task that reads them, in their own
-    order; which document is the n-th of a stream (``file, ordinal, doc_id``), for naming results only; the ids' numpy
-    type. Nothing is shuffled, and a task holds less than a block besides what it encodes at a time."""
+    """``docs`` as flat files, read back in blocks (``file, block, ids``); which document is the n-th of a file (``file,
+    ordinal, doc_id``), for naming results only; the ids' numpy type. Nothing is shuffled, and a task holds a piece
+    besides what it encodes at a time."""
     e = tokens.encoder(vocab, plain=True)
-    dtype, size = e.dtype.str, BLOCK_IDS * e.dtype.itemsize
+    dtype, item, end = e.dtype.str, e.dtype.itemsize, np.array([END_ID], e.dtype).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        e = tokens.encoder(vocab, plain=True)
-        name, block, held, ordinal = f"stream-{TaskContext.get().partitionId():06d}", 0, b"", 0
+        e, task = tokens.encoder(vocab, plain=True), TaskContext.get().partitionId()
+        piece, held, size, ordinal = 0, [], 0, 0
+        name = lambda: f"{task:06d}-{piece:06d}"
         for batch in batches:
             for lo, hi, ids in encoded(batch.column(1), e, END_ID):
-                keys = batch.column(0).slice(lo, hi - lo)
-                yield _rows(name, pa.nulls(len(keys), pa.int64()), np.arange(ordinal, ordinal + len(keys)), keys, pa.nulls(len(keys), pa.binary()))
-                ordinal += len(keys)
-                held += ids.buffers()[2].to_pybytes()
-                for at in range(0, len(held) // size * size, size):
-                    yield _rows(name, [block], [None], [None], [held[at : at + size]])
-                    block += 1
-                held = held[len(held) // size * size :]
+                keys, data = batch.column(0).slice(lo, hi - lo), ids.buffers()[2].to_pybytes()
+                if held and size + len(data) > WHOLE:
+                    yield _rows(name(), [None], [None], [b"".join(held)[: -len(end)]])
+                    piece, held, size, ordinal = piece + 1, [], 0, 0
+                yield _rows(name(), np.arange(ordinal, ordinal + len(keys)), keys, pa.nulls(len(keys), pa.binary()))
+                ordinal, size = ordinal + len(keys), size + len(data)
+                held.append(data)
         if held:
-            yield _rows(name, [block], [None], [None], [held])
+            yield _rows(name(), [None], [None], [b"".join(held)[: -len(end)]])
 
-    both = scratch.written(docs.select(*texts_of(docs)).mapInArrow(run, "file string, block bigint, ordinal bigint, doc_id bigint, ids binary"), "op9-flat")
-    return both.where("block is not null").select("file", "block", "ids"), both.where("ordinal is not null").select("file", "ordinal", "doc_id"), dtype
+    both = scratch.written(docs.select(*texts_of(docs)).mapInArrow(run, "file string, ordinal bigint, doc_id bigint, ids binary"), "op9-pieces")
+    path = scratch.new_path(docs.sparkSession, "op9-flat")
+    lines = both.where("ordinal is null").select("file", F.col("ids").cast("string"))
+    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path)
+    read = flat_files(docs.sparkSession, path, item)
+    read = read.withColumn("file", F.regexp_extract("file", "/file=([0-9-]+)/[^/]*$", 1))
+    return read, both.where("ordinal is not null").select("file", "ordinal", "doc_id"), dtype
 
 
-def _rows(name, blocks, ordinals, keys, ids):
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(blocks, pa.int64()), pa.array(ordinals, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["file", "block", "ordinal", "doc_id", "ids"])
+def _rows(name, ordinals, keys, ids):
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(ordinals, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["file", "ordinal", "doc_id", "ids"])
 
 
 def counted(blocks: DataFrame, dtype: str = "<u2", end_id: int = END_ID) -> DataFrame:
