@@ -139,31 +139,48 @@ def blurred(plane: np.ndarray, radius: float = 2.0, passes: int = 3) -> np.ndarr
     inner = int((1 << 24) / (box * 2 + 1))
     outer = ((1 << 24) - (2 * r + 1) * inner) // 2
 
-    def along(p: np.ndarray) -> np.ndarray:
-        n = p.shape[1]
-        place = lambda d: p[:, np.clip(np.arange(n) + d, 0, n - 1)].astype(np.int64)
-        near = sum(place(d) for d in range(-r, r + 1))
-        return ((near * inner + (place(-r - 1) + place(r + 1)) * outer + (1 << 23)) >> 24).astype(np.uint8)
+    # Sums are below 2 ** 32: no more than 255 in units of 2 ** -24, and a half.
+    inner, outer = np.uint32(inner), np.uint32(outer)
 
+    def along(p: np.ndarray) -> np.ndarray:
+        """Down the columns, where a neighbour is a whole row away. A box is a difference of running sums."""
+        n = len(p)
+        wide = np.concatenate([np.repeat(p[:1], r + 1, 0), p, np.repeat(p[-1:], r + 1, 0)]).astype(np.uint32)
+        if r <= 2:
+            near = sum((wide[d : d + n] for d in range(2, 2 * r + 2)), wide[1 : 1 + n])
+        else:
+            sums = np.concatenate([np.zeros_like(wide[:1]), np.cumsum(wide, 0, dtype=np.uint32)])
+            near = sums[2 * r + 2 : 2 * r + 2 + n] - sums[1 : 1 + n]
+        return ((near * inner + (wide[:n] + wide[2 * r + 2 :]) * outer + np.uint32(1 << 23)) >> np.uint32(24)).astype(np.uint8)
+
+    plane = np.ascontiguousarray(plane.T)
     for _ in range(passes):
         plane = along(plane)
-    plane = plane.T
+    plane = np.ascontiguousarray(plane.T)
     for _ in range(passes):
         plane = along(plane)
-    return plane.T
+    return plane
 
 
 def median3(plane: np.ndarray) -> np.ndarray:
+    """The fifth of nine neighbours, by least and greatest ones of whole planes: each line of three is put in order; then
+    it is the middle of the greatest least one, the middle of the middle ones, and the least greatest one."""
     h, w = plane.shape
     wide = np.pad(plane, 1, mode="edge")
-    return np.sort(np.stack([wide[y : y + h, x : x + w] for y in range(3) for x in range(3)]), axis=0)[4]
 
+    def ordered(a, b, c):
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        return np.minimum(lo, c), np.maximum(lo, np.minimum(hi, c)), np.maximum(hi, c)
+
+    lows, middles, highs = zip(*(ordered(*(wide[y : y + h, x : x + w] for x in range(3))) for y in range(3)))
+    low = np.maximum(np.maximum(lows[0], lows[1]), lows[2])
+    high = np.minimum(np.minimum(highs[0], highs[1]), highs[2])
+    return ordered(low, ordered(*middles)[1], high)[1]
 
-def regions(mask: np.ndarray) -> np.ndarray:
-    """For each place of the mask, the first place (row by row) of its 4-connected region; elsewhere -1.
 
-    Runs of places in a row are joined with those that they touch in the row above.
-    """
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of places in a row of the mask: their row, first place and the one after, and the first place (row by
+    row) of their 4-connected region. Runs are joined with those that they touch in the row above."""
     h, w = mask.shape
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, begin = np.nonzero(edge == 1)
@@ -188,12 +205,16 @@ def regions(mask: np.ndarray) -> np.ndarray:
             else:
                 j += 1
     first = np.array([find(k) for k in range(len(row))], np.int64)
-    label = np.full(h * w, -1)
-    places = (row * w + begin)[first] if len(row) else first
-    size = end - begin
-    at = np.repeat(row * w + begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return row, begin, end, (row * w + begin)[first] if len(row) else first
+
+
+def regions(mask: np.ndarray) -> np.ndarray:
+    """For each place of the mask, the first place of its region; elsewhere -1."""
+    row, begin, end, places = runs(mask)
+    label, size = np.full(mask.size, -1), end - begin
+    at = np.repeat(row * mask.shape[1] + begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
     label[at] = np.repeat(places, size)
-    return label.reshape(h, w)
+    return label.reshape(mask.shape)
 
 
 def segments(plane: np.ndarray, threshold: float = 128, least_size: int = 500) -> list[tuple[int, tuple[int, int, int, int]]]:
@@ -202,12 +223,11 @@ def segments(plane: np.ndarray, threshold: float = 128, least_size: int = 500) -
     h, w = plane.shape
     out, done = [], 0
     for hills in (True, False):
-        label = regions(plane > threshold if hills else plane <= threshold).ravel()
-        places = np.flatnonzero(label >= 0)
-        firsts, at, sizes = np.unique(label[places], return_inverse=True, return_counts=True)
-        y, x = np.divmod(places, w)
+        row, begin, end, places = runs(plane > threshold if hills else plane <= threshold)
+        firsts, at = np.unique(places, return_inverse=True)
+        sizes = np.bincount(at, end - begin, len(firsts)).astype(np.int64)
         box = [np.full(len(firsts), v) for v in (h, w, -1, -1)]
-        for fold, edge, v in ((np.minimum, box[0], y), (np.minimum, box[1], x), (np.maximum, box[2], y), (np.maximum, box[3], x)):
+        for fold, edge, v in ((np.minimum, box[0], row), (np.minimum, box[1], begin), (np.maximum, box[2], row), (np.maximum, box[3], end - 1)):
             fold.at(edge, at, v)
         for k, size in enumerate(sizes.tolist()):
             if not hills and 2 * (h + w) + done >= h * w:
