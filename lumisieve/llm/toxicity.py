@@ -10,7 +10,7 @@ documents found instead of 0.98), so features are chosen by two tests: words tha
 two-proportion test, at least ``MIN_ROWS`` rows, the strongest ``MAX_TERMS``), and pairs whose interaction does
 (``PAIR_Z`` standard errors of the contrast of the four shares), of the strongest and the most frequent words,
 ``PAIR_TERMS`` together. So words that say nothing alone, as an insult and a group's name of which only both are toxic,
-are features too. All other words score nothing. Spark counts the terms; the driver holds the sample's features only.
+are features too. All other words score nothing; the limits are parameters of ``train`` and can be lifted. Spark counts the terms; the driver holds the sample's features only.
 Scoring runs over every document, in one pass without a shuffle.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Labels, language, source and id are never inputs.
@@ -35,6 +35,8 @@ from . import scratch
 TRAIN_ROWS, MIN_ROWS, MIN_Z, MAX_TERMS, HASH_BITS = 30_000, 3, 4.0, 4_096, 22
 #: Words whose pairs are tested, the test's bound, and the rows that each of the four cases must have.
 PAIR_TERMS, PAIR_Z, PAIR_ROWS = 1024, 8.0, 10
+#: Terms on either side of a block of pairs that is tested at once.
+PAIR_BLOCK = 1024
 RANK, EPOCHS, BATCH, RATE, DECAY, START, SEED, THRESHOLD = 8, 30, 256, 0.05, 1e-4, 0.1, 7, 0.3
 #: Letters of a word that are a term of their own.
 PREFIX = 5
@@ -111,9 +113,11 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def candidate_terms(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def candidate_terms(labelled: DataFrame, min_z: float = MIN_Z, max_terms: int | None = MAX_TERMS, pair_terms: int | None = PAIR_TERMS) -> tuple[np.ndarray, np.ndarray]:
     """Of all labelled rows' terms (toxic, terms), counted in Spark: those whose shares of the two labels' rows differ by
-    at least MIN_Z standard errors, the strongest MAX_TERMS at most; and those whose pairs are tested."""
+    at least ``min_z`` standard errors, the strongest ``max_terms`` at most; and those whose pairs are tested, at most
+    ``pair_terms``. Both limits may be None: then all terms that pass the tests are taken, whose number the bounded
+    sample of labelled rows limits."""
     n, n_toxic = labelled.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not n_toxic or n == n_toxic:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -121,39 +125,59 @@ def candidate_terms(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     p, gap = F.col("n") / n, F.col("bad") / n_toxic - (F.col("n") - F.col("bad")) / (n - n_toxic)
     z = gap / F.sqrt(F.greatest(p * (1 - p) * (1 / n_toxic + 1 / (n - n_toxic)), F.lit(1e-12)))
     tested = counts.where(F.col("n") >= MIN_ROWS).select("term", "n", F.abs(z).alias("z"))
-    strong = [r["term"] for r in tested.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
+    first = lambda rows, k: rows if k is None else rows.limit(k)
+    strong = [r["term"] for r in first(tested.where(F.col("z") >= min_z).orderBy(F.desc("z"), "term"), max_terms).collect()]
     # A word in nearly all or nearly no rows leaves one of the four cases empty.
     often = tested.where((F.col("n") >= 4 * PAIR_ROWS) & (F.col("n") <= n - 4 * PAIR_ROWS))
-    often = [r["term"] for r in often.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()]
-    return np.array(sorted(strong), np.int64), np.array(sorted(list(dict.fromkeys([*strong[: PAIR_TERMS // 2], *often]))[:PAIR_TERMS]), np.int64)
+    often = [r["term"] for r in first(often.orderBy(F.desc("n"), "term"), pair_terms).collect()]
+    paired = list(dict.fromkeys([*strong[: None if pair_terms is None else pair_terms // 2], *often]))[:pair_terms]
+    return np.array(sorted(strong), np.int64), np.array(sorted(paired), np.int64)
 
 
 def interacting(docs: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
     """Places of terms that interact with another one: the share of label 1 with both, less those with either alone,
     plus that with none, is PAIR_Z standard errors from zero. ``docs`` holds places below ``n_terms``."""
-    both, bad = np.zeros((n_terms, n_terms)), np.zeros((n_terms, n_terms))
-    for lo in range(0, len(docs), 2048):
-        own = docs[lo : lo + 2048]
-        x = np.zeros((len(own), n_terms), np.float32)
-        x[np.repeat(np.arange(len(own)), [len(d) for d in own]), np.concatenate(own) if own else []] = 1
-        y = x[labels[lo : lo + 2048] == 1]
-        both += x.T @ x
-        bad += y.T @ y
-
-    def cases(m: np.ndarray, total: float):
-        one = np.diag(m)
-        return m, one[:, None] - m, one[None, :] - m, total - one[:, None] - one[None, :] + m
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    alone, bad_alone = np.bincount(flat, minlength=n_terms), np.bincount(flat, labels[row], n_terms)
+    found = np.zeros(n_terms, bool)
+    for a in range(0, n_terms, PAIR_BLOCK):
+        for b in range(a, n_terms, PAIR_BLOCK):
+            hi, to = min(n_terms, a + PAIR_BLOCK), min(n_terms, b + PAIR_BLOCK)
+            own = [((flat >= x) & (flat < y)) for x, y in ((a, hi), (b, to))]
+            both, bad = np.zeros((hi - a, to - b)), np.zeros((hi - a, to - b))
+            for lo in range(0, len(docs), 2048):
+                use = (row >= lo) & (row < lo + 2048)
+                x, y = (np.zeros((min(2048, len(docs) - lo), n), np.float32) for n in (hi - a, to - b))
+                for m, keep, begin in ((x, own[0], a), (y, own[1], b)):
+                    m[row[use & keep] - lo, flat[use & keep] - begin] = 1
+                toxic = labels[lo : lo + 2048] == 1
+                both += x.T @ y
+                bad += x[toxic].T @ y[toxic]
+            strong = _contrast(both, bad, (alone[a:hi], alone[b:to]), (bad_alone[a:hi], bad_alone[b:to]), len(docs), labels.sum())
+            if a == b:
+                np.fill_diagonal(strong, False)
+            found[a:hi] |= strong.any(1)
+            found[b:to] |= strong.any(0)
+    return np.flatnonzero(found)
+
+
+def _contrast(both, bad, alone, bad_alone, n_rows: float, n_bad: float) -> np.ndarray:
+    """Which pairs of terms (rows, columns) interact."""
+    def cases(m: np.ndarray, one: tuple, total: float):
+        return m, one[0][:, None] - m, one[1][None, :] - m, total - one[0][:, None] - one[1][None, :] + m
 
     contrast, spread, enough = 0.0, 0.0, True
-    for n, b, sign in zip(cases(both, len(docs)), cases(bad, labels.sum()), (1, -1, -1, 1)):
+    for n, b, sign in zip(cases(both, alone, n_rows), cases(bad, bad_alone, n_bad), (1, -1, -1, 1)):
         share = (b + 0.5) / (n + 1)
         contrast, spread, enough = contrast + sign * share, spread + share * (1 - share) / (n + 1), enough & (n >= PAIR_ROWS)
-    return np.flatnonzero((enough & (np.abs(contrast) >= PAIR_Z * np.sqrt(spread))).any(1))
+    return enough & (np.abs(contrast) >= PAIR_Z * np.sqrt(spread))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_z: float = MIN_Z, max_terms: int | None = MAX_TERMS, pair_terms: int | None = PAIR_TERMS) -> Machine | None:
     """A machine fitted on labelled documents that are not held out: at most ``rows`` of them, by a hash of the id and,
-    where ids repeat, of the text."""
+    where ids repeat, of the text. ``min_z``, ``max_terms`` and ``pair_terms`` choose the terms; None lifts a limit, and with
+    ``min_z`` 0 every term of at least MIN_ROWS rows is a feature."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
@@ -165,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("mark"), features("text").alias("terms"))
     labelled = labelled.dropDuplicates(["doc_id", "mark"]).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(rows)
     labelled = scratch.written(labelled, "op8-terms")
-    strong, paired = candidate_terms(labelled)
+    strong, paired = candidate_terms(labelled, min_z, max_terms, pair_terms)
     every = docs.sparkSession.sparkContext.broadcast(Machine(np.union1d(strong, paired)))
 
     @F.pandas_udf("binary")

@@ -60,6 +60,18 @@ def test_code_lengths_are_optimal_and_limited():
         assert (huffman.decode_bits(data, marks, 1000, huffman.decode_table(sizes)) == ids).all()
 
 
+def test_pairs_of_terms_are_tested_in_blocks(monkeypatch):
+    """Two words of which only both together are bad, among others; any size of a block finds the same."""
+    rng = np.random.default_rng(6)
+    docs = [np.flatnonzero(rng.random(40) < 0.3) for _ in range(3000)]
+    labels = np.array([float(({7, 21} <= set(d.tolist())) ^ (rng.random() < 0.02)) for d in docs])
+    want = toxicity.interacting(docs, labels, 40)
+    assert {7, 21} <= set(want.tolist()) and len(want) < 10
+    for block in (1, 7, 16, 39):
+        monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+        assert toxicity.interacting(docs, labels, 40).tolist() == want.tolist()
+
+
 def test_codes_of_many_bits_are_read():
     counts = np.ones(1 << 19, np.int64)
     sizes = huffman.code_lengths(counts, 20)
