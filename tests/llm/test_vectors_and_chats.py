@@ -251,3 +251,116 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["mixing"] <= ids["ngram_jaccard_join"] and len(ids["packing"]) == len(ids["mixing"])
     assert sum(r["length"] for r in seen["packing"]) > sum(len(r["text"].split()) for r in seen["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == sum(r["length"] for r in seen["packing"])
+
+
+def water_filled(sizes, weights, share=1.5, most=2.0):
+    """Targets of sources by plain rounds: what is above the cap is clamped, the rest is shared again by weight."""
+    rest, open_, out = share * sum(sizes.values()), set(sizes), {}
+    while open_:
+        total = sum(weights[s] for s in open_)
+        over = {s for s in open_ if rest * weights[s] / total > most * sizes[s]}
+        if not over:
+            return out | {s: rest * weights[s] / total for s in open_}
+        for s in over:
+            out[s] = most * sizes[s]
+            rest -= out[s]
+        open_ -= over
+    return out
+
+
+def test_pipeline_against_brute_force_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty and long texts, other columns: each stage on what the one before has kept."""
+    from collections import Counter
+
+    from lumisieve.llm import tokens
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(15)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    common = "A line of the footer that very many share"
+    rows = []
+    for k in range(90):
+        w = say(rng.randrange(8, 60)) + (" foulword" if k % 9 == 0 else "")
+        rows.append((k, w + (f"\n{common}" if k % 4 == 0 else ""), ["s", "t", "u", None][k % 4]))
+    near = rows[5][1].split(" ")
+    rows += [(200, " ".join([*near, "tail"]), "s"), (201, rows[6][1], "t"), (202, rows[6][1].upper(), "u")]
+    rows += [(None, say(30), "s"), (None, rows[7][1], None), (None, None, "t"), (7, say(25), "s"), (7, rows[7][1], "s"), (8, rows[8][1], None), (8, rows[8][1], None)]
+    rows += [(300, None, "s"), (301, "", None), (302, " \n ", "u"), (303, say(30_000), "t")]
+    spark.createDataFrame([(*r, 1.5, "x") for r in rows], "doc_id long, text string, source string, size double, component_id string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 9 == 0)) for k in range(90)] + [(None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append([r.asDict() for r in docs.collect()])
+    plain = lambda rs: Counter((r["doc_id"], r["text"], r["source"]) for r in rs)
+    assert plain(seen[0]) == Counter(r for r in rows if "foulword" not in (r[1] or ""))
+
+    # Lines: what is left of each text.
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    holders = {}
+    for r in seen[0]:
+        for line in (r["text"] or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(r["doc_id"])
+    top = lambda ids: max((i for i in ids if i is not None), default=None)
+    lost = {k: top(ids) for k, ids in holders.items() if len(ids) >= 3}
+    assert common.lower() in lost
+    kept = lambda r: "\n".join(x for x in (r["text"] or "").split("\n") if key(x) not in lost or lost[key(x)] == r["doc_id"])
+    assert plain(seen[1]) == Counter((r["doc_id"], kept(r), r["source"]) for r in seen[0])
+
+    # Near copies: of each group the texts of its smallest id, one row of each; rows without an id stay.
+    def shingles(text):
+        w = [x for x in text.lower().replace("\n", " ").split(" ") if x]
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(r["text"]) for r in seen[1]]
+    group = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(group)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    want = Counter()
+    for g in set(group):
+        own = [r for r, x in zip(seen[1], group) if x == g]
+        named = [r for r in own if r["doc_id"] is not None]
+        want.update(r["doc_id"] for r in own if r["doc_id"] is None)
+        if named:
+            least = min(r["doc_id"] for r in named)
+            want[least] += 1 if shingles(named[0]["text"]) else 0
+            want.update(r["doc_id"] for r in named if not shingles(r["text"]))
+    assert Counter(r["doc_id"] for r in seen[2]) == want and plain(seen[2]) <= plain(seen[1])
+
+    # The mix: each source's words.
+    words = lambda t: len([x for x in (t or "").replace("\n", " ").replace("\t", " ").split(" ") if x])
+    sizes = Counter()
+    for r in seen[2]:
+        sizes[r["source"]] += words(r["text"])
+    names = [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
+    targets = water_filled(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)})
+    taken = Counter()
+    for r in seen[3]:
+        taken[r["source"]] += words(r["text"])
+    assert {s: taken[s] for s in names} == {s: int(targets[s] + 1e-9) for s in names}
+
+    # The pieces: all ids of all documents, and no padding.
+    of = lambda t: len(tokens.encoder().library.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in seen[4]) == sum(of(r["text"]) for r in seen[3])
+    full = Counter()
+    for r in seen[4]:
+        full[r["sequence_id"]] += r["length"]
+    assert all(n <= 1024 and n & (n - 1) == 0 for n in full.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
