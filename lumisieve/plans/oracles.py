@@ -137,6 +137,10 @@ ORACLES = {
       SELECT p_partkey, format, CASE WHEN sized THEN w ELSE -1 END AS width, CASE WHEN sized THEN h ELSE -1 END AS height,
         CASE WHEN format IS NULL THEN 'unsupportedFormat' WHEN sized AND w * h > 100000 THEN 'imageTooLarge' ELSE 'none' END AS error_kind FROM f""",
     "decoded_average_hash": f"WITH {AVERAGE} SELECT vec_id, hex FROM hashes",
+    "decoded_formats": f"""WITH {AVERAGE}, k AS (SELECT vec_id, hex, ['bmp24', 'bmp32', 'palette', 'bitfields', 'runs', 'tiff', 'cut', 'depth', 'os2', 'planes'][vec_id % 10 + 1] AS encoding FROM hashes)
+      SELECT vec_id, encoding, CASE WHEN encoding = 'tiff' THEN 'tiff' ELSE 'bmp' END AS format,
+        CASE encoding WHEN 'cut' THEN 'truncated' WHEN 'depth' THEN 'unsupportedFeature' WHEN 'os2' THEN 'unsupportedFeature' WHEN 'planes' THEN 'corruptInput' ELSE 'none' END AS fault,
+        CASE WHEN vec_id % 10 < 6 THEN hex END AS hex FROM k""",
     "stream_windows": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS n, count(DISTINCT event_type) AS n_hashes FROM events GROUP BY 1",
     "stream_sliding": "SELECT time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS window_start, count(*) AS n FROM events, range(4) t(k) GROUP BY 1",
     "stream_first_seen": "SELECT DISTINCT substr(md5(event_type), 1, 16) || CAST(user_id AS VARCHAR) AS hex FROM events",

@@ -235,6 +235,41 @@ def _bitmaps(spark, sf_dir) -> DataFrame:
     return planes(spark, sf_dir).select("vec_id", F.unhex(F.concat(F.lit(head), body)).alias("content"))
 
 
+def _encoded(spark, sf_dir) -> DataFrame:
+    """Every embedding as a file of 8 x 8, in turn in one of ten encodings, of which four are faulty."""
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    every = lambda of: F.array_join(F.transform("px", of), "")
+    bitmap = lambda start, depth, method, rows="F8FFFFFF": F.lit("424D" + "00000000" * 2 + start + "28000000" + "08000000" + rows + "0100" + depth + method + "00000000" * 5)
+    grays = F.lit("".join(f"{i:02X}" * 3 + "00" for i in range(256)))
+    # Rows of runs of one place each, from the last row up.
+    line = lambda y: F.concat(F.array_join(F.transform(F.slice("px", (7 - y) * 8 + 1, 8), lambda v: F.concat(F.lit("01"), byte(v))), ""), F.lit("0000"))
+    runs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), line), "")
+    entry = lambda tag, kind, value: tag + kind + "01000000" + value
+    directory = "0800" + entry("0001", "0300", "08000000") + entry("0101", "0300", "08000000") + entry("0201", "0300", "08000000") + entry("0301", "0300", "01000000") + entry("0601", "0300", "01000000") + entry("1101", "0400", "6E000000") + entry("1501", "0300", "01000000") + entry("1701", "0400", "40000000")
+    plain = F.concat(bitmap("36000000", "1800", "00000000"), every(lambda v: F.repeat(byte(v), 3)))
+    files = [
+        ("bmp24", plain),
+        ("bmp32", F.concat(bitmap("36000000", "2000", "00000000"), every(lambda v: F.concat(F.repeat(byte(v), 3), F.lit("00"))))),
+        ("palette", F.concat(bitmap("36040000", "0800", "00000000"), grays, every(byte))),
+        ("bitfields", F.concat(bitmap("42000000", "2000", "03000000"), F.lit("FF00000000FF00000000FF00"), every(lambda v: F.concat(F.repeat(byte(v), 3), F.lit("00"))))),
+        ("runs", F.concat(bitmap("36040000", "0800", "01000000", "08000000"), grays, runs, F.lit("0001"))),
+        ("tiff", F.concat(F.lit("49492A0008000000" + directory + "00000000"), every(byte))),
+        ("cut", F.substring(plain, 1, 300)),
+        ("depth", F.concat(bitmap("36000000", "0700", "00000000"), every(byte))),
+        ("os2", F.concat(F.lit("424D" + "00000000" * 2 + "1A000000" + "0C000000" + "0800080001001800"), every(lambda v: F.repeat(byte(v), 3)))),
+        ("planes", F.concat(F.lit("424D" + "00000000" * 2 + "36000000" + "28000000" + "08000000" + "08000000" + "0200" + "1800" + "00000000" * 6), every(lambda v: F.repeat(byte(v), 3)))),
+    ]
+    at = (F.col("vec_id") % len(files)).cast("int")
+    return planes(spark, sf_dir).select("vec_id", F.get(F.array(*[F.lit(n) for n, _ in files]), at).alias("encoding"), F.unhex(F.get(F.array(*[c for _, c in files]), at)).alias("content"))
+
+
+def q_decoded_formats(spark, sf_dir):
+    """Files of many encodings through check and decoders: the average hash, or why there is none."""
+    found = images.decoded(images.checked(_encoded(spark, sf_dir)))
+    fault = F.coalesce("error.kind", images.raster_fault(F.col("raster")), F.lit("none"))
+    return found.select("vec_id", "encoding", "format", fault.alias("fault"), image_hash.hash_of(F.col("raster"), "average", 8).alias("hex"))
+
+
 def q_image_hashes(spark, sf_dir):
     """Bitmaps through format check, decoder and every hash."""
     raster = images.decoded(images.checked(_bitmaps(spark, sf_dir)))
@@ -360,6 +395,7 @@ QUERIES = {
     "largest_lines": q_largest_lines,
     "image_formats": q_formats,
     "decoded_average_hash": q_decoded_average,
+    "decoded_formats": q_decoded_formats,
     "image_hashes": q_image_hashes,
     "crop_resistant_hash": q_crop_resistant,
     "stream_windows": q_stream_windows,

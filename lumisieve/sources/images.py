@@ -49,6 +49,7 @@ def size_of(content: Column) -> Column:
     return (
         F.when(f == "png", pair(_number(content, 16, 4, False), _number(content, 20, 4, False)))
         .when(f == "gif", pair(_number(content, 6, 2, True), _number(content, 8, 2, True)))
+        .when((f == "bmp") & (_number(content, 14, 4, True) == 12), pair(_number(content, 18, 2, True), _number(content, 20, 2, True)))
         .when(f == "bmp", pair(signed(_number(content, 18, 4, True)), signed(_number(content, 22, 4, True))))
         .when((f == "webp") & extended, pair(_number(content, 24, 3, True) + 1, _number(content, 27, 3, True) + 1))
         .when(f == "heic", _ispe(content))
