@@ -10,10 +10,11 @@ ranges of fixed-length records, by Hadoop's file systems: no task holds more tha
 file exactly, so a record is the largest number of ids, up to a block, that divides the file's; where that is small (a
 prime number of ids: one) more records are read for a block, which costs time only.
 
-The registered query makes flat files of its documents first. Each task encodes what it reads into pieces of up to ``WHOLE``
+The registered query makes flat files of its documents first. Each task encodes what it reads into pieces of up to ``PIECE``
 bytes (a longer document is a piece of its own). Spark's text writer puts each piece's bytes, as they are, in a file of
 its own, with the separator's bytes as the end of its one line: so the files hold ids and nothing else, go through any
-Hadoop file system, and are committed as any table is. The files are then read and scanned like anybody's.
+Hadoop file system, and are committed as any table is. Beside each file of ids the same task writes one with the
+documents' own ids, for naming results only. The files of ids are then read and scanned like anybody's.
 
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
@@ -36,12 +37,13 @@ from . import scratch, tokens
 from .token_table import encoded, texts_of
 
 END_ID, BLOCK_IDS, SEGMENT = 50256, 1 << 16, 1024
-#: Bytes of a file that is read whole, and about as many in a range of a longer one.
-WHOLE, RANGE = 1 << 24, 1 << 26
+#: Bytes of a file that is read whole, about as many in a range of a longer one, and in a file that is made here.
+WHOLE, RANGE, PIECE = 1 << 24, 1 << 26, 1 << 23
 
 
-def flat_files(spark: SparkSession, path: str, item_bytes: int = 2) -> DataFrame:
-    """``file, block, ids`` of the flat files at ``path``, in blocks of up to BLOCK_IDS ids."""
+def flat_files(spark: SparkSession, path: str, item_bytes: int = 2, where: str | None = None) -> DataFrame:
+    """``file, block, ids`` of the flat files at ``path``, in blocks of up to BLOCK_IDS ids; ``where`` may choose folders by
+    their partition columns."""
 
     def run(batches):
         size = BLOCK_IDS * item_bytes
@@ -52,6 +54,7 @@ def flat_files(spark: SparkSession, path: str, item_bytes: int = 2) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([view[k : k + size].tobytes()], pa.binary())], names=["file", "block", "ids"])
 
     files, schema = spark.read.format("binaryFile").load(path), "file string, block bigint, ids binary"
+    files = files.where(where) if where else files
     small = files.where(F.col("length") <= WHOLE).select("path", "content").mapInArrow(run, schema)
     long = files.where(F.col("length") > WHOLE).select("path", "length").collect()  # a row for each long file, without content
     if not long:
@@ -83,42 +86,60 @@ def _ranges(spark: SparkSession, path: str, length: int, item_bytes: int) -> RDD
     return records.mapPartitions(run)
 
 
-def flattened(docs: DataFrame, vocab: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+NAMED = np.dtype([("doc_id", "<i8"), ("valid", "u1")])
+
+
+def flattened(docs: DataFrame, vocab: str | None = None, piece_bytes: int = PIECE) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` as flat files, read back in blocks (``file, block, ids``); which document is the n-th of a file (``file,
     ordinal, doc_id``), for naming results only; the ids' numpy type. Nothing is shuffled, and a task holds a piece
     besides what it encodes at a time."""
-    e = tokens.encoder(vocab, plain=True)
+    spark, e = docs.sparkSession, tokens.encoder(vocab, plain=True)
     dtype, item, end = e.dtype.str, e.dtype.itemsize, np.array([END_ID], e.dtype).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         e, task = tokens.encoder(vocab, plain=True), TaskContext.get().partitionId()
-        piece, held, size, ordinal = 0, [], 0, 0
-        name = lambda: f"{task:06d}-{piece:06d}"
+        piece, held, names, size = 0, [], [], 0
+
+        def out():
+            # The line's end, which the writer puts, is the last separator.
+            rows = [b"".join(held)[: -len(end)], np.concatenate(names).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([f"{kind}-{task:06d}-{piece:06d}" for kind in ("ids", "names")]), pa.array(rows, pa.binary())], names=["file", "ids"])
+
         for batch in batches:
             for lo, hi, ids in encoded(batch.column(1), e, END_ID):
                 keys, data = batch.column(0).slice(lo, hi - lo), ids.buffers()[2].to_pybytes()
-                if held and size + len(data) > WHOLE:
-                    yield _rows(name(), [None], [None], [b"".join(held)[: -len(end)]])
-                    piece, held, size, ordinal = piece + 1, [], 0, 0
-                yield _rows(name(), np.arange(ordinal, ordinal + len(keys)), keys, pa.nulls(len(keys), pa.binary()))
-                ordinal, size = ordinal + len(keys), size + len(data)
+                if held and size + len(data) > piece_bytes:
+                    yield out()
+                    piece, held, names, size = piece + 1, [], [], 0
+                own = np.zeros(len(keys), NAMED)
+                own["doc_id"], own["valid"] = keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
                 held.append(data)
+                names.append(own)
+                size += len(data)
         if held:
-            yield _rows(name(), [None], [None], [b"".join(held)[: -len(end)]])
-
-    both = scratch.written(docs.select(*texts_of(docs)).mapInArrow(run, "file string, ordinal bigint, doc_id bigint, ids binary"), "op9-pieces")
-    path = scratch.new_path(docs.sparkSession, "op9-flat")
-    lines = both.where("ordinal is null").select("file", F.col("ids").cast("string"))
-    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path)
-    read = flat_files(docs.sparkSession, path, item)
-    read = read.withColumn("file", F.regexp_extract("file", "/file=([0-9-]+)/[^/]*$", 1))
-    return read, both.where("ordinal is not null").select("file", "ordinal", "doc_id"), dtype
+            yield out()
 
+    def unpacked(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                view = memoryview(content.as_buffer())
+                own = np.frombuffer(view[: len(view) - len(end)], NAMED)
+                for lo in range(0, len(own), BLOCK_IDS):
+                    part = own[lo : lo + BLOCK_IDS]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.arange(lo, lo + len(part))), pa.array(part["doc_id"], mask=part["valid"] == 0)], names=["file", "ordinal", "doc_id"])
 
-def _rows(name, ordinals, keys, ids):
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(ordinals, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["file", "ordinal", "doc_id", "ids"])
+    path = scratch.new_path(spark, "op9-flat")
+    lines = docs.select(*texts_of(docs)).mapInArrow(run, "file string, ids binary").select("file", F.col("ids").cast("string"))
+    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path)
+    written, schema = spark.read.format("binaryFile").load(path), "file string, ordinal bigint, doc_id bigint"
+    if "file" not in written.columns:  # no documents, no folders
+        return spark.createDataFrame([], "file string, block bigint, ids binary"), spark.createDataFrame([], schema), dtype
+    piece = lambda c, kind: F.regexp_extract(c, f"/file={kind}-([0-9-]+)/[^/]*$", 1)
+    blocks = flat_files(spark, path, item, "file like 'ids-%'").withColumn("file", piece("file", "ids"))
+    names = written.where("file like 'names-%'").select(piece("path", "names").alias("file"), "content").mapInArrow(unpacked, schema)
+    return blocks, names, dtype
 
 
 def counted(blocks: DataFrame, dtype: str = "<u2", end_id: int = END_ID) -> DataFrame:
