@@ -17,8 +17,8 @@ manifest of shards; ``read_documents`` gives the documents back from the folder
 Blocks are rows of a Parquet table, so Spark's own commit protocol makes the output whole when tasks are run again.
 
 Defined cases: a null or empty text has the end id only. Null document ids come first. Rows with equal ids are
-documents of their own, in the order in which they are read, and a range may end between them. An empty table gives no
-rows. Other columns are not read.
+documents of their own, in the order in which they are read, and a range may end between them. A text of any length is
+encoded whole, and its ids may be in many blocks. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

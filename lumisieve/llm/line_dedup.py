@@ -9,8 +9,8 @@ and the only join on a line's hash is a plain one that adaptive execution splits
 that their document loses.
 
 Defined cases: a null or empty text is one empty line. Rows with equal ids are one document when counted, and each
-loses the same lines; a null id is a document of its own, the smallest. An empty table gives no rows. Other columns
-are kept by ``drop_common_lines`` whatever their names.
+loses the same lines; a null id is a document of its own, the smallest. A text of any length is split whole. An empty
+table gives no rows. Other columns are kept by ``drop_common_lines`` whatever their names.
 """
 
 from __future__ import annotations

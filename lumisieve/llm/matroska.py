@@ -9,7 +9,8 @@ either it is the block's. Nothing is shuffled; a row's bytes are in memory once.
 
 Defined cases: a null or empty payload is 64 zero bytes. Bytes that are no Matroska, or end early, raise in
 ``parsed``; in ``packets`` they give one row with ``error`` set, and a null gives none. Equal payloads have equal
-files: nothing but the payload goes into them.
+files: nothing but the payload goes into them. Rows with null or equal ids are rows of their own. A payload of any
+length is many clusters of one file. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@
   sorted by source, id, size and text in ranges that split equal rows, too, and prefix sums over the ranges place them.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; a null id hashes as an
-empty one; rows with equal ids are taken each for itself. With no rows, or no words at all, nothing is taken. Other
-columns are kept by ``mix`` whatever their names.
+empty one; rows with equal ids are taken each for itself; a text of any length is counted whole. With no rows, or no
+words at all, nothing is taken. Other columns are kept by ``mix`` whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ on the curve share sequences. What is left at a partition's end is cut into powe
 Equal documents have equal keys; a hash of the document's id is the second key, so that a large group of copies is
 spread over as many partitions as its size asks for. A task holds one Arrow batch and nothing of its stream.
 
-Defined cases: a null or empty text has the end id only. Rows with equal ids are documents of their own. An empty
-table gives no rows. Other columns are not read.
+Defined cases: a null or empty text has the end id only. A null id stays null in its pieces. Rows with equal ids are
+documents of their own, equal texts too. A text of any length is encoded whole and cut into many pieces. An empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ documents' own ids, for naming results only. The files of ids are then read and
 Defined cases: an empty document between two separators counts 0; ids after a file's last separator are a document
 without an end (``ended`` is false). A null or empty text has its separator only. An empty table gives no rows.
 Rows with equal ids are documents of their own. A text that holds the string of the end-of-document token is encoded as
-plain text, so its ids never have the separator and its count is that of the plain encoding.
+plain text, so its ids never have the separator and its count is that of the plain encoding. A null id stays null in
+its row. A text of any length is one document. Other columns are not read.
 """
 
 from __future__ import annotations
