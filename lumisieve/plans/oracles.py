@@ -103,6 +103,8 @@ ORACLES = {
     "colour_hash": _colour(),
     "near_hash_pairs": f"""WITH {AVERAGE}, {COPIES}, v AS (SELECT DISTINCT hex FROM copies) SELECT a.hex AS a, b.hex AS b, CAST({distance('a.hex', 'b.hex', 16)} AS INTEGER) AS distance
       FROM v a JOIN v b ON a.hex < b.hex WHERE {distance('a.hex', 'b.hex', 16)} <= 6""",
+    "near_hash_pairs_wide": f"""WITH {AVERAGE}, {COPIES}, v AS (SELECT DISTINCT hex FROM copies) SELECT a.hex AS a, b.hex AS b, CAST({distance('a.hex', 'b.hex', 16)} AS INTEGER) AS distance
+      FROM v a JOIN v b ON a.hex < b.hex WHERE {distance('a.hex', 'b.hex', 16)} <= 12""",
     "near_hash_groups": f"""WITH RECURSIVE {AVERAGE}, {COPIES}, v AS MATERIALIZED (SELECT hex, min(id) AS first FROM copies GROUP BY hex),
       links AS MATERIALIZED (SELECT a.first AS x, b.first AS y FROM v a JOIN v b ON a.hex <> b.hex WHERE {distance('a.hex', 'b.hex', 16)} <= 6),
       reached(x, y) AS (SELECT first, first FROM v UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),

@@ -102,6 +102,12 @@ def q_near_values(spark, sf_dir):
     return S.near_values(rows, rows, 16, WITHIN, ordered=True)
 
 
+def q_near_wide(spark, sf_dir):
+    """The same at twice the radius."""
+    rows = with_copies(spark, sf_dir)
+    return S.near_values(rows, rows, 16, 2 * WITHIN, ordered=True)
+
+
 def q_near_groups(spark, sf_dir):
     return S.near_groups(with_copies(spark, sf_dir), 16, WITHIN)
 
@@ -382,6 +388,7 @@ QUERIES = {
     "alpha_composite": q_composite,
     "colour_hash": q_colour_hash,
     "near_hash_pairs": q_near_values,
+    "near_hash_pairs_wide": q_near_wide,
     "near_hash_groups": q_near_groups,
     "best_match": q_best_match,
     "tolerance_filter": q_tolerance,
