@@ -20,6 +20,13 @@ set's size.
 * Larger groups hold what many documents quote. Their members get keys anew: of the shingles that a sketch takes, counted
   over all these members, the rarest most + 1. Two linked documents leave at most ``most`` of either's shingles unshared,
   so the rarest that they share is a key of both, and what many quote is a key only of documents with little else.
+* A shingle of ``LARGE`` or more of these members still makes a large group. Two linked documents that share such shingles
+  only are found by what they share: shingles that the same members have are one *atom*, so a document is a few atoms with
+  weights, and what two documents share is whole atoms. Each document gives a key for every set of atoms that is left when
+  atoms of a total weight of at most a quarter of its size go. Of two linked documents that share exactly the atoms of a
+  key the smaller one lacks at most a seventh of its size; any two such members are linked, and the smallest of them is the one to which a
+  larger document is linked if it is to any. So all members are compared with that one, and no two others. Documents of
+  so many light atoms that they would give more than ``MOST_KEYS`` keys, and those of sampled bands, meet by the shingles.
 * To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound, as the joins' own
   condition, and then to intersect the whole sets.
 
@@ -45,7 +52,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 300_000
+WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, LARGE, MOST_KEYS, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 32, 256, 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -321,15 +328,26 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     crowd = placed.join(open_keys.where(F.col("c") >= CROWD).select("key"), "key").select("class", band).distinct()
     crowd = scratch.written(crowd.groupBy("class").agg(F.collect_set("band").alias("bands")), "op6-crowd")
     # Most of the new keys are one class's own: they are counted and dropped where they are dealt by key.
-    anew = rarest_keys(crowd, classes, texts, exact).select("class", "key").repartition("key")
+    taken, many = taken_shingles(crowd, classes, texts, exact)
+    anew = _rarest(taken, many).select("class", "key").repartition("key")
     again = anew.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key"), "op6-anew")
     anew = anew.join(part_of, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"), band)
-    rows = small.select("key", "class", "component", "band").union(anew).join(sketches, ["class", "band"])
+    heavy = scratch.written(many.where(F.col("c") >= LARGE).select("key"), "op6-heavy")
+    light = anew.join(_sent(heavy), "key", "left_anti")
+    rows = small.select("key", "class", "component", "band").union(light).join(sketches, ["class", "band"])
     rows = scratch.written(rows, "op6-open")
-    l, r = rows.alias("l"), rows.alias("r")
-    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r"))
-    rest = near.select(*_ordered("l.class", "r.class")).distinct().join(pairs, ["a", "b"], "left_anti")
+    met = lambda l, r, order: l.alias("l").join(r.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & order & _close("l", "r")).select(*_ordered("l.class", "r.class"))
+    near = met(rows, rows, F.col("l.class") < F.col("r.class"))
+    if not heavy.isEmpty():
+        kept = scratch.written(kept_atoms(taken, heavy, exact), "op6-atoms")
+        shared = _hub_pairs(kept.where("key is not null")).join(part_of.toDF("a", "x"), "a", "left").join(part_of.toDF("b", "y"), "b", "left")
+        shared = shared.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        near, rest_of = near.union(shared), kept.where("key is null").select("class", "band")
+        if not rest_of.isEmpty():
+            open_ = scratch.written(anew.join(_sent(heavy), "key").join(sketches, ["class", "band"]), "op6-heavy-open")
+            near = near.union(met(open_.join(rest_of.distinct(), ["class", "band"]), open_, F.col("l.class") != F.col("r.class")))
+    rest = near.distinct().join(pairs, ["a", "b"], "left_anti")
     rest = scratch.written(rest, "op6-pairs")
     scratch.dropped(held, sketches, placed, crowd, rows)
     sets = _sets_of(rest, classes, texts)
@@ -345,12 +363,21 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     return out.select("doc_id", "text_hash", "component", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
-    """``class, band, key``: the rarest shingles of the classes in ``crowd`` (class, bands), one more than a link may
-    leave unshared. Shingles count over all of ``crowd``; those of fewer than COMMON_FROM classes are equally rare."""
+def taken_shingles(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """The shingles that sketches of the classes in ``crowd`` (class, bands) take, and how many of these classes have each
+    (key, c), from COMMON_FROM on."""
     taken = scratch.written(_text_of(crowd, classes, texts, "bands").mapInArrow(_taker(exact), TAKEN).dropDuplicates(["class", "band"]), "op6-taken")
     counts = taken.select(F.explode("taken").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    many = scratch.written(counts.where(F.col("c") >= COMMON_FROM), "op6-many")
+    return taken, scratch.written(counts.where(F.col("c") >= COMMON_FROM), "op6-many")
+
+
+def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
+    """``class, band, key``: the rarest shingles of the classes in ``crowd``, one more than a link may leave unshared.
+    Shingles of fewer than COMMON_FROM classes are equally rare."""
+    return _rarest(*taken_shingles(crowd, classes, texts, exact))
+
+
+def _rarest(taken: DataFrame, many: DataFrame) -> DataFrame:
     found = taken.select("class", "band", F.explode("taken").alias("key")).join(_sent(many), "key")
     common = found.groupBy("class", "band").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("common"))
     both = taken.join(common, ["class", "band"], "left").withColumn("common", F.coalesce(F.transform("common", lambda x: x["key"]), F.array().cast("array<bigint>")))
@@ -358,6 +385,62 @@ def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: b
     return both.select("class", "band", F.explode(F.slice(ordered, F.lit(1), F.col("spare") + 1)).alias("key"))
 
 
+def sets_left(atoms: list[int], weights: list[int], budget: int, most: int = MOST_KEYS) -> list[tuple[int, int]] | None:
+    """For every set of atoms of a total weight of at most ``budget``: what stands for the others, and that weight. None if
+    there are more than ``most``."""
+    order = sorted(range(len(atoms)), key=lambda k: (weights[k], atoms[k]))
+    open_, out = [(0, 0, sum(atoms))], []
+    while open_:
+        k, gone, key = open_.pop()
+        out.append((key & (1 << 64) - 1, gone))
+        if len(out) > most:
+            return None
+        for j in range(k, len(order)):
+            if gone + weights[order[j]] > budget:
+                break
+            open_.append((j + 1, gone + weights[order[j]], key - atoms[order[j]]))
+    return out
+
+
+KEPT = "class bigint, band int, n int, key bigint, small boolean"
+
+
+def _atom_keys(batches):
+    """(class, band, n, spare, sampled, atoms, weights) -> ``KEPT``; a null key for what must meet by shingles."""
+    for batch in batches:
+        out = []
+        for kind, band, n, spare, sampled, atoms, weights in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            others = n - sum(weights)
+            if others > spare:
+                continue  # no link of shared shingles only that are all common
+            found = None if sampled else sets_left(atoms, weights, spare - others)
+            if found is None:
+                out.append((kind, band, n, None, False))
+            else:
+                out += [(kind, band, n, key - (1 << 63), 7 * (gone + others) <= n) for key, gone in found]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[f.split()[0] for f in KEPT.split(", ")])
+
+
+def kept_atoms(taken: DataFrame, heavy: DataFrame, exact: bool) -> DataFrame:
+    """``KEPT`` of the classes in ``taken``: a row for each set of atoms of ``heavy`` shingles that may be shared."""
+    found = taken.select("class", "band", F.explode("taken").alias("key")).join(_sent(heavy), "key")
+    who = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))]
+    atoms = scratch.written(found.groupBy("key").agg(F.xxhash64(*who).alias("atom")), "op6-atom-names")
+    weighed = found.join(_sent(atoms), "key").groupBy("class", "band", "atom").agg(F.count(F.lit(1)).cast("int").alias("w"))
+    held = weighed.groupBy("class", "band").agg(F.collect_list(F.struct("atom", "w")).alias("held"))
+    sampled = F.lit(False) if exact else F.expr(f"shiftleft(1, band + 1) > {EXACT}")
+    own = taken.select("class", "band", "spare", F.size("taken").alias("n")).join(held, ["class", "band"])
+    return own.select("class", "band", "n", "spare", sampled.alias("sampled"), F.transform("held", lambda x: x["atom"]).alias("atoms"), F.transform("held", lambda x: x["w"]).alias("weights")).mapInArrow(_atom_keys, KEPT)
+
+
+def _hub_pairs(kept: DataFrame) -> DataFrame:
+    """``a, b``: each member of a key with the smallest of those that lack little."""
+    key = ["band", "key"]
+    hubs = kept.where("small").groupBy(*key).agg(F.min(F.struct("n", "class")).alias("hub")).select(*key, F.col("hub.class").alias("hub"))
+    return kept.select(*key, "class").join(hubs, key).where("class <> hub").select(*_ordered("class", "hub")).distinct()
+
+
 def _sent(rows: DataFrame) -> DataFrame:
     """Rows of a few numbers: sent to every task where they are counted to be at most FEW, else joined."""
     return F.broadcast(rows) if rows.count() <= FEW else rows
