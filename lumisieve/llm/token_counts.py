@@ -39,7 +39,9 @@ from .token_table import encoded, texts_of
 
 END_ID, BLOCK_IDS, SEGMENT = 50256, 1 << 16, 1024
 #: Bytes of a file that is read whole, about as many in a range of a longer one, and in a file that is made here.
-WHOLE, RANGE, PIECE = 1 << 24, 1 << 26, 1 << 23
+WHOLE, RANGE, PIECE = 1 << 24, 1 << 26, 1 << 22
+#: Stems that a worker keeps: a task that scans has two workers, and any of them may have encoded before.
+STEMS = 150_000
 
 
 def flat_files(spark: SparkSession, path: str, item_bytes: int = 2, where: str | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ def flattened(docs: DataFrame, vocab: str | None = None, piece_bytes: int = PIEC
     def run(batches):
         from pyspark import TaskContext
 
-        e, task = tokens.encoder(vocab, plain=True), TaskContext.get().partitionId()
+        e, task = tokens.encoder(vocab, plain=True, stored=STEMS), TaskContext.get().partitionId()
         piece, held, names, size = 0, [], [], 0
 
         def out():

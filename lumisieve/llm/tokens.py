@@ -26,7 +26,7 @@ STORED, LONGEST = 700_000, 48
 MARKS, _STEM = ".,;:!?", "[A-Za-z0-9À-ÖØ-öø-ÿ]$"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, bool, int], "Encoder"] = {}
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -37,10 +37,11 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path(VOCAB_FILE)
 
 
-def encoder(path: str | None = None, plain: bool = False) -> "Encoder":
+def encoder(path: str | None = None, plain: bool = False, stored: int = STORED) -> "Encoder":
     """This process's encoder for a vocabulary file; each executor's Python loads its own copy of the file. A ``plain``
-    one takes the strings of added tokens as any other text, so that no text has an added token's id."""
-    key = vocabulary(path), plain
+    one takes the strings of added tokens as any other text, so that no text has an added token's id. At most
+    ``stored`` stems are kept."""
+    key = vocabulary(path), plain, stored
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -54,7 +55,8 @@ def _byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, stored: int = STORED):
+        self.stored = stored
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,7 +148,7 @@ class Encoder:
         tails = ["\0" + w[n:] for w, n in zip(tails, n_chars)]
         names = {t: k for k, t in enumerate(dict.fromkeys(tails))}
         keys = ["\0" if s == "" else s for s in stems.dictionary.to_pylist()] + list(names)
-        if len(self.places) + len(keys) > STORED:
+        if len(self.places) + len(keys) > self.stored:
             self._forget()
         places, extra = self._placed(keys)
         n_stems, stored = len(stems.dictionary), len(self.ends) - 1
