@@ -278,69 +278,6 @@ def test_rare_shingles_first(spark):
     assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 1 and keys.select("class").distinct().count() == 30
 
 
-def test_sets_that_are_left():
-    rng = random.Random(2)
-    for _ in range(100):
-        atoms = [rng.getrandbits(63) for _ in range(rng.randrange(6))]
-        weights, budget = [rng.randrange(1, 9) for _ in atoms], rng.randrange(0, 20)
-        want = []
-        for bits in range(1 << len(atoms)):
-            gone = [k for k in range(len(atoms)) if bits >> k & 1]
-            if sum(weights[k] for k in gone) <= budget:
-                want.append((sum(a for k, a in enumerate(atoms) if k not in gone) % (1 << 64), sum(weights[k] for k in gone)))
-        assert sorted(ngram_join.sets_left(atoms, weights, budget)) == sorted(want)
-        assert len(want) < 2 or ngram_join.sets_left(atoms, weights, budget, len(want) - 1) is None
-
-
-@pytest.mark.parametrize("most_keys", [256, 0])
-def test_documents_of_shared_passages_only(spark, monkeypatch, most_keys):
-    """Five of 24 passages each, in any order, with copies, shorter and longer ones: components as by brute force, and
-    pairs that are met in proportion to documents. Without keys for atoms all meet by shingles."""
-    monkeypatch.setattr(ngram_join, "MOST_KEYS", most_keys)
-    met, written = {}, ngram_join.scratch.written
-
-    def counted(df, name, *more):
-        out = written(df, name, *more)
-        if name in ("op6-pairs", "op6-atoms"):
-            met[name] = out.count()
-        return out
-
-    monkeypatch.setattr(ngram_join.scratch, "written", counted)
-    rng = random.Random(14)
-    passages = [" ".join(f"p{k}w{j}" for j in range(rng.choice([14, 24]))) for k in range(24)]
-    found = []
-    for n in (150, 300):
-        rows = []
-        for i in range(n):
-            pick = rng.sample(range(24), 5)
-            rows.append((i, "\n".join(passages[k] for k in pick)))
-            if i % 7 == 0:
-                rng.shuffle(pick)
-                rows.append((1000 + i, "\n".join(passages[k] for k in pick[: rng.choice([4, 5])])))
-            if i % 11 == 0:
-                rows.append((2000 + i, rows[-1][1] + " " + " ".join(f"own{i}x{j}" for j in range(rng.choice([3, 12, 30])))))
-        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        sets, top = [], {i: i for i, _ in rows}
-
-        def find(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        for i, text in rows:
-            w = text.split()
-            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-            for j, other in sets:
-                both = len(own & other)
-                if 100 * both >= 75 * (len(own) + len(other) - both):
-                    x, y = find(i), find(j)
-                    top[max(x, y)] = min(x, y)
-            sets.append((i, own))
-        assert got == {i: find(i) for i, _ in rows}
-        found.append(dict(met))
-    assert found[1]["op6-pairs"] <= 300 and (not most_keys or found[1]["op6-atoms"] <= 3 * found[0]["op6-atoms"])
-
-
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (10, 100, 900, 5000):
