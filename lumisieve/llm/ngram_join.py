@@ -21,7 +21,12 @@ set's size.
   over all these members, the rarest most + 1. Two linked documents leave at most ``most`` of either's shingles unshared,
   so the rarest that they share is a key of both, and what many quote is a key only of documents with little else.
 * To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound, as the joins' own
-  condition, and then to intersect the whole sets.
+  condition, and then to intersect the whole sets. The bound is the pair's own: sets of ``m`` and ``n`` shingles with a
+  Jaccard index of 3/4 differ in ``(m + n) / 7`` at most, and of these a sketch of one hash class in ``2 ** r`` sees the
+  share and seven standard deviations and 8 at most.
+* Members of different components that share many keys meet once, at the least key that both have. Each row holds its
+  class's ``FIRST`` least keys; where two such lists have one in common, the least of these is the least of all that the
+  two classes share. Where they have none, the two meet at each key that they share.
 
 ``exact`` makes a sketch take all shingles in large bands too: no link can be missed, for keys in proportion to sizes.
 
@@ -45,7 +50,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 
-WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 300_000
+WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FIRST, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 8, 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -102,10 +107,15 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
+def halvings(band: int, exact: bool = False) -> int:
+    """A band's sketches take one hash class in two to this power."""
+    top = 1 << (band + 1)
+    return 0 if exact or top <= EXACT else top.bit_length() - TAKEN_MOST.bit_length()
+
+
 def in_band(s: np.ndarray, band: int, exact: bool = False) -> tuple[np.ndarray, int, int]:
     """The shingles that a band's sketch takes, the number of its blocks, and the most differences to bear with."""
-    top = 1 << (band + 1)
-    r = 0 if exact or top <= EXACT else top.bit_length() - TAKEN_MOST.bit_length()
+    top, r = 1 << (band + 1), halvings(band, exact)
     most = min(len(s), top - 1) // 3
     if r:
         mean = most / (1 << r)
@@ -246,11 +256,26 @@ def _ordered(a, b):
 _WORDS = [f"w{k}" for k in range(SKETCH_WORDS)]
 
 
-def _close(l: str, r: str):
+def _close(l: str, r: str, exact: bool):
     """Whether two rows with sizes and sketches may be linked: a condition of a join, so other pairs are never rows."""
     c = lambda side, name: F.col(f"{side}.{name}")
     apart = reduce(lambda x, y: x + y, [F.bit_count(c(l, w).bitwiseXOR(c(r, w))) for w in _WORDS])
-    return (4 * F.least(c(l, "n"), c(r, "n")) >= 3 * F.greatest(c(l, "n"), c(r, "n"))) & (apart <= F.least(c(l, "most"), c(r, "most")))
+    differ = (c(l, "n") + c(r, "n")) / 7
+    sampled = [b for b in range(32) if halvings(b, exact)]
+    if sampled:
+        share = differ / F.pow(F.lit(2.0), c(l, "band") - (sampled[0] - halvings(sampled[0])))
+        differ = F.when(c(l, "band") < sampled[0], differ).otherwise(share + SIGMAS * F.sqrt(share) + 8)
+    return (4 * F.least(c(l, "n"), c(r, "n")) >= 3 * F.greatest(c(l, "n"), c(r, "n"))) & (apart <= F.least(c(l, "most"), c(r, "most"), differ))
+
+
+def met_once(rows: DataFrame, exact: bool) -> DataFrame:
+    """``a, b``: classes of ``rows`` (key, class, component, first, sizes and sketches) of different components that share
+    a key and may be linked, at the least key that they share; at each one where ``first`` doesn't tell the least."""
+    l, r = rows.alias("l"), rows.alias("r")
+    shared = F.array_min(F.array_intersect("l.first", "r.first"))
+    once = F.coalesce(shared, F.col("l.key")) == F.col("l.key")
+    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r", exact) & once)
+    return near.select(*_ordered("l.class", "r.class"))
 
 
 def text_hash(text="text"):
@@ -305,7 +330,7 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     hubs = held.join(score, "class").groupBy("key").agg(F.max(F.struct("score", "class")).alias("top")).select("key", F.col("top.class").alias("hub"))
     pairs = held.join(hubs, "key").where("class <> hub").select(*_ordered("class", "hub"), band).distinct()
     one, two = sketches.alias("l"), sketches.alias("r")
-    pairs = pairs.join(one, (F.col("a") == F.col("l.class")) & (pairs["band"] == F.col("l.band"))).join(two, (F.col("b") == F.col("r.class")) & (F.col("l.band") == F.col("r.band")) & _close("l", "r"))
+    pairs = pairs.join(one, (F.col("a") == F.col("l.class")) & (pairs["band"] == F.col("l.band"))).join(two, (F.col("b") == F.col("r.class")) & (F.col("l.band") == F.col("r.band")) & _close("l", "r", exact))
     pairs = scratch.written(pairs.select("a", "b").distinct(), "op6-hub-pairs")
     sets = _sets_of(pairs, classes, texts)
     links = scratch.written(verified(pairs, sets), "op6-hub-links")
@@ -325,11 +350,11 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     again = anew.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key"), "op6-anew")
     anew = anew.join(part_of, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"), band)
-    rows = small.select("key", "class", "component", "band").union(anew).join(sketches, ["class", "band"])
+    rows = small.select("key", "class", "component", "band").union(anew).groupBy("class", "band")
+    rows = rows.agg(F.min("component").alias("component"), F.array_sort(F.collect_set("key")).alias("keys")).join(sketches, ["class", "band"])
+    rows = rows.withColumn("first", F.slice("keys", 1, FIRST)).withColumn("key", F.explode("keys")).drop("keys")
     rows = scratch.written(rows, "op6-open")
-    l, r = rows.alias("l"), rows.alias("r")
-    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r"))
-    rest = near.select(*_ordered("l.class", "r.class")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = met_once(rows, exact).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = scratch.written(rest, "op6-pairs")
     scratch.dropped(held, sketches, placed, crowd, rows)
     sets = _sets_of(rest, classes, texts)

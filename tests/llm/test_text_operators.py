@@ -278,6 +278,26 @@ def test_rare_shingles_first(spark):
     assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 1 and keys.select("class").distinct().count() == 30
 
 
+def test_members_of_a_family_meet_once(spark, monkeypatch):
+    """Of near copies of one text, those just under the threshold meet few of the others, and each of them once."""
+    rng, tables = random.Random(5), {}
+    written = ngram_join.scratch.written
+    monkeypatch.setattr(ngram_join.scratch, "written", lambda df, name: tables.update({name: written(df, name)}) or tables[name])
+    monkeypatch.setattr(ngram_join.scratch, "dropped", lambda *_: None)
+    base, rows = [f"w{rng.randrange(3000)}" for _ in range(400)], []
+    for k in range(160):
+        w = list(base)
+        for at in rng.sample(range(5, 395), 13 if k % 5 == 0 else 2):
+            w[at] = f"n{rng.randrange(3000)}"
+        rows.append((k, " ".join(w)))
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near(rows)
+    pairs = tables["op6-pairs"].count()
+    assert pairs < 3 * len(rows)  # 32 x 128 without the bound of a pair
+    met = ngram_join.met_once(tables["op6-open"], False)
+    assert met.distinct().count() <= met.count() <= 1.1 * met.distinct().count() + 5
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (10, 100, 900, 5000):
