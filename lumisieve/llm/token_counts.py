@@ -44,17 +44,24 @@ WHOLE, RANGE, PIECE = 1 << 24, 1 << 26, 1 << 22
 STEMS = 150_000
 
 
+def cut(batches, size: int):
+    """Files (path, content) as blocks of up to ``size`` bytes. Like all that only reads, it first lets go of encoders of tasks before it."""
+    tokens.release()
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            view = memoryview(content.as_buffer())
+            for k in range(0, len(view), size):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([view[k : k + size].tobytes()], pa.binary())], names=["file", "block", "ids"])
+
+
 def flat_files(spark: SparkSession, path: str, item_bytes: int = 2, where: str | None = None) -> DataFrame:
     """``file, block, ids`` of the flat files at ``path``, in blocks of up to BLOCK_IDS ids; ``where`` may choose folders by
     their partition columns."""
 
+    size = BLOCK_IDS * item_bytes
+
     def run(batches):
-        size = BLOCK_IDS * item_bytes
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                view = memoryview(content.as_buffer())
-                for k in range(0, len(view), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([view[k : k + size].tobytes()], pa.binary())], names=["file", "block", "ids"])
+        return cut(batches, size)
 
     files, schema = spark.read.format("binaryFile").load(path), "file string, block bigint, ids binary"
     files = files.where(where) if where else files
@@ -125,6 +132,7 @@ def flattened(docs: DataFrame, vocab: str | None = None, piece_bytes: int = PIEC
             yield out()
 
     def unpacked(batches):
+        tokens.release()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 view = memoryview(content.as_buffer())
@@ -149,6 +157,7 @@ def counted(blocks: DataFrame, dtype: str = "<u2", end_id: int = END_ID) -> Data
     """``file, ordinal, start, n_tokens, ended`` of every document in the flat files' blocks; separators don't count."""
 
     def run(batches):
+        tokens.release()
         for batch in batches:
             found, n = [], []
             for b in batch.column(2):

@@ -11,6 +11,7 @@ is encoded whole. ``tests/llm`` holds both against the library's own encoding of
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -47,6 +48,14 @@ def encoder(path: str | None = None, plain: bool = False, stored: int = STORED)
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Let go of this process's encoders and of the memory that Arrow keeps for later: for tasks that encode nothing, in
+    workers that have encoded before and stay."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]

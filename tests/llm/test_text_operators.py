@@ -159,6 +159,13 @@ def test_token_counts_of_texts_that_name_the_separator(spark, monkeypatch):
     assert tokens.encoder().encode_one("<|endoftext|>") != tokens.encoder(plain=True).encode_one("<|endoftext|>")
 
 
+def test_workers_that_read_flat_files_hold_no_encoder():
+    tokens.encoder(plain=True, stored=10).encode_many(["a text", None])
+    file = token_counts.pa.RecordBatch.from_arrays([["f"], [b"\1\0" * (token_counts.BLOCK_IDS + 1)]], names=["path", "content"])
+    assert [b.column(1)[0].as_py() for b in token_counts.cut([file], 2 * token_counts.BLOCK_IDS)] == [0, 1]
+    assert not tokens._ENCODERS
+
+
 def test_flat_files(spark, tmp_path):
     ids = np.array([5, 6, token_counts.END_ID, token_counts.END_ID, 7], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
