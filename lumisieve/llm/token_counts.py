@@ -26,6 +26,7 @@ its row. A text of any length is one document. Other columns are not read.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -40,8 +41,9 @@ from .token_table import encoded, texts_of
 END_ID, BLOCK_IDS, SEGMENT = 50256, 1 << 16, 1024
 #: Bytes of a file that is read whole, about as many in a range of a longer one, and in a file that is made here.
 WHOLE, RANGE, PIECE = 1 << 24, 1 << 26, 1 << 22
-#: Stems that a worker keeps: a task that scans has two workers, and any of them may have encoded before.
-STEMS = 150_000
+#: Stems that a worker keeps: a task that scans has two workers, and any of them may have encoded before. Bytes of text that
+#: are encoded together, and rows that are sent to a worker at a time: what a task holds besides its stems and its piece.
+STEMS, TEXT, SENT = 100_000, 3 << 19, 1024
 
 
 def cut(batches, size: int):
@@ -96,6 +98,18 @@ def _ranges(spark: SparkSession, path: str, length: int, item_bytes: int) -> RDD
     return records.mapPartitions(run)
 
 
+@contextmanager
+def sent_at_once(spark: SparkSession, rows: int):
+    """At most ``rows`` rows are sent to a Python worker at a time by the jobs that run meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 NAMED = np.dtype([("doc_id", "<i8"), ("valid", "u1")])
 
 
@@ -118,7 +132,7 @@ def flattened(docs: DataFrame, vocab: str | None = None, piece_bytes: int = PIEC
             return pa.RecordBatch.from_arrays([pa.array([f"{kind}-{task:06d}-{piece:06d}" for kind in ("ids", "names")]), pa.array(rows, pa.binary())], names=["file", "ids"])
 
         for batch in batches:
-            for lo, hi, ids in encoded(batch.column(1), e, END_ID):
+            for lo, hi, ids in encoded(batch.column(1), e, END_ID, TEXT):
                 keys, data = batch.column(0).slice(lo, hi - lo), ids.buffers()[2].to_pybytes()
                 if held and size + len(data) > piece_bytes:
                     yield out()
@@ -143,7 +157,8 @@ def flattened(docs: DataFrame, vocab: str | None = None, piece_bytes: int = PIEC
 
     path = scratch.new_path(spark, "op9-flat")
     lines = docs.select(*texts_of(docs)).mapInArrow(run, "file string, ids binary").select("file", F.col("ids").cast("string"))
-    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path)
+    with sent_at_once(spark, SENT):
+        lines.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(path)
     written, schema = spark.read.format("binaryFile").load(path), "file string, ordinal bigint, doc_id bigint"
     if "file" not in written.columns:  # no documents, no folders
         return spark.createDataFrame([], "file string, block bigint, ids binary"), spark.createDataFrame([], schema), dtype

@@ -25,11 +25,12 @@ def cut_rows(sizes: np.ndarray, rows: int = ROWS, most: int = BYTES) -> Iterator
         lo = hi
 
 
-def encoded(texts: pa.Array, e: "tokens.Encoder", end_id: int) -> Iterator[tuple[int, int, pa.Array]]:
-    """``lo, hi, ids`` for ranges of rows: the ids of each whole text (null: empty), then ``end_id``, packed."""
+def encoded(texts: pa.Array, e: "tokens.Encoder", end_id: int, most: int = BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+    """``lo, hi, ids`` for ranges of rows: the ids of each whole text (null: empty), then ``end_id``, packed. A range has up
+    to ``most`` bytes of text, or is one row."""
     end = np.array([end_id], e.dtype).tobytes()
     at = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
-    for lo, hi in cut_rows(np.diff(at).astype(np.int64)):
+    for lo, hi in cut_rows(np.diff(at).astype(np.int64), most=most):
         yield lo, hi, e.encode_many(texts.slice(lo, hi - lo).to_pylist(), end)
 
 

@@ -6,9 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lumisieve.llm import huffman, line_dedup, matroska, mixing, ngram_join, packing, token_counts, tokens, toxicity
+from lumisieve.llm import huffman, line_dedup, matroska, mixing, ngram_join, packing, token_counts, token_table, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n int, ids string, size int, key string"
 EMPTY = "doc_id long, text string, source string"
@@ -166,6 +167,21 @@ def test_workers_that_read_flat_files_hold_no_encoder():
     assert not tokens._ENCODERS
 
 
+def test_few_texts_are_with_a_worker_at_once(spark):
+    """What a task that makes flat files holds doesn't grow with the rows of a batch."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    sizes = lambda batches: (b.rename_columns(["n"]).slice(0, 1).set_column(0, "n", pa.array([b.num_rows])) for b in batches)
+    with pytest.raises(ValueError), token_counts.sent_at_once(spark, 16):
+        seen = [r["n"] for r in spark.range(100).coalesce(1).mapInArrow(sizes, "n long").collect()]
+        raise ValueError
+    assert max(seen) == 16 and sum(seen) == 100 and spark.conf.get(name) == before
+    texts = pa.array(["some words " * 5] * 50 + [None, "word " * 200])
+    ranges = [(lo, hi) for lo, hi, _ in token_table.encoded(texts, tokens.encoder(), 0, 300)]
+    assert [lo for lo, _ in ranges] == [0, *(hi for _, hi in ranges[:-1])] and ranges[-1] == (51, 52)
+    assert max(hi - lo for lo, hi in ranges) <= 6
+
+
 def test_flat_files(spark, tmp_path):
     ids = np.array([5, 6, token_counts.END_ID, token_counts.END_ID, 7], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
