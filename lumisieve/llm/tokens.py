@@ -15,6 +15,7 @@ import gc
 import os
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ VOCAB_FILE = "byte_bpe_50k.json"
 STORED, LONGEST = 700_000, 48
 #: Marks that are taken off a word's end, and what a word must end with to stand without them.
 MARKS, _STEM = ".,;:!?", "[A-Za-z0-9À-ÖØ-öø-ÿ]$"
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD = re.compile("[\n\0]?[A-Za-zÀ-ÖØ-öø-ÿ]*")
 
 _ENCODERS: dict[tuple[str, bool, int], "Encoder"] = {}
 
@@ -63,6 +64,10 @@ def _byte_letters() -> dict[int, int]:
     return dict(zip(printable, printable)) | {b: 256 + i for i, b in enumerate(others)}
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     def __init__(self, path: str, plain: bool = False, stored: int = STORED):
         self.stored = stored
@@ -77,8 +82,8 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if not (plain and t.special)]
         feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.feed, self.feed_bytes = feed[0] if len(feed) == 1 else None, array(self.code, feed).tobytes()
-        self.blank = chr(self.letters[32])
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.letter_of = np.array([self.letters[b] for b in range(256)], "<u4")
         self._forget()
 
     def _forget(self) -> None:
@@ -95,44 +100,54 @@ class Encoder:
             return False
         return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith((" ", "\n\n")))
 
-    def _encode_stems(self, stems: list[str]) -> list[bytes]:
-        """Ids of stems without line feeds. Words of letters go to the library's BPE as they are; all others go through
-        the library in one call, with line feeds between them, whose id no stem has."""
-        out, rest = [b""] * len(stems), []
-        for k, s in enumerate(stems):
-            if not _LETTERS.fullmatch(s, s[:1] == " "):
-                if s:
-                    rest.append(k)
-            elif s.isascii():
-                out[k] = array(self.code, [t.id for t in self.split(s.replace(" ", self.blank))]).tobytes()
-            else:
-                out[k] = array(self.code, [t.id for t in self.split(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if rest:
-            ids = np.array(self.library.encode("\n".join(stems[k] for k in rest), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.feed).tolist()
-            for k, a, b in zip(rest, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                out[k] = ids[a:b].tobytes()
-        return out
+    def _letters_of(self, texts: list[str]) -> list[str]:
+        """Texts without line feeds as the library's BPE takes them: a letter for each byte."""
+        raw = self.letter_of[np.frombuffer("\n".join(texts).encode(), np.uint8)].tobytes()
+        return raw.decode("utf-32-le").split(chr(self.letters[10]))
+
+    def _encode_stems(self, words: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stems without line feeds, and how many each has. Words of letters go to the library's BPE as they are;
+        all others go through the library in one call, with line feeds between them, whose id no stem has."""
+        ids, ends, split = [], [0], self.split
+        for w in self._letters_of(words) if words else ():
+            ids += [t.id for t in split(w)] if w else ()
+            ends.append(len(ids))
+        if not rest:
+            return np.array(ids, self.dtype), np.diff(ends)
+        others = np.array(self.library.encode_batch_fast(["\n".join(rest)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(others == self.feed)
+        if len(cuts) != len(rest) - 1:
+            raise ValueError("a stem has a line feed's id")
+        sizes = np.diff(np.r_[-1, cuts, len(others)]) - 1
+        return np.concatenate([np.array(ids, self.dtype), np.delete(others, cuts)]), np.concatenate([np.diff(ends), sizes])
 
     def _placed(self, stems: list[str]) -> tuple[np.ndarray, list[bytes]]:
         """Places of ``stems``; those from the store's end on are in the list, for this batch only."""
-        got = list(map(self.places.get, stems))
-        new = [k for k, p in enumerate(got) if p is None]
-        found = self._encode_stems([s[1:] if s[:1] in "\n\0" else " " + s for s in map(stems.__getitem__, new)])
-        late = []
-        for k, ids in zip(new, found):
-            s = stems[k]
-            if s[:1] == "\n":
-                ids = self.feed_bytes + ids
-            if len(s) <= LONGEST:
-                got[k] = self.places[s] = len(self.ends) - 1
-                self.packed += ids
-                self.ends.append(len(self.packed))
-            else:
-                late.append((k, ids))
-        for i, (k, _) in enumerate(late):
-            got[k] = len(self.ends) - 1 + i
-        return np.array(got, np.int64), [ids for _, ids in late]
+        got = np.fromiter(map(self.places.get, stems, repeat(-1)), np.int64, len(stems))
+        new = np.flatnonzero(got < 0)
+        if not len(new):
+            return got, []
+        names = list(map(stems.__getitem__, new.tolist()))
+        word = np.fromiter(map(bool, map(_WORD.fullmatch, names)), bool, len(names))
+        order = np.argsort(~word, kind="stable")
+        names = list(map(names.__getitem__, order.tolist()))
+        plain = [s[1:] if s[0] in "\n\0" else " " + s for s in names]
+        ids, sizes = self._encode_stems(plain[: word.sum()], plain[word.sum() :])
+        fed = np.fromiter((s[0] == "\n" for s in names), bool, len(names))
+        if fed.any():
+            ids, sizes = np.insert(ids, (np.cumsum(sizes) - sizes)[fed], self.feed), sizes + fed
+        kept, late = np.fromiter(map(len, names), np.int64, len(names)) <= LONGEST, []
+        if not kept.all():
+            late = [i.tobytes() for i, k in zip(np.split(ids, np.cumsum(sizes)[:-1]), kept.tolist()) if not k]
+            ids, sizes, names = ids[np.repeat(kept, sizes)], sizes[kept], [s for s, k in zip(names, kept.tolist()) if k]
+        before = len(self.ends) - 1
+        self.places.update(zip(names, range(before, before + len(names))))
+        self.ends.frombytes((self.ends[-1] + np.cumsum(sizes * self.dtype.itemsize)).astype(np.int32).tobytes())
+        self.packed += ids.tobytes()
+        placed = np.cumsum(kept) - 1
+        placed[~kept] = len(names) + np.arange(len(late))
+        got[new[order]] = before + placed
+        return got, late
 
     def encode_many(self, texts: list[str | None], end: bytes = b"") -> pa.Array:
         """The texts' ids, each with ``end`` behind, packed as little-endian integers of ``dtype``; a null or empty text
@@ -153,10 +168,10 @@ class Encoder:
         short = pc.if_else(pc.match_substring_regex(short, _STEM), short, words)
         stems = short.dictionary_encode()
         marked = np.flatnonzero(pc.not_equal(pc.binary_length(short), pc.binary_length(words)).to_numpy(zero_copy_only=False))
-        tails, n_chars = words.take(pa.array(marked)).to_pylist(), pc.utf8_length(short).to_numpy()[marked].tolist()
+        tails, n_chars = _strings(words.take(pa.array(marked))), pc.utf8_length(short).to_numpy()[marked].tolist()
         tails = ["\0" + w[n:] for w, n in zip(tails, n_chars)]
         names = {t: k for k, t in enumerate(dict.fromkeys(tails))}
-        keys = ["\0" if s == "" else s for s in stems.dictionary.to_pylist()] + list(names)
+        keys = ["\0" if s == "" else s for s in _strings(stems.dictionary)] + list(names)
         if len(self.places) + len(keys) > self.stored:
             self._forget()
         places, extra = self._placed(keys)

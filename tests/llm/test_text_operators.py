@@ -46,6 +46,18 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(e.encode_one(t), e.dtype).tolist() == ids_of(t), t
 
 
+def test_new_stems_are_placed_together():
+    """A batch's new stems become letters of bytes at once and get places in one store, but for long ones."""
+    e = tokens.Encoder(tokens.vocabulary(), stored=60)
+    split = e.library.pre_tokenizer.pre_tokenize_str
+    words = [" alpha", "Épée", " ÿ", ""]
+    assert e._letters_of(words) == [split(w)[0][0] if w else "" for w in words]
+    batches = [["alpha beta, x1!\nbeta\nd'or " + "é" * 50 + ".", "", None, "," * 60 + " a"], ["beta alpha\n--", "n" * 49 + " n"], [f"w{k} v{k}a" for k in range(40)], ["alpha beta"]]
+    for texts in batches:
+        assert e.encode_many(texts, b"!!").to_pylist() == [e.whole(t or "") + b"!!" for t in texts]
+        assert len(e.places) <= len(e.ends) - 1 and max(e.places.values()) < len(e.ends) - 1 and e.ends[-1] == len(e.packed) and max(map(len, e.places)) <= tokens.LONGEST
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = random.Random(4)
     for n, bits in ((1, 4), (2, 4), (5, 3), (8, 3), (40, 6), (300, 12)):
