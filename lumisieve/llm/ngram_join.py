@@ -207,11 +207,11 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["class", "shingles"])
 
 
-TAKEN = "class bigint, band int, spare int, taken array<bigint>"
+TAKEN = "class bigint, band int, spare int, taken array<bigint>, part bigint"
 
 
 def _taker(exact):
-    """(class, check, text, bands) -> for each band the shingles that its sketch takes, and how many of them a link may
+    """(class, check, text, bands, part) -> for each band the shingles that its sketch takes, and how many of them a link may
     leave unshared."""
 
     def run(batches):
@@ -221,9 +221,9 @@ def _taker(exact):
                 for k, kind, s in _own(batch, lo, 200):
                     for band in batch.column(3)[k].as_py():
                         taken, _, most = in_band(s, band, exact)
-                        rows.append((kind, band, min(most, len(s) // 4), _marked(mixed(taken, 3), band).view(np.int64)))
-                cols = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))), _lists(cols[3])], names=["class", "band", "spare", "taken"])
+                        rows.append((kind, band, min(most, len(s) // 4), _marked(mixed(taken, 3), band).view(np.int64), batch.column(4)[k].as_py()))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))), _lists(cols[3]), pa.array(list(cols[4]), pa.int64())], names=["class", "band", "spare", "taken", "part"])
 
     return run
 
@@ -274,7 +274,8 @@ def met_once(rows: DataFrame, exact: bool) -> DataFrame:
     l, r = rows.alias("l"), rows.alias("r")
     shared = F.array_min(F.array_intersect("l.first", "r.first"))
     once = F.coalesce(shared, F.col("l.key")) == F.col("l.key")
-    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r", exact) & once)
+    # A key names its band. With it on both sides they name the same columns, and are one exchange.
+    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.class") < F.col("r.class")) & _close("l", "r", exact) & once)
     return near.select(*_ordered("l.class", "r.class"))
 
 
@@ -343,13 +344,14 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     placed = scratch.written(placed, "op6-placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     small = placed.join(open_keys.where(F.col("c") < CROWD).select("key"), "key").withColumn("band", band)
-    crowd = placed.join(open_keys.where(F.col("c") >= CROWD).select("key"), "key").select("class", band).distinct()
-    crowd = scratch.written(crowd.groupBy("class").agg(F.collect_set("band").alias("bands")), "op6-crowd")
-    # Most of the new keys are one class's own: they are counted and dropped where they are dealt by key.
-    anew = rarest_keys(crowd, classes, texts, exact).select("class", "key").repartition("key")
-    again = anew.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key"), "op6-anew")
-    anew = anew.join(part_of, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"), band)
+    crowd = placed.join(open_keys.where(F.col("c") >= CROWD).select("key"), "key").select("class", band, F.expr("nullif(component, class)").alias("part")).distinct()
+    crowd = scratch.written(crowd.groupBy("class").agg(F.collect_set("band").alias("bands"), F.max("part").alias("part")), "op6-crowd")
+    # Most of the new keys are one class's own or shared within one component: they are counted and dropped where they are
+    # dealt by key.
+    anew = rarest_keys(crowd, classes, texts, exact).select("class", "part", "key").repartition("key")
+    of = F.coalesce("part", "class")
+    again = anew.groupBy("key").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("key")
+    anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key").select("key", "class", of.alias("component"), band), "op6-anew")
     rows = small.select("key", "class", "component", "band").union(anew).groupBy("class", "band")
     rows = rows.agg(F.min("component").alias("component"), F.array_sort(F.collect_set("key")).alias("keys")).join(sketches, ["class", "band"])
     rows = rows.withColumn("first", F.slice("keys", 1, FIRST)).withColumn("key", F.explode("keys")).drop("keys")
@@ -371,16 +373,19 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
-    """``class, band, key``: the rarest shingles of the classes in ``crowd`` (class, bands), one more than a link may
-    leave unshared. Shingles count over all of ``crowd``; those of fewer than COMMON_FROM classes are equally rare."""
-    taken = scratch.written(_text_of(crowd, classes, texts, "bands").mapInArrow(_taker(exact), TAKEN).dropDuplicates(["class", "band"]), "op6-taken")
+    """``class, part, band, key``: the rarest shingles of the classes in ``crowd`` (class, bands and, if they are in another
+    class's component, part), one more than a link may leave unshared. Shingles count over all of ``crowd``, and once more
+    for a repeated row; those that count less than COMMON_FROM are equally rare."""
+    crowd = crowd if "part" in crowd.columns else crowd.withColumn("part", F.lit(None).cast("bigint"))
+    taken = scratch.written(_text_of(crowd, classes, texts, "bands", "part").mapInArrow(_taker(exact), TAKEN), "op6-taken")
     counts = taken.select(F.explode("taken").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     many = scratch.written(counts.where(F.col("c") >= COMMON_FROM), "op6-many")
     found = taken.select("class", "band", F.explode("taken").alias("key")).join(_sent(many), "key")
-    common = found.groupBy("class", "band").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("common"))
-    both = taken.join(common, ["class", "band"], "left").withColumn("common", F.coalesce(F.transform("common", lambda x: x["key"]), F.array().cast("array<bigint>")))
+    common = found.groupBy("class", "band").agg(F.array_sort(F.collect_set(F.struct("c", "key"))).alias("common"))
+    # Sets travel once: what deals them to drop repeated rows serves the join too.
+    both = taken.dropDuplicates(["class", "band"]).join(common, ["class", "band"], "left").withColumn("common", F.coalesce(F.transform("common", lambda x: x["key"]), F.array().cast("array<bigint>")))
     ordered = F.concat(F.array_except("taken", "common"), "common")
-    return both.select("class", "band", F.explode(F.slice(ordered, F.lit(1), F.col("spare") + 1)).alias("key"))
+    return both.select("class", "part", "band", F.explode(F.slice(ordered, F.lit(1), F.col("spare") + 1)).alias("key"))
 
 
 def _sent(rows: DataFrame) -> DataFrame:
