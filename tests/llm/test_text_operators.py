@@ -333,6 +333,23 @@ def test_members_of_a_family_meet_once(spark, monkeypatch):
     assert met.distinct().count() <= met.count() <= 1.1 * met.distinct().count() + 5
 
 
+def test_new_keys_of_one_component_are_dropped(spark, monkeypatch):
+    """Near copies of one text in a crowd share rare shingles with each other only: these are no keys."""
+    rng, tables = random.Random(7), {}
+    written = ngram_join.scratch.written
+    monkeypatch.setattr(ngram_join.scratch, "written", lambda df, name: tables.update({name: written(df, name)}) or tables[name])
+    monkeypatch.setattr(ngram_join.scratch, "dropped", lambda *_: None)
+    passage, rows = " ".join(f"p{j}" for j in range(60)), []
+    for k in range(12):
+        own = [f"o{k}x{j}" for j in range(60)]
+        rows += [(2 * k, passage + " " + " ".join(own)), (2 * k + 1, passage + " " + " ".join([*own[:-1], "end"]))]
+    got = ngram_join.near_copies(spark.createDataFrame(rows + rows[:3], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near(rows) and len(got) == 27
+    anew, parts = tables["op6-anew"], tables["op6-parts"].count()
+    assert tables["op6-crowd"].count() == parts == 24
+    assert anew.groupBy("key").agg(ngram_join.F.countDistinct("component").alias("n")).where("n < 2").count() == 0
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (10, 100, 900, 5000):
