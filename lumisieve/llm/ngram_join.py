@@ -20,6 +20,8 @@ set's size.
 * Larger groups hold what many documents quote. Their members get keys anew: of the shingles that a sketch takes, counted
   over all these members, the rarest most + 1. Two linked documents leave at most ``most`` of either's shingles unshared,
   so the rarest that they share is a key of both, and what many quote is a key only of documents with little else.
+  Shingles that one component alone has come first in this order and link nothing new, so they only take up places: they
+  are left out where they are counted, and most documents have no new keys.
 * To compare is to hold the Hamming distance of 1024-bit parity sketches against the bound, as the joins' own
   condition, and then to intersect the whole sets. The bound is the pair's own: sets of ``m`` and ``n`` shingles with a
   Jaccard index of 3/4 differ in ``(m + n) / 7`` at most, and of these a sketch of one hash class in ``2 ** r`` sees the
@@ -39,18 +41,19 @@ ids name no component: a set that only rows without an id have links with nothin
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
 
-WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FIRST, FEW = 5, 512, 256, 64, 7.0, 16, 6, 4, 8, 300_000
+WORDS, EXACT, TAKEN_MOST, SINGLE, SIGMAS, SKETCH_WORDS, CROWD, COMMON_FROM, FIRST, FEW, NAMED = 5, 512, 256, 64, 7.0, 16, 6, 4, 8, 300_000, 1_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -207,12 +210,12 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["class", "shingles"])
 
 
-TAKEN = "class bigint, band int, spare int, taken array<bigint>, part bigint"
+TAKEN = "class bigint, slack int, taken array<bigint>, part bigint"
 
 
 def _taker(exact):
-    """(class, check, text, bands, part) -> for each band the shingles that its sketch takes, and how many of them a link may
-    leave unshared."""
+    """(class, check, text, bands, part) -> for each band the shingles that its sketch takes, and slack: how many of them are
+    keys, one more than a link may leave unshared, less how many they are."""
 
     def run(batches):
         for batch in batches:
@@ -221,9 +224,10 @@ def _taker(exact):
                 for k, kind, s in _own(batch, lo, 200):
                     for band in batch.column(3)[k].as_py():
                         taken, _, most = in_band(s, band, exact)
-                        rows.append((kind, band, min(most, len(s) // 4), _marked(mixed(taken, 3), band).view(np.int64), batch.column(4)[k].as_py()))
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))), _lists(cols[3]), pa.array(list(cols[4]), pa.int64())], names=["class", "band", "spare", "taken", "part"])
+                        keys = np.unique(_marked(mixed(taken, 3), band).view(np.int64))
+                        rows.append((kind, min(most, len(s) // 4) + 1 - len(keys), keys, batch.column(4)[k].as_py()))
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int32()), _lists(cols[2]), pa.array(list(cols[3]), pa.int64())], names=["class", "slack", "taken", "part"])
 
     return run
 
@@ -298,7 +302,7 @@ def signed_classes(texts: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame,
 def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``signed_classes`` of rows ``SIGNED``: where unequal sets share a class, the second hash makes two of it."""
     own = signed.where("own").select("doc_id", "text_hash", "n", "class", "check")
-    once = lambda rows: rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.max("check").alias("other"))
+    once = lambda rows: rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.max("check").alias("other"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.written(once(own), "op6-classes")
     clash = classes.where("check <> other").select("class")
     if clash.count():  # a few in 10 ** 10 sets, if any
@@ -306,20 +310,50 @@ def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         signed = scratch.written(apart(signed).select(*signed.columns), "op6-sketches")
         own = signed.where("own").select("doc_id", "text_hash", "n", "class", "check")
         classes = scratch.written(once(own), "op6-classes")
-    return signed, scratch.written(own.drop("check"), "op6-members"), classes.select("class", "first", "check")
+    return signed, scratch.written(own.drop("check"), "op6-members"), classes.select("class", "first", "check", "copies")
+
+
+def keys_of(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, key`` of each set. Only the lists of sets that several rows have are dealt out to take one of each; if even
+    to name these sets is too much to send, all lists are."""
+    lists = signed.where("n > 0").select("class", "band", "keys")
+    once = lambda rows: rows.groupBy("class", "band").agg(F.first("keys").alias("keys"))
+    several = classes.where("copies > 1").select("class")
+    if several.count() > NAMED:
+        lists = once(lists)
+    else:
+        several = F.broadcast(several)
+        lists = lists.join(several, "class", "left_anti").unionByName(once(lists.join(several, "class", "left_semi")))
+    return lists.select("class", F.explode("keys").alias("key"))
+
+
+@contextmanager
+def _released(spark: SparkSession):
+    """Meanwhile what a job has shuffled goes when its table is written, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``near_copies`` with each row's ``text_hash``, and ``component``, the least class of its set's component (null:
     no words)."""
+    with _released(docs.sparkSession):
+        return _grouped(docs, exact)
+
+
+def _grouped(docs: DataFrame, exact: bool) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed, members, classes = signed_classes(texts, exact)
     band = F.col("key").bitwiseAND(31).cast("int").alias("band")
 
     # Keys that at least two different sets have, and who has them. The rows are dealt by key once, for the count and
     # for the join: both sides name the same columns, so Spark plans one exchange and uses it twice.
-    once = signed.where("n > 0").groupBy("class", "band").agg(F.first("keys").alias("keys"))
-    keyed = once.select("class", F.explode("keys").alias("key")).repartition("key")
+    keyed = keys_of(signed, classes).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     held = scratch.written(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "op6-held")
     sketches = signed.where("n > 0").join(held.select("class").distinct(), "class", "left_semi").dropDuplicates(["class", "band"])
@@ -338,20 +372,18 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     scratch.dropped(signed, sets)
     parts = scratch.written(components(links), "op6-parts")
 
-    # Groups that still hold several components: members of different ones.
+    # Groups that still hold several components: members of different ones. Dealt by key once for all that follows.
     part_of = parts.select(F.col("node").alias("class"), "component")
-    placed = held.join(part_of, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    placed = scratch.written(placed, "op6-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    small = placed.join(open_keys.where(F.col("c") < CROWD).select("key"), "key").withColumn("band", band)
-    crowd = placed.join(open_keys.where(F.col("c") >= CROWD).select("key"), "key").select("class", band, F.expr("nullif(component, class)").alias("part")).distinct()
-    crowd = scratch.written(crowd.groupBy("class").agg(F.collect_set("band").alias("bands"), F.max("part").alias("part")), "op6-crowd")
-    # Most of the new keys are one class's own or shared within one component: they are counted and dropped where they are
-    # dealt by key.
-    anew = rarest_keys(crowd, classes, texts, exact).select("class", "part", "key").repartition("key")
+    placed = held.join(part_of, "class", "left").select("class", "key", F.coalesce("component", "class").alias("component")).repartition("key")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("class").alias("c")).where("lo <> hi").select("key", "c")
+    placed = scratch.written(placed.join(open_keys.hint("shuffle_hash"), "key"), "op6-placed")
+    small = placed.where(F.col("c") < CROWD).withColumn("band", band)
+    crowd = placed.where(F.col("c") >= CROWD).groupBy("class").agg(F.collect_set(band).alias("bands"), F.max(F.expr("nullif(component, class)")).alias("part"))
+    crowd = scratch.written(crowd, "op6-crowd")
     of = F.coalesce("part", "class")
-    again = anew.groupBy("key").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("key")
-    anew = scratch.written(anew.join(again.hint("shuffle_hash"), "key").select("key", "class", of.alias("component"), band), "op6-anew")
+    anew = scratch.written(rarest_keys(crowd, classes, texts, exact, across=True).select("key", "class", of.alias("component"), "band"), "op6-new-keys")
+    again = anew.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    anew = scratch.written(anew.join(again, "key"), "op6-anew")
     rows = small.select("key", "class", "component", "band").union(anew).groupBy("class", "band")
     rows = rows.agg(F.min("component").alias("component"), F.array_sort(F.collect_set("key")).alias("keys")).join(sketches, ["class", "band"])
     rows = rows.withColumn("first", F.slice("keys", 1, FIRST)).withColumn("key", F.explode("keys")).drop("keys")
@@ -372,20 +404,23 @@ def grouped(docs: DataFrame, exact: bool = False) -> DataFrame:
     return out.select("doc_id", "text_hash", "component", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool) -> DataFrame:
+def rarest_keys(crowd: DataFrame, classes: DataFrame, texts: DataFrame, exact: bool, across: bool = False) -> DataFrame:
     """``class, part, band, key``: the rarest shingles of the classes in ``crowd`` (class, bands and, if they are in another
     class's component, part), one more than a link may leave unshared. Shingles count over all of ``crowd``, and once more
-    for a repeated row; those that count less than COMMON_FROM are equally rare."""
+    for a repeated row; those that count less than COMMON_FROM are equally rare. ``across``: shingles that one component
+    alone has come before all others and, as they link nothing new, are left out."""
     crowd = crowd if "part" in crowd.columns else crowd.withColumn("part", F.lit(None).cast("bigint"))
-    taken = scratch.written(_text_of(crowd, classes, texts, "bands", "part").mapInArrow(_taker(exact), TAKEN), "op6-taken")
-    counts = taken.select(F.explode("taken").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    many = scratch.written(counts.where(F.col("c") >= COMMON_FROM), "op6-many")
-    found = taken.select("class", "band", F.explode("taken").alias("key")).join(_sent(many), "key")
-    common = found.groupBy("class", "band").agg(F.array_sort(F.collect_set(F.struct("c", "key"))).alias("common"))
-    # Sets travel once: what deals them to drop repeated rows serves the join too.
-    both = taken.dropDuplicates(["class", "band"]).join(common, ["class", "band"], "left").withColumn("common", F.coalesce(F.transform("common", lambda x: x["key"]), F.array().cast("array<bigint>")))
-    ordered = F.concat(F.array_except("taken", "common"), "common")
-    return both.select("class", "part", "band", F.explode(F.slice(ordered, F.lit(1), F.col("spare") + 1)).alias("key"))
+    taken = _text_of(crowd, classes, texts, "bands", "part").mapInArrow(_taker(exact), TAKEN)
+    alike, of = Window.partitionBy("key"), F.coalesce("part", "class")
+    keyed = taken.select("class", "part", "slack", F.explode("taken").alias("key"))
+    keyed = keyed.withColumns({"c": F.count(F.lit(1)).over(alike), "lo": F.min(of).over(alike), "hi": F.max(of).over(alike)})
+    keyed = keyed.where("lo <> hi") if across else keyed
+    ranked = F.struct(F.when(F.col("c") >= COMMON_FROM, F.col("c")).otherwise(0).alias("c"), "key")
+    # What is left out takes up places, so as many fewer are left: slack and the number of those that are not.
+    rows = keyed.select("class", "part", "slack", F.col("key").bitwiseAND(31).cast("int").alias("band"), ranked.alias("ranked"))
+    rows = rows.groupBy("class", "part", "band", "slack").agg(F.array_sort(F.collect_set("ranked")).alias("keys"))
+    rows = rows.withColumn("places", F.col("slack") + F.size("keys")).where("places > 0")
+    return rows.select("class", "part", "band", F.explode(F.slice("keys", F.lit(1), F.col("places"))["key"]).alias("key"))
 
 
 def _sent(rows: DataFrame) -> DataFrame:

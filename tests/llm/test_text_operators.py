@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -350,6 +352,62 @@ def test_new_keys_of_one_component_are_dropped(spark, monkeypatch):
     assert anew.groupBy("key").agg(ngram_join.F.countDistinct("component").alias("n")).where("n < 2").count() == 0
 
 
+def test_keys_of_one_component_take_up_places(spark):
+    """With ``across`` the keys are those of the whole order that several components have, held against the definition."""
+    rng = random.Random(11)
+    passages = [[f"p{j}x{i}" for i in range(30)] for j in range(4)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range((4, 25, 60)[k % 3])]
+        rows.append((k, " ".join(own + passages[k % 4] + passages[rng.randrange(4)])))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ngram_join.F.col("text").cast("binary").alias("text"))
+    signed, _, classes = ngram_join.signed_classes(texts, False)
+    crowd = signed.groupBy("class").agg(ngram_join.F.collect_set("band").alias("bands"))
+    first = crowd.agg(ngram_join.F.min("class")).first()[0]
+    crowd = crowd.withColumn("part", ngram_join.F.when(ngram_join.F.col("class") % 5 == 0, first)).collect()
+    got = ngram_join.rarest_keys(spark.createDataFrame(crowd, "class bigint, bands array<int>, part bigint"), classes, texts, False, across=True)
+    named, sets = {r["class"]: r for r in crowd}, {}
+    for _, text in rows:
+        x = ngram_join.shingles(text.encode())
+        kind = ngram_join.class_of(x)
+        for band in named[kind]["bands"]:
+            taken, _, most = ngram_join.in_band(x, band)
+            sets[kind, band] = {int(v) for v in ngram_join._marked(ngram_join.mixed(taken, 3), band).view(np.int64)}, min(most, len(x) // 4) + 1
+    holders = {}
+    for (kind, band), (keys, _) in sets.items():
+        for key in keys:
+            holders.setdefault(key, []).append(named[kind]["part"] if named[kind]["part"] is not None else kind)
+    rank = {key: (len(set(h)) > 1, len(h) if len(h) >= ngram_join.COMMON_FROM else 0, key) for key, h in holders.items()}
+    want = {(kind, band, key) for (kind, band), (keys, n) in sets.items() for key in sorted(keys, key=rank.get)[:n] if rank[key][0]}
+    assert {(r["class"], r["band"], r["key"]) for r in got.collect()} == want and 0 < len(want) < sum(n for _, n in sets.values()) / 4
+
+
+@pytest.mark.parametrize("named", [1_000_000, 1])
+def test_each_set_gives_its_keys_once(spark, monkeypatch, named):
+    monkeypatch.setattr(ngram_join, "NAMED", named)
+    rows = [(k, " ".join(f"a{k // (9 if k < 45 else 1)}x{j}" for j in range(30))) for k in range(60)] + [(60, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ngram_join.F.col("text").cast("binary").alias("text")).repartition(4)
+    signed, _, classes = ngram_join.signed_classes(texts, False)
+    got = [tuple(r) for r in ngram_join.keys_of(signed, classes).collect()]
+    want = {(r["class"], key) for r in signed.where("n > 0").collect() for key in r["keys"]}
+    assert classes.where("copies > 1").count() == 5 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_join_leaves_no_shuffle_files(spark):
+    """What a job has shuffled goes once its table is written, without waiting for the driver to collect garbage."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name, None)
+    out = ngram_join.near_copies(spark.createDataFrame(corpus(1), SCHEMA).select("doc_id", "text").repartition(4))
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(name, None) == kept
+    assert out.count() == len(corpus(1))
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (10, 100, 900, 5000):
