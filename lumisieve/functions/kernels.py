@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,26 +62,29 @@ def lanczos_weights(source: Column | int, target: int) -> Column:
     """For each place of a row of ``target``: the first place of the source that adds to it, and what each one adds, as
     whole numbers of 2 ** -WEIGHT_BITS."""
     n = _whole(source)
-    scale = n.cast("double") / F.lit(float(target))
-    wide = F.greatest(F.lit(1.0), scale)
 
     def sinc(x: Column) -> Column:
         return F.when(x == 0, 1.0).otherwise(F.sin(x * math.pi) / (x * math.pi))
 
-    def of(k: Column) -> Column:
-        middle = (k + 0.5) * scale
+    def near(x: Column) -> Column:
+        return F.when(F.abs(x) < REACH, sinc(x) * sinc(x / REACH)).otherwise(0.0)
+
+    def of(middle: Column, wide: Column) -> Column:
         lo = F.greatest(F.lit(0), (middle - wide * REACH + 0.5).cast("int"))
         hi = F.least(n.cast("int"), (middle + wide * REACH + 0.5).cast("int"))
-        x = lambda s: (s + 0.5 - middle) / wide
-        raw = F.transform(F.sequence(lo, hi - 1), lambda s: F.when(F.abs(x(s)) < REACH, sinc(x(s)) * sinc(x(s) / REACH)).otherwise(0.0))
+        raw = F.transform(F.transform(F.sequence(lo, hi - 1), lambda s: (s + 0.5 - middle) / wide), near)
         return F.struct(lo.alias("lo"), raw.alias("w"))
 
     def whole(q: Column) -> Column:
         total = F.aggregate(q["w"], F.lit(0.0), lambda a, v: a + v)
-        unit = F.transform(q["w"], lambda v: v / total * float(1 << WEIGHT_BITS))
+        unit = let(total, lambda t: F.transform(q["w"], lambda v: v / t * float(1 << WEIGHT_BITS)))
         return F.struct(q["lo"].alias("lo"), F.transform(unit, lambda v: (F.signum(v) * F.floor(F.abs(v) + 0.5)).cast("long")).alias("w"))
 
-    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(target - 1)), of), whole)
+    def places(scale: Column) -> Column:
+        middles = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda k: (k + 0.5) * scale)
+        return let(F.greatest(F.lit(1.0), scale), lambda wide: F.transform(F.transform(middles, lambda m: of(m, wide)), whole))
+
+    return let(n.cast("double") / F.lit(float(target)), places)
 
 
 def resampled(row: Column, weights: Column) -> Column:
@@ -93,15 +97,14 @@ def resampled(row: Column, weights: Column) -> Column:
 
 
 def resized(plane: Column, across: Column, down: Column) -> Column:
-    """Lanczos, along rows first, by the weights of both directions. Weights that are columns of the table are made once
-    an image; see ``with_resized``."""
-    return both_ways(plane, lambda row: resampled(row, across), lambda row: resampled(row, down))
+    """Lanczos, along rows first, by the weights of both directions, which are made once an image (named in a lambda as
+    they are, they would be made for each row, and Spark puts a column's expression there as well)."""
+    return let(F.struct(across.alias("across"), down.alias("down")), lambda w: both_ways(plane, lambda row: resampled(row, w["across"]), lambda row: resampled(row, w["down"])))
 
 
 def with_resized(table, name: str, plane: str, width: Column | int, height: Column | int, to_width: int, to_height: int):
     """``table`` with the plane ``name``: the plane of another column, resized."""
-    made = table.withColumn("__ls_across", lanczos_weights(width, to_width)).withColumn("__ls_down", lanczos_weights(height, to_height))
-    return made.withColumn(name, resized(F.col(plane), F.col("__ls_across"), F.col("__ls_down"))).drop("__ls_across", "__ls_down")
+    return table.withColumn(name, resized(F.col(plane), lanczos_weights(width, to_width), lanczos_weights(height, to_height)))
 
 
 # ---- cosine transform
@@ -224,15 +227,25 @@ def box_of(radius: float, passes: int) -> tuple[int, int, int]:
     return int(box), inner, ((1 << 24) - (2 * int(box) + 1) * inner) // 2
 
 
+def _widened(row: Column, by: int) -> Column:
+    """A row with its edges repeated beyond them."""
+    return F.concat(F.array_repeat(F.get(row, F.lit(0)), by), row, F.array_repeat(F.get(row, F.size(row) - 1), by))
+
+
 def boxed(row: Column, radius: int, inner: int, outer: int) -> Column:
     """One pass of a box over a row of bytes, edges repeated, rounded to bytes. Sums of boxes are differences of the
     row's running sums, so a pass costs the same for any radius."""
     n = F.size(row)
-    at = lambda x: F.get(row, F.least(n - 1, F.greatest(F.lit(0), x))).cast("long")
     if radius <= 2:
-        near = lambda x: sum((at(x + d) for d in range(-radius, radius + 1)), F.lit(0).cast("long"))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.shiftright(near(x) * inner + (at(x - radius - 1) + at(x + radius + 1)) * outer + (1 << 23), 24).cast("int"))
-    wide = F.concat(F.array_repeat(F.get(row, F.lit(0)), radius), row, F.array_repeat(F.get(row, n - 1), radius))
+
+        def summed(wide: Column) -> Column:
+            at = lambda x: F.get(wide, x).cast("long")
+            near = lambda x: reduce(lambda a, b: a + b, [at(x + d) for d in range(1, 2 * radius + 2)])
+            return F.transform(F.sequence(F.lit(0), F.size(wide) - 2 * radius - 3), lambda x: F.shiftright(near(x) * inner + (at(x) + at(x + 2 * radius + 2)) * outer + (1 << 23), 24).cast("int"))
+
+        return let(_widened(row, radius + 1), summed)
+    at = lambda x: F.get(row, F.least(n - 1, F.greatest(F.lit(0), x))).cast("long")
+    wide = _widened(row, radius)
     state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
     grown = F.aggregate(wide, state, lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.array_append(s["sums"], s["sum"] + v).alias("sums")), lambda s: s["sums"])
     zero = F.concat(F.array(F.lit(0).cast("long")), grown)
@@ -255,15 +268,21 @@ def median3(plane: Column) -> Column:
 
 
 def _median3(plane: Column) -> Column:
-    h = F.size(plane)
+    """Three above each other are put in order first; of the nine, the fifth is the middle one of the largest of the least,
+    the middle of the middle ones and the least of the largest."""
+    middle = lambda a, b, c: F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+
+    def ordered(rows: Column, y: Column) -> Column:
+        upper, own, lower = (F.get(rows, y + d) for d in range(3))
+        return F.transform(F.arrays_zip(upper.alias("a"), own.alias("b"), lower.alias("c")), lambda t: F.struct(F.least(t["a"], t["b"], t["c"]).alias("lo"), middle(t["a"], t["b"], t["c"]).alias("mid"), F.greatest(t["a"], t["b"], t["c"]).alias("hi")))
+
+    def fifth(a: Column, b: Column, c: Column) -> Column:
+        return middle(F.greatest(a["lo"], b["lo"], c["lo"]), middle(a["mid"], b["mid"], c["mid"]), F.least(a["hi"], b["hi"], c["hi"]))
 
-    def row_at(y: Column) -> Column:
-        rows = [F.get(plane, F.least(h - 1, F.greatest(F.lit(0), y + d))) for d in (-1, 0, 1)]
-        w = F.size(rows[1])
-        near = lambda x: [F.get(r, F.least(w - 1, F.greatest(F.lit(0), x + d))) for r in rows for d in (-1, 0, 1)]
-        return F.transform(F.sequence(F.lit(0), w - 1), lambda x: F.get(F.array_sort(F.array(*near(x))), F.lit(4)))
+    def along(wide: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(wide) - 3), lambda x: fifth(F.get(wide, x), F.get(wide, x + 1), F.get(wide, x + 2)))
 
-    return F.transform(F.sequence(F.lit(0), h - 1), row_at)
+    return let(_widened(plane, 1), lambda rows: F.transform(F.sequence(F.lit(0), F.size(rows) - 3), lambda y: let(_widened(ordered(rows, y), 1), along)))
 
 
 # ---- hashes

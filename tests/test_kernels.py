@@ -89,3 +89,26 @@ def test_steps_are_made_once_an_image(planes):
     """Nothing is shuffled, and no step of a plan stands in it once for each place that uses it."""
     plan = planes.select(K.blurred(F.col("plane")).alias("b"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and len(plan) < 60_000
+
+
+def test_weights_are_not_made_for_each_row(planes):
+    plan = K.with_resized(planes.drop("real"), "r", "plane", F.col("w"), F.col("h"), 16, 16)._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan.split("transform(plane#")
+    assert len(rows) == 2 and "SIN" in rows[0] and "SIN" not in rows[1]
+
+
+def test_segments_make_their_planes_once(spark, planes):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(plane):
+        made.add(1)
+        return plane
+
+    rows = planes.select("id", F.udf(seen, "array<array<int>>")("plane").alias("plane"))
+    assert G.segments(rows, 128, 3).count() > 0 and made.value == len(PLANES)
+
+
+def test_one_file_of_planes_is_blurred_by_several_tasks(spark, tmp_path):
+    spark.range(64).coalesce(1).select("id", F.array_repeat(F.array_repeat(F.col("id").cast("int"), 8), 8).alias("plane")).write.parquet(str(tmp_path / "planes"))
+    rows = G._dealt(spark.read.parquet(str(tmp_path / "planes")), "id")
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) > 1
