@@ -67,24 +67,24 @@ def q_composite(spark, sf_dir):
 
 
 def q_colour_hash(spark, sf_dir, bits: int = 3):
-    """A histogram of each document's bytes as pixels, as one group-by over exploded pixels."""
-    code = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    every_doc = table(spark, sf_dir, "documents").select("doc_id", code.alias("x"))
-    docs = every_doc.where("length(x) >= 6")
-    # Equal pixels of a document are counted first, so that each colour is judged once. A text is cut in one go.
-    pixels = docs.select("doc_id", F.explode(F.regexp_extract_all("x", F.lit("([0-9A-F]{6})"))).alias("p")).groupBy("doc_id", "p").agg(F.count(F.lit(1)).alias("m"))
-    r, g, b = (F.conv(F.substring("p", k, 2), 16, 10).cast("int") for k in (1, 3, 5))
-    rows = pixels.select("doc_id", "m", P.colour_class(r, g, b).alias("c"), P.hue_bin(P.hue(r, g, b)).alias("hb"))
-    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
-    names = [*(f"{c}{k}" for c in ("faint", "bright") for k in range(6))]
-    bins = [total((F.col("c") == n[:-1]) & (F.col("hb") == int(n[-1]))).alias(n) for n in names]
-    h = rows.groupBy("doc_id").agg(F.sum("m").alias("total"), total(F.col("c") == "black").alias("black"), total(F.col("c") == "gray").alias("gray"), *bins)
+    """A histogram of each document's bytes as pixels. Texts are dealt by document to as many tasks as a shuffle has; a
+    document's pixels are read, judged and counted where its text is."""
+    every_doc = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("x"))
+    docs = every_doc.where(F.octet_length("x") >= 3).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    # Bytes have places, so a pixel of a long text is read as fast as that of a short one.
+    places = docs.select("doc_id", "x", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("x") / 3).cast("int") - 1)).alias("k"))
+    p = F.conv(F.hex(F.substring("x", F.col("k") * 3 + 1, F.lit(3))), 16, 10).cast("int")
+    pixels = places.select("doc_id", F.coalesce(p, F.lit(0)).alias("p"))
+    pixels = pixels.select("doc_id", *[F.shiftright("p", k).bitwiseAND(255).alias(c) for k, c in ((16, "r"), (8, "g"), (0, "b"))])
+    rows = P.with_colour_bin(pixels, "bin", "r", "g", "b").groupBy("doc_id", "bin").agg(F.count(F.lit(1)).alias("m"))
+    names = [n for n in P.BINS if n not in ("black", "gray", "none")]
+    h = rows.groupBy("doc_id").agg(F.sum("m").alias("total"), *[F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("m"))), F.lit(0)).alias(n) for k, n in enumerate(P.BINS[:-1])])
     values = H.colour_values(F.col("black"), F.col("gray"), [F.col(n) for n in names[:6]], [F.col(n) for n in names[6:]], F.col("total"), bits)
     h = h.select("doc_id", F.array(*values).alias("v"))
     every = F.flatten(F.transform("v", lambda v: P.bin_bits(v, bits)))
     found = h.select("doc_id", F.array_join(F.transform("v", lambda v: v.cast("string")), ",").alias("bins"), H.to_hex(every, 14 * bits).alias("hex"))
     # A text of less than one pixel has a row without a hash.
-    return found.union(every_doc.where("length(x) < 6").select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return found.union(every_doc.where(F.octet_length("x") < 3).select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("string")))
 
 
 def with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

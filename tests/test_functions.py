@@ -135,3 +135,25 @@ def test_hash_columns(spark):
 
 def test_whole_image_is_the_segment_of_an_even_image():
     assert I.crops(np.full((30, 60, 3), 200, np.uint8)) == [(0, 0, 60, 30)]
+
+
+def test_colour_bins_are_classes_and_hues(spark):
+    steps = F.array(*[F.lit(v) for v in sorted({*range(0, 256, 7), 1, 2, 31, 32, 33, 84, 85, 127, 128, 170, 171, 254, 255})])
+    pixels = spark.range(1).select(F.explode(steps).alias("r")).select("r", F.explode(steps).alias("g")).select("*", F.explode(steps).alias("b"))
+    c, hb = P.colour_class(F.col("r"), F.col("g"), F.col("b")), P.hue_bin(P.hue(F.col("r"), F.col("g"), F.col("b")))
+    want = F.when(c.isin("faint", "bright"), F.concat(c, hb.cast("string"))).otherwise(c)
+    names = F.array(*[F.lit(n) for n in P.BINS])
+    both = P.with_colour_bin(pixels, "bin", "r", "g", "b").select(F.get(names, F.col("bin")).alias("got"), want.alias("want"))
+    assert both.where("got <> want or got is null").count() == 0 and both.select("got").distinct().count() == len(P.BINS)
+
+
+def test_colour_hash_is_short_enough_to_be_compiled(spark, tmp_path):
+    """HotSpot leaves methods of over 8,000 bytes to its interpreter."""
+    from lumisieve.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "abc"), (2, None), (3, "ab"), (4, "ä\U0001f600z" * 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["colour_hash"](spark, str(tmp_path))
+    rows = found.collect()
+    assert sorted(r["doc_id"] for r in rows if r["hex"] is None) == [2, 3] and len(rows) == 4
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    assert code.size() > 0 and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
